@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import media, packing, tokens
+from tidemark.llm import media, mixing, packing, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [tokens.op1_token_counts, media.op8_media_columns, packing.op10_packing]
+    found = [tokens.op1_token_counts, media.op8_media_columns, mixing.op9_mixing, packing.op10_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.OP9_SQL}
