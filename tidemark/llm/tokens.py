@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_batches, table
 from tidemark.llm.tokenizer import encoder
 
-BLOCK = 4096
+BLOCK = 128
 
 
 def token_lengths(df: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
