@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, table
+from tidemark.llm.common import cut, map_batches, table
 from tidemark.llm.tokenizer import encoder
 
 BLOCK = 128
@@ -98,4 +98,5 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return suffix_sums(histogram(token_lengths(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))))
+    lengths = token_lengths(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return suffix_sums(cut(histogram(lengths)))
