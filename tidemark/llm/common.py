@@ -64,6 +64,11 @@ def store(df: DataFrame) -> str:
     return path
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A stored table of a few short columns, marked for broadcast if it is counted and has no more rows than `most`."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
