@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import jaccard, media, mixing, packing, pii, quality, sharding, tokens, urlfilter
+from tidemark.llm import jaccard, media, mixing, packing, pii, quality, sharding, suffix, tokens, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [tokens.op1_token_counts, pii.op2_pii, jaccard.op3_jaccard_join, urlfilter.op4_url_filters, quality.op5_quality_rules, sharding.op7_sharding, media.op8_media_columns, mixing.op9_mixing, packing.op10_packing]
+    found = [tokens.op1_token_counts, pii.op2_pii, jaccard.op3_jaccard_join, urlfilter.op4_url_filters, quality.op5_quality_rules, suffix.op6_suffix_dedup, sharding.op7_sharding, media.op8_media_columns, mixing.op9_mixing, packing.op10_packing]
     return {f.__name__: f for f in found}
 
 
