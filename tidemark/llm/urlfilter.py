@@ -6,7 +6,7 @@ orders 0 to 3, each order smoothed by the one below it (Witten-Bell), so the ord
 varies with what was seen. A URL's score is the difference of its log-likelihoods, divided by its
 length; the threshold is the one that separates held-out examples best (Youden's index).
 
-An alphabet of `N` characters bounds the model: `N**4` integers, 11 MB however large the corpus. It
+An alphabet of `N` characters bounds the model: `N**4` integers, 4 MB however large the corpus. It
 reaches the executors as one array, so that scoring is an index into it: no join, no hot n-gram, and
 one shuffle of a row for each page. DataFrame operations only.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
 
-#: Characters with a number of their own; 0 is any other, the last is the edge of a URL.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-\x01"
+#: Characters with a number of their own, 0 standing for all digits; any other has number 0, and the last is the edge of a URL.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0/.-\x01"
 EDGE = "\x01"
 N = len(ALPHABET) + 1
 ORDER = 3
@@ -31,6 +31,8 @@ HOLD_OUT = 5
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What the models read of capitals and digits.
+READ = (UPPER + "123456789", UPPER.lower() + "0" * 9)
 
 
 def parts(url: Column) -> tuple[Column, Column, Column]:
@@ -39,7 +41,7 @@ def parts(url: Column) -> tuple[Column, Column, Column]:
     rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
     host = F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, UPPER.lower()), F.lit(""))
     path = F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
-    body = F.coalesce(F.translate(F.when(at > 0, rest).otherwise(url), UPPER, UPPER.lower()), F.lit(""))
+    body = F.coalesce(F.translate(F.when(at > 0, rest).otherwise(url), *READ), F.lit(""))
     return host, path, body
 
 
@@ -179,7 +181,7 @@ l{k + 1} AS (SELECT a.gram, {one.format("yes")}, {one.format("no")}
     return f"""
 WITH u AS (SELECT page_id, url, strpos(url, '://') AS mark, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), {lower}), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-  coalesce(translate(CASE WHEN mark > 0 THEN rest ELSE url END, {lower}), '') AS body FROM u),
+  coalesce(translate(CASE WHEN mark > 0 THEN rest ELSE url END, '{READ[0]}', '{READ[1]}'), '') AS body FROM u),
 r AS (SELECT *, {cases["rule"]} AS rule, {cases["verdict"]} AS says, ('0x' || substr(md5(body), 1, 4))::INT % {HOLD_OUT} AS fold FROM h),
 d AS (SELECT DISTINCT body FROM r),
 e AS (SELECT body, chr(1) || chr(1) || chr(1) || body || chr(1) AS padded, '{ALPHABET[:-1]}' || chr(1) AS alphabet, unnest(range(1, length(body) + 2)) AS i FROM d),
