@@ -18,7 +18,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, n_words, table
+from tidemark.llm.common import cut, n_words, small, table
 
 SEED = "mix-1"
 BUCKET = 4096
@@ -89,7 +89,7 @@ def plan(keyed: DataFrame) -> DataFrame:
         .withColumn("buckets", F.ceil(F.col("rows") / BUCKET))
         .select("source", "source_size", "target", "epochs", "rest", "buckets")
     )
-    dealt = keyed.join(per.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", bucket())
+    dealt = keyed.join(small(per).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", bucket())
     sums = dealt.groupBy("of", "bucket", "rest").agg(F.sum("size").alias("size"))
     before = F.sum("size").over(Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     ends = sums.withColumn("before", F.coalesce(before, F.lit(0))).where("before <= rest and rest < before + size").select(F.col("of").alias("end_of"), F.col("bucket").alias("end_bucket"), "before")
@@ -97,7 +97,7 @@ def plan(keyed: DataFrame) -> DataFrame:
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("of").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
     taken = last.withColumn("upto", upto).withColumn("nearer", (F.col("upto") <= F.col("rest")) | (F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("size"))))
     marks = taken.groupBy("end_of", "end_bucket").agg(F.max(F.when(F.col("nearer"), F.col("key"))).alias("end_key"))
-    return per.join(marks, F.col("source").eqNullSafe(F.col("end_of")), "left").drop("end_of", "rest")
+    return cut(per.join(marks, F.col("source").eqNullSafe(F.col("end_of")), "left").drop("end_of", "rest"))
 
 
 def bucket() -> Column:
@@ -107,7 +107,7 @@ def bucket() -> Column:
 
 def copies(keyed: DataFrame, planned: DataFrame) -> DataFrame:
     """Adds source_size, target and `copies`, how often the mix takes the row, to rows with source, size and key."""
-    per = planned.withColumnRenamed("source", "of")
+    per = small(planned).withColumnRenamed("source", "of")
     within = (bucket() < F.col("end_bucket")) | ((bucket() == F.col("end_bucket")) & (F.col("key") <= F.col("end_key")))
     joined = keyed.join(per, F.col("source").eqNullSafe(F.col("of")))
     return joined.withColumn("copies", F.col("epochs") + F.when(within, 1).otherwise(0)).drop("of", "epochs", "buckets", "end_bucket", "end_key")
