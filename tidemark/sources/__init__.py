@@ -1 +1 @@
-
+"""Sources and sinks: files, configuration, extraction, embeddings and versioned tables."""
