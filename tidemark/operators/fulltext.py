@@ -8,6 +8,7 @@ that hold all terms of an alternative (Clarke, Cormack and Tudhope 2000), so clo
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,8 +43,12 @@ def parsed(query: str) -> Query:
 def starts(words: Column, phrase: tuple[str, ...]) -> Column:
     """Positions, from 0, at which a phrase begins."""
     at = F.filter(F.transform(words, lambda w, i: F.when(w == phrase[0], i)), lambda i: i.isNotNull())
-    for k, term in enumerate(phrase[1:], 1):
-        at = F.filter(at, lambda i, k=k, term=term: F.get(words, i + k) == term)
+
+    def follows(k: int) -> Callable[[Column], Column]:
+        return lambda i: F.get(words, i + k) == phrase[k]
+
+    for k in range(1, len(phrase)):
+        at = F.filter(at, follows(k))
     return at
 
 
@@ -59,15 +64,19 @@ def matches(words: Column, query: Query) -> Column:
     return out
 
 
+def _mark(term: int, size: int) -> Callable[[Column], Column]:
+    return lambda i: F.struct((i + (size - 1)).cast("int").alias("at"), F.lit(term).alias("term"), i.cast("int").alias("start"))
+
+
 def cover_density(words: Column, query: Query) -> Column:
     """For each alternative: over places where its last-seen phrases complete a cover, the sum of 1 / its length, each start once."""
     out = F.lit(0.0)
     for alternative in query.alternatives:
         wanted = list(dict.fromkeys(p for p, w in alternative if w))
-        marks = F.flatten(F.array(*[F.transform(starts(words, p), lambda i, n=n, size=len(p): F.struct((i + (size - 1)).cast("int").alias("at"), F.lit(n).alias("term"), i.cast("int").alias("start"))) for n, p in enumerate(wanted)]))
+        marks = F.flatten(F.array(*[F.transform(starts(words, p), _mark(n, len(p))) for n, p in enumerate(wanted)]))
         empty = F.struct(F.array_repeat(F.lit(-1), len(wanted)).alias("last"), F.lit(-1).alias("used"), F.lit(0.0).alias("sum"))
 
-        def step(s: Column, m: Column, n: int = len(wanted)) -> Column:
+        def step(s: Column, m: Column) -> Column:
             last = F.transform(s["last"], lambda x, i: F.when(i == m["term"], m["start"]).otherwise(x))
             least = F.array_min(last)
             new = (least >= 0) & (least > s["used"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,12 +69,15 @@ def lease_stream(commands: DataFrame, most: int = ATTEMPTS) -> DataFrame:
     """Results of a stream of commands, each job's record being kept as state."""
     names = [f.name for f in fields(Record)]
 
+    def known(x: object) -> object:
+        return None if x is None or x is pd.NA or x != x else x
+
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        record = Record(*[None if x is None or x != x else x for x in state.get]) if state.exists else None
+        record = Record(*map(known, state.get)) if state.exists else None
         frame = pd.concat(list(frames)).sort_values("seq")  # commands of one job in one micro-batch
         out = []
         for c in frame.itertuples(index=False):
-            ok, record = applied(record, c.command, _millis(c.at), c.owner, 1000 * int(c.lease_seconds or 0), c.error, most)
+            ok, record = applied(record, c.command, _millis(c.at), known(c.owner), 1000 * int(known(c.lease_seconds) or 0), known(c.error), most)
             out.append({"job_id": key[0], "seq": c.seq, "command": c.command, "accepted": ok} | (asdict(record) if record else dict.fromkeys(names)))
         if record:
             state.update(tuple(getattr(record, n) for n in names))
@@ -82,7 +85,3 @@ def lease_stream(commands: DataFrame, most: int = ATTEMPTS) -> DataFrame:
         yield result.astype({"attempts": "Int64", "expires_ms": "Int64", "next_ms": "Int64"})
 
     return commands.groupBy("job_id").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def lease_end(at: datetime, seconds: int) -> datetime:
-    return at + timedelta(seconds=seconds)
