@@ -31,6 +31,8 @@ RECALL = 0.99999
 MOST_HASHES = 96
 #: A block of a component holds about so many texts and bytes of n-gram sets.
 BLOCK_TEXTS, BLOCK_BYTES = 512, 8 << 20
+#: Bits by which texts that are no candidates are kept from the shuffle, and bits of one part of them.
+SIEVE, BITMAP = 1 << 24, 32768
 #: Columns of an incidence matrix at once.
 COLUMNS = 4096
 
@@ -122,7 +124,24 @@ def candidates(texts: DataFrame) -> DataFrame:
     """a, b: each text that shares a band, with the least text of that band."""
     banded = texts.select("key", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return banded.join(shared.drop("n"), "band").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    return banded.join(shared.drop("n").hint("merge"), "band").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """One row, one array: a bit for each of SIEVE places, set where a key falls. 2 MB however many keys there are."""
+    place = F.pmod(F.xxhash64("key"), F.lit(SIEVE))
+    bitmaps = keys.groupBy(F.floor(place / BITMAP).cast("int").alias("part")).agg(F.bitmap_construct_agg(place % BITMAP).alias("bits"))
+    parts = keys.sparkSession.range(SIEVE // BITMAP).select(F.col("id").cast("int").alias("part"))
+    every = parts.join(bitmaps, "part", "left").select("part", F.coalesce("bits", F.unhex(F.repeat(F.lit("00"), F.lit(BITMAP // 8)))).alias("bits"))
+    return cut(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "bits"))), lambda x: x["bits"]).alias("sieve")))
+
+
+def passes(key: Column, bits: Column) -> Column:
+    """False only for keys that a sieve does not hold."""
+    place = F.pmod(F.xxhash64(key), F.lit(SIEVE))
+    part = F.element_at(bits, (F.floor(place / BITMAP) + 1).cast("int"))
+    byte = F.conv(F.hex(F.substring(part, (F.floor(place % BITMAP / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.getbit(byte, (place % 8).cast("int")) == 1
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
@@ -224,7 +243,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     placed = members.join(sizes, "root").select("key", "id", "copies", "root", "blocks", block.alias("block"))
     text = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    of_member = placed.join(text, (placed["key"] == text["key"]) & placed["id"].eqNullSafe(text["doc_id"])).select(placed["key"], "copies", "root", "blocks", "block", "text")
+    text = text.where(passes(F.col("key"), sieve(members.select("key")).scalar()))
+    of_member = placed.hint("merge").join(text, (placed["key"] == text["key"]) & placed["id"].eqNullSafe(text["doc_id"])).select(placed["key"], "copies", "root", "blocks", "block", "text")
     pairs = gram_sets(of_member).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.concat("root", F.encode(F.concat(F.lit(":"), F.least("block", "other"), F.lit(":"), F.greatest("block", "other")), "UTF-8"))
     side = F.when(F.col("block") <= F.col("other"), 0).otherwise(1)

@@ -80,7 +80,7 @@ def totals(hist: DataFrame, limits: list[int]) -> DataFrame:
     """For each context limit: documents longer than it, their tokens, tokens that remain if cut and tokens lost."""
     over = F.col("n_tokens") > F.col("limit")
     length, n = F.col("n_tokens"), F.col("n_docs")
-    each = hist.withColumn("limit", F.explode(F.array(*[F.lit(int(x)) for x in limits])).cast("long"))
+    each = hist.withColumn("limit", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])))
     return each.groupBy("limit").agg(
         F.sum(F.when(over, n).otherwise(0)).alias("docs_over"),
         F.sum(F.when(over, length * n).otherwise(0)).alias("tokens_over"),
