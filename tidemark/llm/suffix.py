@@ -40,7 +40,9 @@ SHALLOW = 80
 BEYOND = 255
 #: Rows of whole groups that are looked at together.
 CHUNK = 1 << 18
-_HALF = LEFT // 2
+#: Marks in the last two bits of an anchor's place.
+ONE_OF_MANY, SETTLED = 1, 2
+_HALF, _MASK = LEFT // 2, 0x7FFF
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -89,8 +91,12 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """t, gram, context, place of each anchor; place holds the position and 16 bits of what is just before and after the gram."""
-    for batch in small_batches(batches):
+    """t, gram, context, place of each anchor; place holds the position, 15 bits of what is just before and after the gram, and a mark.
+
+    Where a batch has a context several times, one anchor stands for all (ONE_OF_MANY) and the others
+    need no company (SETTLED): they get a gram of their own, so that none is dealt to a hot gram's task.
+    """
+    for batch in small_batches(batches, 1024):
         out: list[list[np.ndarray]] = [[], [], [], []]
         for t, text in zip(batch.column("t").to_numpy(zero_copy_only=False), batch.column("text"), strict=True):
             raw = text.as_buffer()
@@ -101,12 +107,21 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wide = np.concatenate([np.full(LEFT, BEYOND, np.uint8), data, np.full(LENGTH, BEYOND, np.uint8)])
             contexts = gram_hashes(wide, LEFT + LENGTH)[at]
             halves = gram_hashes(wide, _HALF)
-            before, after = halves[at + LEFT - _HALF] & np.uint64(0xFFFF), halves[at + LEFT + GRAM] & np.uint64(0xFFFF)
-            place = at.astype(np.uint64) << np.uint64(32) | before << np.uint64(16) | after
+            before, after = halves[at + LEFT - _HALF] & np.uint64(_MASK), halves[at + LEFT + GRAM] & np.uint64(_MASK)
+            place = at.astype(np.uint64) << np.uint64(32) | before << np.uint64(17) | after << np.uint64(2)
             for column, x in zip(out, (np.full(len(at), t), grams.view(np.int64), contexts.view(np.int64), place.view(np.int64)), strict=True):
                 column.append(x)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], ["t", "gram", "context", "place"])
+            t, grams, contexts, place = map(np.concatenate, out)
+            order = np.lexsort((contexts, grams))
+            new = np.append(True, (grams[order][1:] != grams[order][:-1]) | (contexts[order][1:] != contexts[order][:-1]))
+            times = np.bincount(np.cumsum(new) - 1)
+            first = order[new]
+            place[first[times > 1]] |= ONE_OF_MANY
+            settled = order[~new]
+            place[settled] |= SETTLED
+            grams[settled] = mixed(place[settled].view(np.uint64) ^ mixed(t[settled].view(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t, grams, contexts, place)], ["t", "gram", "context", "place"])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -150,12 +165,18 @@ def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in whole_groups(batches, 1, CHUNK):
         t, gram, context, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        same = counts_of(context, gram)
+        settled = place & SETTLED > 0
+        if settled.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t[settled], place[settled], gram[settled], np.zeros(settled.sum(), np.int64))], ["t", "place", "gram", "what"])
+            t, gram, context, place = (x[~settled] for x in (t, gram, context, place))
+            if not len(t):
+                continue
+        same = counts_of(context, gram) + (place & ONE_OF_MANY)
         order = np.lexsort((place, t, context, gram))
         first = np.zeros(len(order), bool)
         first[order] = np.append(True, (context[order][1:] != context[order][:-1]) | (gram[order][1:] != gram[order][:-1]))
         f = np.flatnonzero(first)
-        before, after = place[f] >> 16 & 0xFFFF, place[f] & 0xFFFF
+        before, after = place[f] >> 17 & _MASK, place[f] >> 2 & _MASK
         meets = (counts_of(before, gram[f]) > 1) | (counts_of(after, gram[f]) > 1)
         single = np.zeros(len(order), np.int64)
         single[f] = same[f] == 1
