@@ -281,7 +281,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keys = kept.where("class_id is not null").select("x.key").union(null_ids)
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     keyed = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("id"), row)
-    chosen = keyed.join(keys, "key", "left_semi").join(texts.select(F.col("key"), F.col("id").alias("least")), "key").where(F.col("id").eqNullSafe(F.col("least")))
+    chosen = keyed.join(keys.hint("merge"), "key", "left_semi").join(texts.select(F.col("key"), F.col("id").alias("least")).hint("merge"), "key").where(F.col("id").eqNullSafe(F.col("least")))
     first = chosen.groupBy("key").agg(F.first("row").alias("row"))
     return first.select(*[F.col("row")[c].alias(c) for c in names])
 
