@@ -36,6 +36,10 @@ def test_formats_are_kept_and_values_linked(spark):
     assert digits[9][0] == "1" and digits[9][1:11] == digits[9][11:] != "5551234567"
     assert out[10][0] == f'TOKEN = "{out[11][0].upper()}"' and out[11][0] != texts[11] and int(out[11][0], 16)
     assert [o for o, _ in out[12:]] == texts[12:] and not any(k for _, k in out[12:])
+    phones = ["+1(555)1234567 now", "(555)123-4567", "+44 20 7946 0958", "+15551234567", "+9 (999) 999-9999 10.20.30.40", "5551234567 1-2-3"]
+    called = rewritten(spark, phones)
+    assert [k for _, k in called] == [["phone"], ["phone"], ["phone"], ["phone"], ["phone", "ip"], []] and called[5][0] == phones[5]
+    assert called[0][0][3:6] + called[0][0][7:14] == called[1][0].translate({ord(c): None for c in "()-"}) == called[3][0][2:] != "5551234567"
     assert rewritten(spark, texts) == out and rewritten(spark, texts[:1], key="another")[0][0] != out[0][0]
 
 

@@ -75,10 +75,3 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return at.rstrip("/")
-
-
-def dropped(spark: SparkSession, path: str) -> None:
-    """Removes a table that `store` wrote."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -42,7 +42,7 @@ PATTERNS = {
     "ip": rf"{_FREE}(?<![0-9]\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{{2}}|[1-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1[0-9]{{2}}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "ssn": rf"{_FREE}(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}{_END}",
     "card": rf"{_FREE}(?:[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{4}}|[0-9]{{13,19}}){_END}",
-    "phone": rf"(?:\+[0-9]{{1,3}}[ .-]?)?(?<![0-9A-Za-z])\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}}{_END}|\+[0-9]{{11,14}}{_END}",
+    "phone": rf"(?:\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{3}}\)?[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|{_FREE}(?:\([0-9]{{3}}\)[ .-]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}|\+[0-9]{{10,14}}|\+[0-9]{{1,3}} [0-9]{{2,4}} [0-9]{{3,4}} [0-9]{{3,4}}){_END}",
 }
 
 
