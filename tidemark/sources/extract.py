@@ -15,7 +15,6 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
