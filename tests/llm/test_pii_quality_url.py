@@ -43,6 +43,14 @@ def test_formats_are_kept_and_values_linked(spark):
     assert rewritten(spark, texts) == out and rewritten(spark, texts[:1], key="another")[0][0] != out[0][0]
 
 
+def test_cards_need_their_check_digit(spark):
+    texts = ["4111111111111112", "4111 1111 1111 1112", "at 1700000000123 ISBN 9783161484100", "4111111111111111 or 4111111111111112", "378282246310005"]
+    out = rewritten(spark, texts)
+    assert out[:3] == [(t, []) for t in texts[:3]]
+    assert out[3][1] == ["card"] and out[3][0].endswith(" or 4111111111111112") and luhn(out[3][0][:16]) and not out[3][0].startswith("4111111111111111")
+    assert out[4][1] == ["card"] and luhn(out[4][0]) and out[4][0] != texts[4]
+
+
 def test_networks_are_permutations(spark):
     pairs = spark.range(17 * 23).select(pii.permuted_pair(F.floor(F.col("id") / 23), F.col("id") % 23, 17, 23, "k").alias("p")).collect()
     assert {(r["p"]["x"], r["p"]["y"]) for r in pairs} == {(x, y) for x in range(17) for y in range(23)}

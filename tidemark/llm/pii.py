@@ -14,7 +14,7 @@ invert it.
     date    days from 1900 to 2099                       order and separators
     ip      all 32 bits                                  -
     ssn     area, group and serial number in their ranges  -
-    card    all digits but the last                      separators; difference to the check digit
+    card    all digits but the last                      separators; the check digit is computed anew
     phone   the last 10 digits                           country code, separators
 
 Columns of built-in functions only, in one pass without a shuffle.
@@ -212,8 +212,12 @@ def _ssn(p: Column) -> Column:
 
 def card(m: Column, key: str) -> Column:
     d = digits_of(m)
-    body = F.substring(d, F.lit(1), F.length(d) - 1)
-    return let(permuted(body, key), lambda new: refilled(m, F.concat(new, ((luhn(new) + F.pmod(F.substring(d, -1, 1).cast("int") - luhn(body), F.lit(10))) % 10).cast("string")), "0-9"))
+    return let(permuted(F.substring(d, F.lit(1), F.length(d) - 1), key), lambda new: refilled(m, F.concat(new, luhn(new).cast("string")), "0-9"))
+
+
+def is_card(m: Column) -> Column:
+    d = digits_of(m)
+    return m.rlike(f"^{PATTERNS['card']}$") & (luhn(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, -1, 1).cast("int"))
 
 
 def phone(m: Column, key: str) -> Column:
@@ -228,7 +232,7 @@ def kind_of(m: Column) -> Column:
     """The kind of a match; null if it is not valid."""
     out = F.lit(None).cast("string")
     for kind in reversed(PATTERNS):
-        fits = m.contains("@") if kind == "email" else is_iban(m) if kind == "iban" else m.rlike(f"^(?:{PATTERNS[kind]})$")
+        fits = m.contains("@") if kind == "email" else is_iban(m) if kind == "iban" else is_card(m) if kind == "card" else m.rlike(f"^(?:{PATTERNS[kind]})$")
         fits = fits & day(m).isNotNull() if kind == "date" else fits
         out = F.when(fits, F.lit(kind)).otherwise(out)
     return out
