@@ -49,6 +49,12 @@ def test_blocks_find_the_same_links(docs, rows, monkeypatch):
     assert sorted(map(repr, jaccard.near_duplicates(docs).collect())) == whole
 
 
+def test_empty_blocks_add_no_links(docs, monkeypatch):
+    whole = sorted(map(repr, jaccard.near_duplicates(docs).collect()))
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 256)
+    assert sorted(map(repr, jaccard.near_duplicates(docs).collect())) == whole
+
+
 def test_bands_reach_their_recall():
     bands, rows = jaccard.bands_and_rows(0.8)
     assert bands * rows <= jaccard.MOST_HASHES and 1 - (1 - 0.8**rows) ** bands >= jaccard.RECALL

@@ -31,6 +31,8 @@ RECALL = 0.99999
 MOST_HASHES = 96
 #: A block of a component holds about so many texts and bytes of n-gram sets.
 BLOCK_TEXTS, BLOCK_BYTES = 512, 8 << 20
+#: The side of texts in a group of one block.
+WITHIN = 2
 #: Bits by which texts that are no candidates are kept from the shuffle, and bits of one part of them.
 SIEVE, BITMAP = 1 << 24, 32768
 #: Columns of an incidence matrix at once.
@@ -144,8 +146,8 @@ def passes(key: Column, bits: Column) -> Column:
     return F.getbit(byte, (place % 8).cast("int")) == 1
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
-    """Matrix of the pairs whose similarity is at least SIMILARITY; if `left` is mixed, of pairs between its two sides only."""
+def linked(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """Matrix of the pairs whose similarity is at least SIMILARITY; unless all are of side WITHIN, of pairs between the two sides only."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), sizes)
@@ -166,8 +168,8 @@ def linked(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
     union = sizes[:, None] + sizes[None, :] - inter
     found = SIMILARITY[1] * inter >= SIMILARITY[0] * union
     np.fill_diagonal(found, False)
-    if left.any() and not left.all():
-        found &= left[:, None] != left[None, :]
+    if (side != WITHIN).any():
+        found &= side[:, None] != side[None, :]
     return found
 
 
@@ -187,12 +189,18 @@ VERIFIED = "key binary, links long, root binary"
 
 
 def verified(groups: DataFrame) -> DataFrame:
-    """key, links, root for each text of a group (group, side, key, copies, grams) that has a link there; links count documents."""
+    """key, links, root for each text of a group (group, side, key, copies, grams) that has a link there; links count documents.
+
+    A group is one block (side WITHIN) or a pair of blocks (sides 0 and 1), of which one may be empty: then it has no links.
+    """
 
     def one(rows: list[tuple]) -> list[tuple[bytes, int, bytes]]:
         rows = list({(r[0], r[1]): r for r in rows}.values())
         keys = [r[1] for r in rows]
-        found = linked([np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[0] == 0 for r in rows]))
+        side = np.array([r[0] for r in rows])
+        if side[0] != WITHIN and (side == side[0]).all():
+            return []
+        found = linked([np.frombuffer(r[3], np.uint64) for r in rows], side)
         order = np.argsort(np.argsort(np.array([k.hex() for k in keys])))
         back = np.argsort(order)
         links = found @ np.array([r[2] for r in rows], np.float64)
@@ -247,7 +255,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_member = placed.hint("merge").join(text, (placed["key"] == text["key"]) & placed["id"].eqNullSafe(text["doc_id"])).select(placed["key"], "copies", "root", "blocks", "block", "text")
     pairs = gram_sets(of_member).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.concat("root", F.encode(F.concat(F.lit(":"), F.least("block", "other"), F.lit(":"), F.greatest("block", "other")), "UTF-8"))
-    side = F.when(F.col("block") <= F.col("other"), 0).otherwise(1)
+    side = F.when(F.col("block") == F.col("other"), WITHIN).when(F.col("block") < F.col("other"), 0).otherwise(1)
     found = cut(verified(pairs.withColumn("group", group).withColumn("side", side)))
     joined = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
