@@ -16,6 +16,24 @@ def test_query_without_sql_gives_rows(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_markdown_is_read_to_its_end(spark, tmp_path):
+    words = "long text " * 20000
+    plain = {
+        "one **two** three\n\nlast *line*": "one two three\nlast line",
+        "see [a link](http://x.org/a) and ![a picture](p.png)\n> quoted": "see a link and a picture\nquoted",
+        "before\n```python\nx = **kw\n# no heading\n```\nafter": "before\nx = **kw\n# no heading\nafter",
+        "| a | b |\n|---|---|\n| **c** | d |": "| a | b |\n| c | d |",
+        "<div>raw <b>html</b></div>\n&lt;kept&gt;": "raw html\n<kept>",
+        words + "**end**": words + "end",
+        "": "",
+        None: None,
+    }
+    spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["text"] for r in queries.markdown_text(spark, str(tmp_path)).collect()}
+    expected = [None if t is None else f"Title\n{t}\nitem and code".replace("\n\n", "\n") for t in plain.values()]
+    assert [found[i] for i in range(len(plain))] == expected
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 

@@ -446,7 +446,8 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("markdown_text")
 def markdown_text(spark: SparkSession, sf: str) -> DataFrame:
-    source = F.concat(F.lit("# Title\n\n**"), F.regexp_extract("text", r"^\S+", 0), F.lit("** and `code`\n\n- item\n"))
+    """Whole documents, each between a heading and a list."""
+    source = F.concat(F.lit("# Title\n\n"), F.col("text"), F.lit("\n\n- **item** and `code`\n"))
     return t(spark, sf, "documents").select("doc_id", extract.markdown_text(source).alias("text"))
 
 
