@@ -51,6 +51,27 @@ def test_cards_need_their_check_digit(spark):
     assert out[4][1] == ["card"] and luhn(out[4][0]) and out[4][0] != texts[4]
 
 
+def test_values_at_the_bounds_of_patterns(spark):
+    run = "0123456789abcdef" * 9
+    ibans = ["ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "AT61 1904 3002 3457 3201 BIC 4111 1111 1111 1111", "ES9121000418450200051332 1234"]
+    dates = ["12/25/2024", "1.2.2024", "01.02.2024", "2024/12/25", "25-12-2024", "2024-2-1", "12-25-2024"]
+    out = rewritten(spark, [run, run.upper(), run[:20].upper() + run[20:40], *ibans, *dates, "13/13/2024 30.2.2024 x.org/2024/12/25/ 3.1.2.2024"])
+    assert [k for _, k in out[:3]] == [["secret"]] * 3 and all(int(t, 16) and len(t) == n for (t, _), n in zip(out, (144, 144, 40)))
+    assert out[0][0] != run and out[1][0] == out[0][0].upper() and out[2][0] != out[2][0].upper() and out[2][0] != out[2][0].lower()
+    assert out[3][1] == ["iban"] and out[3][0].endswith(" BIC CAIXESBB") and out[4][1] == ["iban", "card"] and out[5][1] == ["iban"] and out[5][0].endswith(" 1234")
+    assert out[3][0][:29].replace(" ", "") == out[5][0][:24] != "ES9121000418450200051332"
+    found = dict(zip(dates, out[6:13]))
+    assert all(k == ["date"] and t != d for d, (t, k) in found.items())
+    christmas = [pd.to_datetime(found[d][0], format=f) for d, f in (("2024/12/25", "%Y/%m/%d"), ("25-12-2024", "%d-%m-%Y"))]
+    second = [pd.to_datetime(found[d][0], format=f) for d, f in (("1.2.2024", "%d.%m.%Y"), ("01.02.2024", "%d.%m.%Y"), ("2024-2-1", "%Y-%m-%d"))]
+    american = [pd.to_datetime(found[d][0], format=f) for d, f in (("12/25/2024", "%m/%d/%Y"), ("12-25-2024", "%m-%d-%Y"))]
+    assert len(set(christmas)) == len(set(second)) == len(set(american)) == 1 and american[0].day > 12
+    assert out[13][1] == []
+    days = spark.range(73049).select(F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12 and id % 20 = 0")
+    moved = days.select(pii.date(F.date_format("d", "MM/dd/yyyy"), "k").alias("x"))
+    assert moved.where("substr(x, 4, 2) > '12'").distinct().count() == days.count()
+
+
 def test_networks_are_permutations(spark):
     pairs = spark.range(17 * 23).select(pii.permuted_pair(F.floor(F.col("id") / 23), F.col("id") % 23, 17, 23, "k").alias("p")).collect()
     assert {(r["p"]["x"], r["p"]["y"]) for r in pairs} == {(x, y) for x in range(17) for y in range(23)}

@@ -9,9 +9,9 @@ invert it.
 
     kind    permuted                                     kept
     email   letters and digits before the @, by class    case, punctuation, domain
-    secret  hexadecimal numbers of 32 digits or more       case
+    secret  hexadecimal numbers of 32 digits or more     case; if mixed, capitals where there were some
     iban    letters and digits of the account, by class  country; check digits are computed anew
-    date    days from 1900 to 2099                       order and separators
+    date    days from 1900 to 2099                       order (day first where both fit), separators
     ip      all 32 bits                                  -
     ssn     area, group and serial number in their ranges  -
     card    all digits but the last                      separators; the check digit is computed anew
@@ -33,12 +33,23 @@ KEY = "tidemark pseudonyms, replace in production"
 ROUNDS = 8
 
 _FREE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|CR|HR|LI|LV", 22: "BG|BH|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL",
+    24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+#: Those at just their length, then any country at any length.
+_IBANS = [rf"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + _END for n, countries in IBAN_LENGTHS.items()]
+_IBAN = "|".join([*_IBANS, rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}"])
+_YEAR, _UP_TO_31 = "(?:19|20)[0-9]{2}", "(?:0?[1-9]|[12][0-9]|3[01])"
+#: Year first, or day and month in either order before the year.
+_DATE = rf"(?:{_YEAR}-{_UP_TO_31}-{_UP_TO_31}|(?<!/){_YEAR}/{_UP_TO_31}/{_UP_TO_31}|{_YEAR}\.{_UP_TO_31}\.{_UP_TO_31}|(?<![0-9]\.){_UP_TO_31}[./-]{_UP_TO_31}[./-]{_YEAR})(?![0-9A-Za-z]|[-./][0-9])"
 #: Kind and pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z][A-Za-z0-9-]+",
-    "secret": rf"{_FREE}(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}){_END}",
-    "iban": rf"{_FREE}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
-    "date": rf"{_FREE}(?:(?:19|20)[0-9]{{2}}-[01][0-9]-[0-3][0-9]|[0-3][0-9][./][01][0-9][./](?:19|20)[0-9]{{2}})(?![0-9A-Za-z]|[-./][0-9])",
+    "secret": rf"{_FREE}(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{{32,}}+{_END}",
+    "iban": rf"{_FREE}(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})",
+    "date": rf"{_FREE}{_DATE}",
     "ip": rf"{_FREE}(?<![0-9]\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{{2}}|[1-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1[0-9]{{2}}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "ssn": rf"{_FREE}(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}{_END}",
     "card": rf"{_FREE}(?:[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{4}}|[0-9]{{13,19}}){_END}",
@@ -69,16 +80,15 @@ def digest(*parts: Column | str) -> Column:
 def shifted(half: Column, digest_of_other: Column, hexadecimal: bool) -> Column:
     """Moves the i-th character within its class by the i-th byte of a digest; others stay. `half` is not empty."""
 
-    def one(i: Column, by: Column) -> Column:
-        c = F.substring(half, i, F.lit(1))
-        step = number(F.substring(by, (2 * ((i - 1) % 64) + 1).cast("int"), F.lit(2)))
+    def one(c: Column, i: Column, by: Column) -> Column:
+        step = number(F.substring(by, (2 * (i % 64) + 1).cast("int"), F.lit(2)))
         if hexadecimal:
             return F.lower(F.hex((number(c) + step) % 16))
         code = F.ascii(c)
         digit, letter = c.between("0", "9"), (F.length(c) == F.octet_length(c)) & c.between("a", "z")
         return F.when(digit, F.char(48 + (code - 48 + step) % 10)).when(letter, F.char(97 + (code - 97 + step) % 26)).otherwise(c)
 
-    return let(digest_of_other, lambda by: F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), lambda i: one(i, by)), ""))
+    return let(digest_of_other, lambda by: F.array_join(F.transform(F.split(half, ""), lambda c, i: one(c, i, by)), ""))
 
 
 def permuted(value: Column, key: str, hexadecimal: bool = False) -> Column:
@@ -151,7 +161,12 @@ def email(m: Column, key: str) -> Column:
 
 def secret(m: Column, key: str) -> Column:
     new = permuted(F.lower(m), key, hexadecimal=True)
-    return F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
+
+    def mixed(new: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(m, ""), F.split(new, ""), lambda old, c: F.when(old.between("A", "F"), F.upper(c)).otherwise(c)), "")
+
+    capitals = m.rlike("[A-F]")
+    return let(new, lambda x: F.when(capitals & m.rlike("[a-f]"), mixed(x)).when(capitals, F.upper(x)).otherwise(x))
 
 
 def iban(m: Column, key: str) -> Column:
@@ -174,23 +189,60 @@ def is_iban(m: Column) -> Column:
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
 
+def fields(m: Column) -> Column:
+    """The three numbers of a date as they are written."""
+    return F.split(m, "[-./]")
+
+
+def month_first(m: Column) -> Column:
+    """Whether a date before its year has a month and then a day: only if it can't be read the other way."""
+    return ~year_first(m) & (fields(m)[1].cast("int") > 12)
+
+
+def year_first(m: Column) -> Column:
+    return m.rlike("^[0-9]{4}")
+
+
 def day(m: Column) -> Column:
     """The day that a date names, null if the calendar has none."""
-    iso = F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))
-    return F.try_to_timestamp(F.when(m.rlike("^[0-9]{4}-"), m).otherwise(iso), F.lit("yyyy-MM-dd")).cast("date")
+    x = F.transform(fields(m), lambda n: F.lpad(n, F.greatest(F.length(n), F.lit(2)), F.lit("0")))
+    iso = F.when(year_first(m), F.concat_ws("-", x[0], x[1], x[2])).when(month_first(m), F.concat_ws("-", x[2], x[0], x[1])).otherwise(F.concat_ws("-", x[2], x[1], x[0]))
+    return F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
+
+
+#: Steps at most to a day beyond the 12th; each one gets there in three of five cases.
+WALK = 128
 
 
 def date(m: Column, key: str) -> Column:
-    n = F.datediff(day(m), F.lit(FIRST_DAY).cast("date"))
-    pair = permuted_pair(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, key)
-    moved = let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS[1] + p["y"]).cast("int")))
-    return let(moved, lambda new: _written(m, new))
+    """A date of month and day stays one that can't be read as day and month: its permutation is walked on until it gets to such a day."""
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def moved(d: Column) -> Column:
+        n = F.datediff(d, first)
+        pair = permuted_pair(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, key)
+        return let(pair, lambda p: F.date_add(first, (p["x"] * DAYS[1] + p["y"]).cast("int")))
+
+    def walked(d: Column) -> Column:
+        on = F.sequence(F.lit(1), F.lit(WALK))
+        return F.aggregate(on, moved(d), lambda x, _: F.when(F.dayofmonth(x) > 12, x).otherwise(moved(x)))
+
+    return let(day(m), lambda d: let(F.when(month_first(m), walked(d)).otherwise(moved(d)), lambda new: _written(m, new)))
 
 
 def _written(m: Column, new: Column) -> Column:
-    separator = F.substring(m, 3, 1), F.substring(m, 6, 1)
-    european = F.concat(F.date_format(new, "dd"), separator[0], F.date_format(new, "MM"), separator[1], F.date_format(new, "yyyy"))
-    return F.when(m.rlike("^[0-9]{4}-"), F.date_format(new, "yyyy-MM-dd")).otherwise(european)
+    """The day in the order and with the separators of `m`; numbers that it writes with one digit have no leading zeros."""
+    x, year = fields(m), F.date_format(new, "yyyy")
+
+    def two(k: int, number: Column) -> Column:
+        return F.when(F.length(x[k]) == 2, F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string"))
+
+    def joined(a: Column, b: Column, c: Column) -> Column:
+        at = F.length(x[0]) + 1
+        return F.concat(a, F.substr(m, at, F.lit(1)), b, F.substr(m, at + F.length(x[1]) + 1, F.lit(1)), c)
+
+    month, dom = F.month(new), F.dayofmonth(new)
+    return F.when(year_first(m), joined(year, two(1, month), two(2, dom))).when(month_first(m), joined(two(0, month), two(1, dom), year)).otherwise(joined(two(0, dom), two(1, month), year))
 
 
 def ip(m: Column, key: str) -> Column:
