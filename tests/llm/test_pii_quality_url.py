@@ -121,6 +121,25 @@ def test_cutoffs_need_proof():
     assert quality.choose({("en", "symbols"): many}, {"en": 2000}) == {}
 
 
+def test_rules_of_a_stratum_share_its_limit(spark):
+    cells = {20: (8, 500), 0: (3992, 0)}
+    counts = {("en", name): {min(k, len(quality.CUTOFFS[name])): v for k, v in cells.items()} for name in quality.RULES}
+    chosen = quality.choose(counts, {"en": 4000})
+    level = quality.DELTA / sum(map(len, quality.CUTOFFS.values()))
+    assert len(chosen) == 1 and len(quality.choose(counts | {("en", "symbols"): {20: (0, 900), 0: (4000, 0)}}, {"en": 40000})) == 5
+    assert sum(quality.most_rejected(4000, 8, level) for _ in chosen) <= quality.LIMIT
+    assert quality.binomial_tail(4000, 8, quality.most_rejected(4000, 8, level)) == pytest.approx(level, rel=1e-6)
+
+
+def test_any_language_is_a_stratum(spark):
+    made = [(i, ("%%%" if i % 10 == 0 else "").join(f" w{i * 41 + k}" for k in range(40)), ["it", "nl"][i % 3 == 0]) for i in range(3000)]
+    rows = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(3000)], "doc_id long, quality int, toxic int")
+    few = labels.where("doc_id % 3 <> 0 or doc_id < 900")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(rows, few).collect()}
+    assert all(kept[i] == (i % 10 != 0 or i % 3 == 0) for i in range(3000))
+
+
 def test_quality_keeps_good_documents(spark, docs, rows, no_docs):
     rng = random.Random(3)
     made = [(1000 + i, ("%%%" if i % 10 == 0 else "").join(f" {rng.randrange(10**6)}" for _ in range(40)), "en", "s", 0, 0, "", "") for i in range(3000)]

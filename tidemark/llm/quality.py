@@ -1,14 +1,15 @@
 """Quality rules: cutoffs whose false rejections are bounded.
 
 Each rule is a feature of a text and a direction. Which cutoff it gets is decided on labelled
-documents, one stratum (language) at a time: a cutoff may stand only if an exact binomial test shows,
-at level `DELTA` divided by the number of all cutoffs of all rules and strata (Bonferroni), that it
-rejects less than `LIMIT` of the good documents of its stratum. Of those that may stand the one that
-rejects most bad documents is taken, a good one counting as `WORTH` bad ones. A stratum with too few
-labels for any proof rejects nothing.
-
-The labels needed are counts by stratum, rule and cutoff, a table of fixed size. Features are
-computed once for each whole text, in Arrow batches.
+documents, one stratum (language) at a time. Exact binomial tests, at level `DELTA` divided by the
+number of all cutoffs of all rules and strata (Bonferroni), bound the share of good documents that a
+cutoff rejects; cutoffs may stand together only if their bounds add up to `LIMIT` at most, so a
+stratum's rules reject no more than that between them. Of those that may stand the one that rejects
+most bad documents is taken, a good one counting as `WORTH` bad ones, then the best one of another
+rule that fits into what is left. A stratum with too few labels for any proof rejects nothing.
+
+Every language with labels enough is a stratum. The labels needed are counts by stratum, rule and
+cutoff. Features are computed once for each whole text, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -22,12 +23,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
 
-#: Share of good documents that may be rejected by a rule in a stratum, and the chance of being wrong about any of them.
+#: Share of good documents that may be rejected by all rules of a stratum, and the chance of being wrong about any of them.
 LIMIT, DELTA = 0.01, 0.05
 #: Bad documents that a cutoff must reject for each good one.
 WORTH = 10
-#: Languages that are strata of their own; all others are one.
-STRATA = ("de", "en", "es", "fr")
 
 SYMBOLS, CAPITALS = b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 5
@@ -124,7 +123,8 @@ def rule(name: str) -> Column:
 
 
 def stratum(lang: Column) -> Column:
-    return F.when(lang.isin(*STRATA), lang).otherwise(F.lit("other"))
+    """The language; those without one are a stratum too."""
+    return F.coalesce(lang.cast("string"), F.lit(""))
 
 
 def binomial_tail(n: int, k: int, p: float) -> float:
@@ -136,23 +136,42 @@ def binomial_tail(n: int, k: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
+def most_rejected(n: int, k: int, level: float) -> float:
+    """The share that k of n shows, at that level, not to be exceeded."""
+    low, high = k / n, 1.0
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (low, middle) if binomial_tail(n, k, middle) <= level else (middle, high)
+    return high
+
+
+def least_good(limit: float = LIMIT, delta: float = DELTA) -> int:
+    """Good documents without which no cutoff of a stratum can be proven."""
+    return math.ceil(math.log(delta / sum(map(len, CUTOFFS.values()))) / math.log1p(-limit))
+
+
 def choose(counts: dict[tuple[str, str], dict[int, tuple[int, int]]], good: dict[str, int], limit: float = LIMIT, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """The cutoff of each stratum and rule that may reject: admissible, and of most gain.
+    """The cutoffs of each stratum that may reject together: admissible, and of most gain.
 
     counts: for (stratum, rule) the good and bad documents in each cell, cell i being values above
     just the first i cutoffs. good: good documents of each stratum.
     """
-    level = delta / (sum(map(len, CUTOFFS.values())) * (len(STRATA) + 1))
+    level = delta / (sum(map(len, CUTOFFS.values())) * max(1, len(good)))
     out = {}
-    for (where, name), cells in counts.items():
-        best = 0
-        for i, at in reversed(list(enumerate(CUTOFFS[name], 1))):  # the loosest first, so that equal gains reject least
-            above = [v for cell, v in cells.items() if cell >= i]
-            falsely, rightly = sum(x[0] for x in above), sum(x[1] for x in above)
-            gain = rightly - WORTH * falsely
-            # a share at or above the limit can't pass, so its sum is spared
-            if gain > best and falsely < limit * good[where] and binomial_tail(good[where], falsely, limit) <= level:
-                best, out[where, name] = gain, at
+    for where, n in good.items():
+        left = limit
+        tries = []  # the loosest first, so that equal gains reject least
+        for name in RULES:
+            cells = counts.get((where, name), {})
+            for i, at in reversed(list(enumerate(CUTOFFS[name], 1))):
+                above = [v for cell, v in cells.items() if cell >= i]
+                falsely, rightly = sum(x[0] for x in above), sum(x[1] for x in above)
+                tries.append((rightly - WORTH * falsely, name, at, falsely))
+        for gain, name, at, falsely in sorted(tries, key=lambda x: -x[0]):
+            # a share at or above what is left can't pass, so its sum is spared
+            if gain > 0 and (where, name) not in out and falsely < left * n and binomial_tail(n, falsely, left) <= level:
+                out[where, name] = at
+                left -= most_rejected(n, falsely, level)
     return out
 
 
@@ -164,6 +183,8 @@ def fit(described: DataFrame, labels: DataFrame) -> dict[tuple[str, str], int]:
     """
     quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     held = described.where(~base_failed()).join(quality, "doc_id")
+    enough = held.where("quality > 0").groupBy("stratum").count().where(F.col("count") >= least_good())
+    held = held.join(F.broadcast(enough.select("stratum")), "stratum", "left_semi")
     cells = []
     for name in RULES:
         cell = sum((rule(name) > c).cast("int") for c in CUTOFFS[name])
@@ -194,7 +215,7 @@ def described(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Features and verdict of each document.
 
-    A null or empty text has no words and fails; a null language belongs to the stratum of others.
+    A null or empty text has no words and fails; rows of a null language are a stratum.
     Ids may be null (then unlabelled) or repeat; equal rows get equal verdicts. Without labels only
     the base rules reject. No rows give no rows. The columns doc_id, text and lang are read.
     """
