@@ -55,6 +55,15 @@ def test_empty_blocks_add_no_links(docs, monkeypatch):
     assert sorted(map(repr, jaccard.near_duplicates(docs).collect())) == whole
 
 
+def test_classes_do_not_depend_on_ids(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    near = [" ".join([*base[:k], "edit", *base[k + 1 :]]) for k in (20, 70)]
+    rows = [(7, "one text of its own here"), (7, "another text that has nothing of it"), (7, "a third one"), (None, near[0]), (None, near[1]), (None, "no id and no copy")]
+    kept = [r["text"] for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted([t for _, t in rows if t not in near] + [t for t in near if t in kept]) and len(kept) == 5
+
+
 def test_bands_reach_their_recall():
     bands, rows = jaccard.bands_and_rows(0.8)
     assert bands * rows <= jaccard.MOST_HASHES and 1 - (1 - 0.8**rows) ** bands >= jaccard.RECALL

@@ -242,7 +242,7 @@ def gram_sets(rows: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents: id, key), (texts: key, id, copies, class_id, links), both stored; ids are the least of their texts and classes."""
+    """(documents: id, key), (texts: key, id, copies, root, class_id, links), both stored; ids are the least of their texts and classes, roots tell classes apart."""
     signed = cut(signatures(docs))
     texts = cut(signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
     parts = components(candidates(texts))
@@ -261,8 +261,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     linked_texts = cut(texts.select("key", "id", "copies").join(joined.withColumnRenamed("node", "key"), "key").join(links, "key"))
     class_ids = linked_texts.groupBy("root").agg(F.min("id").alias("class_id"))
-    of_text = linked_texts.join(class_ids, "root").select("key", "class_id", "links")
-    every = texts.select("key", "id", "copies").join(of_text, "key", "left").withColumn("class_id", F.coalesce("class_id", "id")).withColumn("links", F.coalesce("links", F.lit(0)))
+    of_text = linked_texts.join(class_ids, "root").select("key", "root", "class_id", "links")
+    every = texts.select("key", "id", "copies").join(of_text, "key", "left").withColumn("root", F.coalesce("root", "key")).withColumn("class_id", F.coalesce("class_id", "id")).withColumn("links", F.coalesce("links", F.lit(0)))
     return signed.select("id", "key"), cut(every)
 
 
@@ -281,12 +281,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document of least doc_id of each class (of equal rows or ids, one), with its columns as they were."""
+    """The document of least doc_id of each class (of equal rows or ids in it, one), with its columns as they were.
+
+    Classes are told apart by their texts, so ids may be null or repeat.
+    """
     names = docs.columns
     _, texts = classes(docs)
-    kept = texts.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x"))
-    null_ids = texts.where("class_id is null").select("key")
-    keys = kept.where("class_id is not null").select("x.key").union(null_ids)
+    keys = texts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select("x.key")
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     keyed = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("id"), row)
     chosen = keyed.join(keys.hint("merge"), "key", "left_semi").join(texts.select(F.col("key"), F.col("id").alias("least")).hint("merge"), "key").where(F.col("id").eqNullSafe(F.col("least")))
