@@ -45,3 +45,21 @@ def test_searches_end_in_a_top_k(spark, sf_dir):
     plan = queries.keyword_topk(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_texts_are_cut_into_words_once(spark, sf_dir):
+    def optimised(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert optimised(queries.fts_rank(spark, sf_dir)).count("regexp_extract_all") == 1
+    assert optimised(queries.chunk_ids(spark, sf_dir)).count("split(") == 1
+
+
+def test_long_texts_are_cut_in_time_linear_in_them(spark):
+    """A window that split its text anew would take minutes here: 5,000 windows of 400,000 words."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import text
+
+    rows = spark.range(1).select(F.repeat(F.concat(F.lit("word"), F.col("id"), F.lit(" ")), F.lit(400_000)).alias("t"))
+    assert rows.select(F.size(text.chunks(F.col("t"))).alias("n")).first()["n"] == 5000

@@ -9,16 +9,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.binding import let
+
+#: All characters up to U+0020.
+BLANK = "".join(map(chr, range(0x21)))
+
 
 def trimmed(c: Column) -> Column:
     """Strips all characters up to U+0020 at both ends, where Spark's trim strips spaces only."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(c, F.lit(BLANK))
 
 
 def words(c: Column) -> Column:
     """Words between ASCII white space; none for a blank or null text."""
-    plain = trimmed(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return let(trimmed(F.coalesce(c, F.lit(""))), lambda p: F.when(p == "", F.array().cast("array<string>")).otherwise(F.split(p, r"\s+")))
 
 
 def chunks(c: Column, size: int = 100, overlap: int = 20) -> Column:
@@ -26,10 +30,13 @@ def chunks(c: Column, size: int = 100, overlap: int = 20) -> Column:
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("a window needs at least one word more than its overlap")
     step = size - overlap
-    each = words(c)
-    last = F.greatest(F.lit(0), F.ceil((F.size(each) - size) / step)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(each, k * step + 1, size), " "))
-    return F.when(F.size(each) > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(each: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(each) - size) / step)).cast("int")
+        found = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(each, k * step + 1, size), " "))
+        return F.when(F.size(each) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return let(words(c), windows)
 
 
 def utf16_length(c: Column) -> Column:
@@ -104,5 +111,5 @@ def safe_filename(name: Column, most: int = 255) -> Column:
     clean = F.regexp_replace(compatible_form(name), r"[\p{Cc}\p{Cf}]", "_")
     clean = F.regexp_replace(F.translate(clean, "/\\", "__"), r"\.{2,}", "_")
     clean = F.regexp_replace(clean, r"(?U)^\s+|\s+$", "")
-    blank = name.isNull() | (trimmed(name) == "") | clean.isin("", ".", "..")
-    return F.when(blank, F.lit("artifact")).otherwise(F.left(clean, F.lit(most)))
+    blank = name.isNull() | (trimmed(name) == "")
+    return let(clean, lambda x: F.when(blank | x.isin("", ".", ".."), F.lit("artifact")).otherwise(F.left(x, F.lit(most))))

@@ -10,10 +10,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.binding import let
+
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -42,7 +46,8 @@ def parsed(query: str) -> Query:
 
 def starts(words: Column, phrase: tuple[str, ...]) -> Column:
     """Positions, from 0, at which a phrase begins."""
-    at = F.filter(F.transform(words, lambda w, i: F.when(w == phrase[0], i)), lambda i: i.isNotNull())
+    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == phrase[0])
+    at = F.when(F.array_contains(words, phrase[0]), at).otherwise(F.array().cast("array<int>"))
 
     def follows(k: int) -> Callable[[Column], Column]:
         return lambda i: F.get(words, i + k) == phrase[k]
@@ -89,5 +94,21 @@ def cover_density(words: Column, query: Query) -> Column:
 def search(rows: DataFrame, query: str, k: int, *, id_col: str, text_col: str = "text") -> DataFrame:
     """The k rows of greatest rank that match, ties by id."""
     asked = parsed(query)
-    tokenised = rows.select(id_col, tokens(F.col(text_col)).alias("words")).where(matches(F.col("words"), asked))
-    return tokenised.select(id_col, cover_density(F.col("words"), asked).alias("rank")).orderBy(F.desc("rank"), id_col).limit(k)
+    rank = let(tokens(F.col(text_col)), lambda words: F.when(matches(words, asked), cover_density(words, asked)))
+    scored = rows.where(may_match(F.col(text_col), asked)).select(id_col, rank.alias("rank"))
+    return scored.where("rank is not null").orderBy(F.desc("rank"), id_col).limit(k)
+
+
+def matching(rows: DataFrame, query: str, *, text_col: str = "text") -> DataFrame:
+    """The rows that match, whole."""
+    asked = parsed(query)
+    found = let(tokens(F.col(text_col)), lambda words: matches(words, asked))
+    return rows.where(may_match(F.col(text_col), asked)).where(found)
+
+
+def may_match(c: Column, query: Query) -> Column:
+    """A scan that spares most texts the tokens: some alternative has all its wanted words as parts of the text."""
+    lower, out = F.lower(c), F.lit(False)
+    for alternative in query.alternatives:
+        out = out | reduce(and_, [lower.contains(w) for phrase, wanted in alternative if wanted for w in dict.fromkeys(phrase)])
+    return out

@@ -469,8 +469,7 @@ FTS_AND, FTS_RANK = "the that", '"of the" or license -version'
 
 @query("fts_match", r"SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'that')")
 def fts_match(spark: SparkSession, sf: str) -> DataFrame:
-    rows = t(spark, sf, "documents").select("doc_id", fulltext.tokens(F.col("text")).alias("words"))
-    return rows.where(fulltext.matches(F.col("words"), fulltext.parsed(FTS_AND))).select("doc_id")
+    return fulltext.matching(t(spark, sf, "documents"), FTS_AND).select("doc_id")
 
 
 @query("fts_rank")
