@@ -96,7 +96,7 @@ def search(rows: DataFrame, query: str, k: int, *, id_col: str, text_col: str =
     asked = parsed(query)
     rank = let(tokens(F.col(text_col)), lambda words: F.when(matches(words, asked), cover_density(words, asked)))
     scored = rows.where(may_match(F.col(text_col), asked)).select(id_col, rank.alias("rank"))
-    return scored.where("rank is not null").orderBy(F.desc("rank"), id_col).limit(k)
+    return scored.orderBy(F.desc_nulls_last("rank"), id_col).limit(k).where("rank is not null")  # a filter before the limit would compute ranks twice
 
 
 def matching(rows: DataFrame, query: str, *, text_col: str = "text") -> DataFrame:
