@@ -49,6 +49,20 @@ def test_blocks_find_the_same_links(docs, rows, monkeypatch):
     assert sorted(map(repr, jaccard.near_duplicates(docs).collect())) == whole
 
 
+def test_blocks_of_buckets_find_the_same_links(docs, rows, monkeypatch):
+    whole = sorted(map(repr, jaccard.near_duplicates(docs).collect()))
+    monkeypatch.setattr(jaccard, "BUCKET_TEXTS", 2)
+    assert sorted(map(repr, jaccard.near_duplicates(docs).collect())) == whole
+
+
+def test_a_full_sieve_changes_nothing(docs, rows, monkeypatch):
+    whole = sorted(map(repr, jaccard.near_duplicates(docs).collect()))
+    kept = sorted(r["doc_id"] or -1 for r in jaccard.one_of_each(docs).collect())
+    monkeypatch.setattr(jaccard, "passes", lambda held, *key: key[0].isNotNull())
+    assert sorted(map(repr, jaccard.near_duplicates(docs).collect())) == whole
+    assert sorted(r["doc_id"] or -1 for r in jaccard.one_of_each(docs).collect()) == kept
+
+
 def test_empty_blocks_add_no_links(docs, monkeypatch):
     whole = sorted(map(repr, jaccard.near_duplicates(docs).collect()))
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 256)
@@ -72,10 +86,27 @@ def test_bands_reach_their_recall():
     for _ in range(300):
         both = rng.integers(0, 1 << 63, 80, np.uint64)
         a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 10, np.uint64)])) for _ in range(2))
-        hits += bool(set(jaccard.band_hashes(a, bands, rows).tolist()) & set(jaccard.band_hashes(b, bands, rows).tolist()))
+        x, y = (jaccard.min_hashes(s, bands * rows) for s in (a, b))
+        hits += bool(set(jaccard.band_hashes(x, bands, rows).tolist()) & set(jaccard.band_hashes(y, bands, rows).tolist()))
+        assert (x.astype(np.uint8) == y.astype(np.uint8)).sum() >= jaccard.least_equal(bands * rows, 0.8)
     assert hits == 300
 
 
+def test_buckets_connect_what_is_alike():
+    rng = np.random.default_rng(3)
+    marks = rng.integers(0, 256, (40, 120)).astype(np.uint8)
+    for i in range(1, 12):  # a chain: each like the one before it, far from the first
+        marks[i] = marks[i - 1]
+        marks[i, rng.choice(120, 30, replace=False)] = rng.integers(0, 256, 30)
+    marks = marks[rng.permutation(40)]
+    near = (marks[:, None] == marks[None]).sum(2) >= 75
+    root = jaccard.alike(marks, 75)
+    expected = np.arange(40)
+    for _ in range(40):
+        expected = np.where(near, expected[None], 40).min(1)
+    assert (root == expected).all() and len(set(root.tolist())) == 29
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(20)] + [(7, 7)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Texts are handed to Python in batches of at most so many rows, so that long documents stay in memory.
-BATCH_ROWS = 256
+#: Texts are handed to Python in batches of at most so many rows and bytes (or of one text), so that long documents stay in memory.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +32,39 @@ def n_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """Cuts incoming batches so that no more than `rows` texts are decoded at once."""
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts incoming batches so that no more than `rows` texts, or about `most` bytes, are decoded at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        each = max(1, min(rows, batch.num_rows * most // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, each):
+            part = batch.slice(at, each)
+            while part.num_rows > 1 and part.nbytes > 2 * most:  # the long texts of the batch are here
+                half = part.num_rows // 2
+                yield from small_batches(iter([part.slice(0, half)]), rows, most)
+                part = part.slice(half)
+            yield part
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Joins sorted batches into ones of at least `least` rows that end where the column's value changes."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        joined = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = joined.column(column).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(keys[1:] != keys[:-1])
+        if len(ends):
+            yield joined.slice(0, int(ends[-1]) + 1)
+            joined = joined.slice(int(ends[-1]) + 1)
+        held, rows = [joined], joined.num_rows
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:

@@ -1,40 +1,46 @@
 """N-gram Jaccard join: MinHash banding, verified on full n-gram sets.
 
 Texts are sets of word 5-grams. Each distinct text gets MinHash values in bands; band and row counts
-follow from the similarity and the recall asked for. Texts that share a band are candidates. Rather
-than pairs, the candidates' connected components are formed, and every component is verified as a
-whole: its n-gram sets meet in one task, or, if they are many, in one task for each pair of blocks of
-bounded size, where a product of incidence matrices yields all intersections exactly. What leaves a
-task is a row for each text: its number of links and the component that the links form. No pair is
-ever a row, copies are verified once, and equal texts are one node from the start.
+follow from the similarity and the recall asked for. Texts that share a band meet in that band's
+bucket (or, if they are many, in pairs of its blocks), where their MinHash values are counted against
+each other: only texts with as many equal ones as a similar pair has, but for a chance of `MISSED`, go
+on together, so that texts which merely share a band by chance or by some common phrase do not chain.
+What a bucket yields is an edge for each text, not pairs. The components of these edges are verified
+as wholes: their n-gram sets meet in one task, or in one for each pair of blocks of bounded size, where
+a product of incidence matrices yields all intersections exactly. What leaves a task is a row for each
+text: its number of links and the class that the links form. No pair is ever a row, copies are
+verified once, and equal texts are one node from the start.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small_batches, table
+from tidemark.llm.common import cut, small_batches, table, whole_groups
 from tidemark.llm.graph import components
 
 WORDS = 5
 #: Similarity as a ratio of integers, so that its test is exact.
 SIMILARITY = (4, 5)
-#: Part of the pairs at just that similarity that share a band.
-RECALL = 0.99999
+#: Part of the pairs at just that similarity that share a band, and the part of them whose MinHash values agree too seldom.
+RECALL, MISSED = 0.9999, 1e-6
 #: MinHash values at most.
-MOST_HASHES = 96
+MOST_HASHES = 128
+#: A block of a bucket holds about so many texts.
+BUCKET_TEXTS = 4096
 #: A block of a component holds about so many texts and bytes of n-gram sets.
 BLOCK_TEXTS, BLOCK_BYTES = 512, 8 << 20
-#: The side of texts in a group of one block.
-WITHIN = 2
-#: Bits by which texts that are no candidates are kept from the shuffle, and bits of one part of them.
-SIEVE, BITMAP = 1 << 24, 32768
+#: The side of texts in a group of one block, and in one that is a whole component.
+WITHIN, WHOLE = 2, 3
+#: Places of a sieve for each of its keys, most places (32 MB, which hold 1.7 * 10**7 keys so; with more it lets more pass), and bits of one part.
+SIEVE, MOST_PLACES, BITMAP = 16, 1 << 28, 32768
 #: Columns of an incidence matrix at once.
 COLUMNS = 4096
 
@@ -59,7 +65,7 @@ class _Hashes(dict):
         import xxhash
 
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value
         return value
@@ -89,65 +95,141 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One hash for each band of MinHash values; a band's number is part of it."""
+@lru_cache(1)
+def drawn(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of n hash functions, the same in every process."""
     draw = np.random.default_rng(20240229)
-    a = draw.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    b = draw.integers(0, 1 << 63, bands * rows, np.uint64)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max)
-    for at in range(0, len(grams), 2048):
-        least = np.minimum(least, (grams[at : at + 2048, None] * a + b).min(0))
+    return draw.integers(0, 1 << 31, (n, 1), np.uint32) * np.uint32(2) + np.uint32(1), draw.integers(0, 1 << 32, (n, 1), np.uint32)
+
+
+def min_hashes(grams: np.ndarray, n: int) -> np.ndarray:
+    """n MinHash values of 32 bits."""
+    a, b = drawn(n)
+    x = (grams >> np.uint64(32)).astype(np.uint32)
+    least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 512):
+        least = np.minimum(least, (a * x[at : at + 512] + b).min(1))
+    return least
+
+
+def band_hashes(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One hash for each band of MinHash values; a band's number is part of it."""
     out = np.arange(bands, dtype=np.uint64)
     for k in range(rows):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + least.reshape(bands, rows)[:, k])
     return out
 
 
+def least_equal(n: int, similarity: float, missed: float = MISSED) -> int:
+    """How many of n MinHash values a similar pair has in common, but for that chance."""
+    below = 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
+        if below > missed:
+            return k
+    return n
+
+
 def text_key(text: Column) -> Column:
     """128 bits by which equal texts are known; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """id, key, n_grams, bands of each document."""
+    """id, key, n_grams, bands and signature (a byte of each MinHash value) of each document."""
     bands, rows = bands_and_rows(SIMILARITY[0] / SIMILARITY[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            sets = [shingles(t.as_py()) for t in batch.column("text")]
-            lists = [band_hashes(s, bands, rows).view(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["id", "key", "n_grams", "bands"])
+            sizes, lists, marks = [], [], []
+            for text in batch.column("text"):
+                grams = shingles(text.as_py())
+                least = min_hashes(grams, bands * rows) if len(grams) else None
+                sizes.append(len(grams))
+                lists.append(None if least is None else band_hashes(least, bands, rows).view(np.int64))
+                marks.append(None if least is None else least.astype(np.uint8).tobytes())
+            columns = [batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n_grams", "bands", "signature"])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, "id long, key binary, n_grams long, bands array<long>")
+    return columns.mapInArrow(run, "id long, key binary, n_grams long, bands array<long>, signature binary")
+
+
+def alike(signatures: np.ndarray, least: int) -> np.ndarray:
+    """For each row the first row that it is connected with, rows with `least` equal bytes or more being connected."""
+    root = np.arange(len(signatures))
+    rest = root.copy()
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        reached = [first]
+        while reached and len(rest):
+            near = (signatures[rest] == signatures[reached.pop()]).sum(1) >= least
+            root[rest[near]] = first
+            reached += rest[near].tolist()
+            rest = rest[~near]
+    return root
+
+
+def connected(groups: DataFrame) -> DataFrame:
+    """a, b: each text of a group (group, key, signature) that is like another there, with the first one it is connected with."""
+    bands, rows = bands_and_rows(SIMILARITY[0] / SIMILARITY[1])
+    similarity = SIMILARITY[0] / SIMILARITY[1]
+    least = least_equal(bands * rows, similarity + (1 - similarity) / 256)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, 0, BUCKET_TEXTS):
+            group = batch.column("group").to_numpy()
+            keys = batch.column("key")
+            marks = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, bands * rows)
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            sizes = np.diff(np.append(starts, len(group)))
+            root = np.repeat(starts, sizes)
+            near = (marks == marks[root]).sum(1) >= least
+            # where all are like the first there is no more to know, nor in a pair
+            for i in np.flatnonzero((sizes > 2) & (np.add.reduceat(near, starts) < sizes)).tolist():
+                part = slice(starts[i], starts[i] + sizes[i])
+                root[part] = starts[i] + alike(marks[part], least)
+                near[part] = True
+            found = np.flatnonzero(near & (root != np.arange(len(root))))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(found)), keys.take(pa.array(root[found]))], ["a", "b"])
+
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.select("group", "key", "signature").repartition(n, "group").sortWithinPartitions("group").mapInArrow(run, "a binary, b binary")
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """a, b: each text that shares a band, with the least text of that band."""
+    """a, b: edges between texts that share a band and look similar by their signatures; each text has one at most for each of its buckets and blocks."""
     banded = texts.select("key", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return banded.join(shared.drop("n").hint("merge"), "band").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BUCKET_TEXTS).cast("int").alias("blocks"))
+    rows = banded.join(shared.hint("merge"), "band").join(texts.select("key", "signature").hint("merge"), "key")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = rows.select("key", "signature", "band", "blocks", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    group = F.when(F.col("blocks") == 1, F.col("band")).otherwise(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")))
+    return connected(dealt.withColumn("group", group))
 
 
-def sieve(keys: DataFrame) -> DataFrame:
-    """One row, one array: a bit for each of SIEVE places, set where a key falls. 2 MB however many keys there are."""
-    place = F.pmod(F.xxhash64("key"), F.lit(SIEVE))
+def sieve(keys: DataFrame, *columns: str) -> tuple[Column, int]:
+    """A bit for each place, set where a key falls, as one array that its size bounds; and the number of places, which follows that of the keys."""
+    places = min(MOST_PLACES, max(BITMAP, 1 << (max(1, keys.count()) * SIEVE - 1).bit_length()))
+    place = F.pmod(F.xxhash64(*columns), F.lit(places))
     bitmaps = keys.groupBy(F.floor(place / BITMAP).cast("int").alias("part")).agg(F.bitmap_construct_agg(place % BITMAP).alias("bits"))
-    parts = keys.sparkSession.range(SIEVE // BITMAP).select(F.col("id").cast("int").alias("part"))
+    parts = keys.sparkSession.range(places // BITMAP).select(F.col("id").cast("int").alias("part"))
     every = parts.join(bitmaps, "part", "left").select("part", F.coalesce("bits", F.unhex(F.repeat(F.lit("00"), F.lit(BITMAP // 8)))).alias("bits"))
-    return cut(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "bits"))), lambda x: x["bits"]).alias("sieve")))
+    one = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "bits"))), lambda x: x["bits"]).alias("sieve"))
+    return cut(one).scalar(), places
 
 
-def passes(key: Column, bits: Column) -> Column:
+def passes(held: tuple[Column, int], *key: Column) -> Column:
     """False only for keys that a sieve does not hold."""
-    place = F.pmod(F.xxhash64(key), F.lit(SIEVE))
+    bits, places = held
+    place = F.pmod(F.xxhash64(*key), F.lit(places))
     part = F.element_at(bits, (F.floor(place / BITMAP) + 1).cast("int"))
     byte = F.conv(F.hex(F.substring(part, (F.floor(place % BITMAP / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
     return F.getbit(byte, (place % 8).cast("int")) == 1
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
-    """Matrix of the pairs whose similarity is at least SIMILARITY; unless all are of side WITHIN, of pairs between the two sides only."""
+    """Matrix of the pairs whose similarity is at least SIMILARITY; if there are two sides, of pairs between them only."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), sizes)
@@ -168,7 +250,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
     union = sizes[:, None] + sizes[None, :] - inter
     found = SIMILARITY[1] * inter >= SIMILARITY[0] * union
     np.fill_diagonal(found, False)
-    if (side != WITHIN).any():
+    if (side < WITHIN).any():
         found &= side[:, None] != side[None, :]
     return found
 
@@ -185,44 +267,49 @@ def least_reached(found: np.ndarray, order: np.ndarray) -> np.ndarray:
         best = reach
 
 
-VERIFIED = "key binary, links long, root binary"
+VERIFIED = "key binary, links long, root binary, whole boolean"
 
 
 def verified(groups: DataFrame) -> DataFrame:
-    """key, links, root for each text of a group (group, side, key, copies, grams) that has a link there; links count documents.
+    """key, links, root, whole for each text of a group (group, side, key, copies, grams) that has a link there; links count documents.
 
-    A group is one block (side WITHIN) or a pair of blocks (sides 0 and 1), of which one may be empty: then it has no links.
+    A group is a component (side WHOLE), one block of it (WITHIN) or a pair of its blocks (sides 0 and 1),
+    of which one may be empty: then it has no links.
     """
 
-    def one(rows: list[tuple]) -> list[tuple[bytes, int, bytes]]:
+    def one(rows: list[tuple]) -> list[tuple[bytes, int, bytes, bool]]:
         rows = list({(r[0], r[1]): r for r in rows}.values())
         keys = [r[1] for r in rows]
         side = np.array([r[0] for r in rows])
-        if side[0] != WITHIN and (side == side[0]).all():
+        if side[0] < WITHIN and (side == side[0]).all():
             return []
         found = linked([np.frombuffer(r[3], np.uint64) for r in rows], side)
         order = np.argsort(np.argsort(np.array([k.hex() for k in keys])))
         back = np.argsort(order)
         links = found @ np.array([r[2] for r in rows], np.float64)
         roots = back[least_reached(found, order)]
-        return [(keys[i], int(links[i]), keys[roots[i]]) for i in np.flatnonzero(found.any(1)).tolist()]
+        return [(keys[i], int(links[i]), keys[roots[i]], bool(side[i] == WHOLE)) for i in np.flatnonzero(found.any(1)).tolist()]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.binary(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "links", "root"])
+        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "links", "root", "whole"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
+        group, rows, out = None, [], []
         for batch in small_batches(batches):
             columns = [c.to_pylist() for c in batch.columns]
             for g, *row in zip(*columns, strict=True):
                 if g != group:
                     if len(rows) > 1:
-                        yield packed(one(rows))
+                        out += one(rows)
                     group, rows = g, []
                 rows.append(tuple(row))
+            if len(out) > 1000:
+                yield packed(out)
+                out = []
         if len(rows) > 1:
-            yield packed(one(rows))
+            out += one(rows)
+        yield packed(out)
 
     dealt = groups.select("group", "side", "key", "copies", "grams")
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -241,27 +328,35 @@ def gram_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, grams binary")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents: id, key), (texts: key, id, copies, root, class_id, links), both stored; ids are the least of their texts and classes, roots tell classes apart."""
-    signed = cut(signatures(docs))
-    texts = cut(signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
+def linked_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, links, root of the texts that have links to others, each once."""
     parts = components(candidates(texts))
     members = cut(texts.join(parts.withColumnRenamed("node", "key"), "key").select("key", "id", "copies", "n_grams", "root"))
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_grams") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     placed = members.join(sizes, "root").select("key", "id", "copies", "root", "blocks", block.alias("block"))
     text = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = text.where(passes(F.col("key"), sieve(members.select("key")).scalar()))
+    text = text.where(passes(sieve(members.select("key", "id"), "key", "id"), F.col("key"), F.col("doc_id")))
     of_member = placed.hint("merge").join(text, (placed["key"] == text["key"]) & placed["id"].eqNullSafe(text["doc_id"])).select(placed["key"], "copies", "root", "blocks", "block", "text")
     pairs = gram_sets(of_member).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.concat("root", F.encode(F.concat(F.lit(":"), F.least("block", "other"), F.lit(":"), F.greatest("block", "other")), "UTF-8"))
-    side = F.when(F.col("block") == F.col("other"), WITHIN).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    side = F.when(F.col("blocks") == 1, WHOLE).when(F.col("block") == F.col("other"), WITHIN).when(F.col("block") < F.col("other"), 0).otherwise(1)
     found = cut(verified(pairs.withColumn("group", group).withColumn("side", side)))
-    joined = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    linked_texts = cut(texts.select("key", "id", "copies").join(joined.withColumnRenamed("node", "key"), "key").join(links, "key"))
-    class_ids = linked_texts.groupBy("root").agg(F.min("id").alias("class_id"))
-    of_text = linked_texts.join(class_ids, "root").select("key", "root", "class_id", "links")
+    whole, of_blocks = found.where("whole").select("key", "links", "root"), found.where("not whole")
+    if of_blocks.isEmpty():
+        return whole
+    joined = components(of_blocks.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    links = of_blocks.groupBy("key").agg(F.sum("links").alias("links"))
+    return whole.union(links.join(joined.withColumnRenamed("node", "key"), "key"))
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents: id, key), (texts: key, id, copies, root, class_id, links), both stored; ids are the least of their texts and classes, roots tell classes apart."""
+    signed = cut(signatures(docs))
+    texts = cut(signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n_grams", "bands", "signature")]))
+    found = cut(texts.select("key", "id", "copies").join(linked_texts(docs, texts), "key"))
+    class_ids = found.groupBy("root").agg(F.min("id").alias("class_id"))
+    of_text = found.join(class_ids, "root").select("key", "root", "class_id", "links")
     every = texts.select("key", "id", "copies").join(of_text, "key", "left").withColumn("root", F.coalesce("root", "key")).withColumn("class_id", F.coalesce("class_id", "id")).withColumn("links", F.coalesce("links", F.lit(0)))
     return signed.select("id", "key"), cut(every)
 
@@ -283,16 +378,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document of least doc_id of each class (of equal rows or ids in it, one), with its columns as they were.
 
-    Classes are told apart by their texts, so ids may be null or repeat.
+    Classes are told apart by their texts, so ids may be null or repeat. What goes is decided on keys
+    and ids alone. Documents stay where they are but for those that a sieve of the ones to go lets pass.
     """
     names = docs.columns
-    _, texts = classes(docs)
-    keys = texts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select("x.key")
+    rows, texts = classes(docs)
+    best = texts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select("x.key", F.lit(True).alias("best"))
+    several = texts.where("copies > 1 or links > 0").select("key", F.col("id").alias("least")).join(best, "key", "left")
+    stays = F.coalesce("best", F.lit(False)) & F.col("id").eqNullSafe(F.col("least"))
+    fates = rows.join(several.hint("merge"), "key").groupBy("key", "id").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    fates = cut(fates.where("not stays or n > 1").select("key", "id", "stays"))
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     keyed = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("id"), row)
-    chosen = keyed.join(keys.hint("merge"), "key", "left_semi").join(texts.select(F.col("key"), F.col("id").alias("least")).hint("merge"), "key").where(F.col("id").eqNullSafe(F.col("least")))
-    first = chosen.groupBy("key").agg(F.first("row").alias("row"))
-    return first.select(*[F.col("row")[c].alias(c) for c in names])
+    may_go = passes(sieve(fates, "key", "id"), F.col("key"), F.col("id"))
+
+    def of(fates: DataFrame, how: str) -> DataFrame:
+        mine = keyed.where(may_go).alias("a")
+        return mine.join(fates.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & F.col("a.id").eqNullSafe(F.col("b.id")), how)
+
+    out = keyed.where(~may_go).select("row").union(of(fates, "left_anti").select("row"))
+    again = fates.where("stays")
+    if not again.isEmpty():  # rows that have both text and id in common
+        out = out.union(of(again, "left_semi").groupBy("key", "id").agg(F.first("row").alias("row")).select("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in names])
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small_batches, table
+from tidemark.llm.common import cut, small_batches, table, whole_groups
 from tidemark.llm.jaccard import mixed
 
 LENGTH = 200
@@ -124,28 +124,6 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t, grams, contexts, place)], ["t", "gram", "context", "place"])
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Joins sorted batches into ones of at least `least` rows that end where the column's value changes."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < least:
-            continue
-        joined = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        keys = joined.column(column).to_numpy(zero_copy_only=False)
-        ends = np.flatnonzero(keys[1:] != keys[:-1])
-        if len(ends):
-            yield joined.slice(0, int(ends[-1]) + 1)
-            joined = joined.slice(int(ends[-1]) + 1)
-        held, rows = [joined], joined.num_rows
-    if rows:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def counts_of(*keys: np.ndarray) -> np.ndarray:
     """For each row, how many rows have its keys."""
     order = np.lexsort(keys)
