@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import same
+from tests.llm import plain_pii
 from tidemark.llm import pii, quality, urlfilter
 
 
@@ -26,7 +27,7 @@ def test_formats_are_kept_and_values_linked(spark):
     out = rewritten(spark, texts)
     digits = ["".join(c for c in t or "" if c.isdigit()) for t, _ in out]
     assert digits[0] == digits[1] == digits[2][:16] != "4111111111111111" and luhn(digits[0]) and not luhn(digits[2][16:])
-    assert out[0][0][9] == " " and out[1][0][4] == "-" and out[0][1] == ["card"] and out[2][1] == ["card", "card"]
+    assert out[0][0][9] == " " and out[1][0][4] == "-" and out[0][1] == ["card"] and out[2][1] == ["card"] and out[2][0].endswith(" and 4111111111111112")
     assert out[3][1] == ["ssn"] and out[3][0] != texts[3]
     country = out[4][0][5:].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in country[4:] + country[:4])) % 97 == 1 and country[:2] == "GB" and out[4][0][5:9] != "GB82"
@@ -72,6 +73,29 @@ def test_values_at_the_bounds_of_patterns(spark):
     assert moved.where("substr(x, 4, 2) > '12'").distinct().count() == days.count()
 
 
+QUOTED = ["ID12 4111 1111 1111 1111", "GB12 4111 1111 1111 1111 12", "BE12 4111 1111 1111 1111", "3782 822463 10005", "12/25/2020", "order 1234567890123", "+1 20 300 400"]
+
+
+def test_values_inside_what_is_not_valid(spark):
+    out = dict(zip(QUOTED, rewritten(spark, QUOTED)))
+    assert [out[t][1] for t in QUOTED] == [["card"], ["card"], ["card"], ["card"], ["date"], [], ["phone"]]
+    assert out[QUOTED[0]][0].startswith("ID12 ") and luhn(out[QUOTED[0]][0][5:]) and out[QUOTED[0]][0] != QUOTED[0]
+    assert out["3782 822463 10005"][0][4] == out["3782 822463 10005"][0][11] == " " and luhn(out["3782 822463 10005"][0])
+    assert out["+1 20 300 400"][0].startswith("+1 ") and out["order 1234567890123"][0] == "order 1234567890123"
+
+
+def test_pseudonyms_by_plain_python(spark, sf_dir, docs, rows):
+    more = [*QUOTED, "GB82 WEST 1234 5698 7654 32 and 4111 1111 1111 1111, DE89370400440532013000 DE89370400440532013001", "x@y.org É.b+c@d-e.fr 1.2.3.4 078-05-1120", "", None, "2024-2-1 1.2.2024 12/25/2024 31.02.2024"]
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + more
+    for text, got in zip(texts, rewritten(spark, texts), strict=True):
+        assert got == plain_pii.rewritten(text)
+    twice = spark.createDataFrame([(None, t, 1, "n") for t in more] * 2, "doc_id long, text string, pii_found int, `odd name` string")
+    found = pii.pseudonymised(twice)
+    assert found.columns == ["doc_id", "text", "odd name", "pii_kinds", "pii_found"]
+    expected = [plain_pii.rewritten(t) for t in more] * 2
+    assert sorted(map(repr, ((r["text"], r["pii_kinds"]) for r in found.collect()))) == sorted(map(repr, expected))
+
+
 def test_networks_are_permutations(spark):
     pairs = spark.range(17 * 23).select(pii.permuted_pair(F.floor(F.col("id") / 23), F.col("id") % 23, 17, 23, "k").alias("p")).collect()
     assert {(r["p"]["x"], r["p"]["y"]) for r in pairs} == {(x, y) for x in range(17) for y in range(23)}

@@ -15,9 +15,10 @@ invert it.
     ip      all 32 bits                                  -
     ssn     area, group and serial number in their ranges  -
     card    all digits but the last                      separators; the check digit is computed anew
-    phone   the last 10 digits                           country code, separators
+    phone   up to 10 digits after the country code       country code, separators
 
-Columns of built-in functions only, in one pass without a shuffle.
+IBANs are looked for first, as what else is in a text can only be told once it is known what they
+cover: a run of groups that is no valid IBAN may hold a card. Columns of built-in functions only, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.binding import let
 from tidemark.llm.common import table
 
 KEY = "tidemark pseudonyms, replace in production"
@@ -52,20 +54,15 @@ PATTERNS = {
     "date": rf"{_FREE}{_DATE}",
     "ip": rf"{_FREE}(?<![0-9]\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{{2}}|[1-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1[0-9]{{2}}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "ssn": rf"{_FREE}(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}{_END}",
-    "card": rf"{_FREE}(?:[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{4}}|[0-9]{{13,19}}){_END}",
+    "card": rf"{_FREE}(?:[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{4}}|[0-9]{{4}}([ -])[0-9]{{6}}\2[0-9]{{4,5}}|[0-9]{{13,19}}){_END}",
     "phone": rf"(?:\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{3}}\)?[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|{_FREE}(?:\([0-9]{{3}}\)[ .-]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}|\+[0-9]{{10,14}}|\+[0-9]{{1,3}} [0-9]{{2,4}} [0-9]{{3,4}} [0-9]{{3,4}}){_END}",
 }
 
 
-#: The only group is that of card separators, so its number is the same in the whole pattern.
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every match has: texts without it, most of them, are passed over by a simple scan.
-GATE = "[0-9@]"
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with `value` computed once; an expression that is merely repeated in a lambda is computed as often."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+#: The only groups are those of card separators, so their numbers are the same in the whole pattern.
+PATTERN = "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "iban")
+#: What every match has, and every IBAN: texts without it, most of them, are passed over by a simple scan.
+GATE, IBAN_GATE = "[0-9@]", "[A-Z]{2}[0-9]{2}"
 
 
 def number(hex_digits: Column) -> Column:
@@ -273,8 +270,14 @@ def is_card(m: Column) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    d = digits_of(m)
-    return refilled(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), permuted(F.substring(d, -10, 10), key)), "0-9")
+    """A country code ends at the first separator; where there is none, it has one digit at least."""
+    code = F.when(m.rlike(r"^\+[0-9]+$"), 1).when(m.startswith("+"), F.length(F.regexp_extract(m, r"^\+([0-9]+)", 1))).otherwise(0)
+
+    def changed(d: Column) -> Column:
+        own = F.least(F.lit(10), F.length(d) - code)
+        return refilled(m, F.concat(F.substring(d, F.lit(1), F.length(d) - own), permuted(F.substring(d, F.length(d) - own + 1, own), key)), "0-9")
+
+    return let(digits_of(m), changed)
 
 
 REPLACE: dict[str, Callable[[Column, str], Column]] = {"email": email, "secret": secret, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "card": card, "phone": phone}
@@ -283,42 +286,76 @@ REPLACE: dict[str, Callable[[Column, str], Column]] = {"email": email, "secret":
 def kind_of(m: Column) -> Column:
     """The kind of a match; null if it is not valid."""
     out = F.lit(None).cast("string")
-    for kind in reversed(PATTERNS):
-        fits = m.contains("@") if kind == "email" else is_iban(m) if kind == "iban" else is_card(m) if kind == "card" else m.rlike(f"^(?:{PATTERNS[kind]})$")
+    for kind in reversed([k for k in PATTERNS if k != "iban"]):
+        fits = m.contains("@") if kind == "email" else is_card(m) if kind == "card" else m.rlike(f"^(?:{PATTERNS[kind]})$")
         fits = fits & day(m).isNotNull() if kind == "date" else fits
         out = F.when(fits, F.lit(kind)).otherwise(out)
     return out
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
-    """What stands for a match: itself if it is not valid."""
+def replaced(text: Column, key: str) -> Column:
+    """A struct of a text with its values but for IBANs replaced, and the kinds of these values in order; a match that is not valid stays."""
+
+    def one(m: Column) -> Column:
+        def chosen(kind: Column) -> Column:
+            out = m
+            for name, replace in REPLACE.items():
+                if name != "iban":
+                    out = F.when(kind == name, replace(m, f"{key}|{name}")).otherwise(out)
+            return F.struct(out.alias("text"), kind.alias("kind"))
+
+        return let(kind_of(m), chosen)
+
+    def joined(found: Column) -> Column:
+        pieces = F.zip_with(F.split(text, PATTERN, -1), found, lambda gap, m: F.array(gap, F.coalesce(m["text"], F.lit(""))))
+        kinds = F.filter(F.transform(found, lambda m: m["kind"]), lambda k: k.isNotNull())
+        return F.struct(F.array_join(F.flatten(pieces), "").alias("text"), kinds.alias("kinds"))
 
-    def chosen(kind: Column) -> Column:
-        out = m
-        for name, replace in REPLACE.items():
-            out = F.when(kind == name, replace(m, f"{key}|{name}")).otherwise(out)
-        return out
+    def searched(matches: Column) -> Column:
+        nothing = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
+        return F.when(F.size(matches) == 0, nothing).otherwise(let(F.transform(matches, one), joined))
 
-    return let(kind_of(m), chosen)
+    return let(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), searched)
+
+
+def around_ibans(text: Column, key: str) -> Column:
+    """The text as parts, of which each second is the pseudonym of a valid IBAN."""
+    found = F.regexp_extract_all(text, F.lit(PATTERNS["iban"]), F.lit(0))
+
+    def parts(matches: Column) -> Column:
+        pairs = F.arrays_zip(F.split(text, PATTERNS["iban"], -1).alias("gap"), matches.alias("m"))
+
+        def step(s: Column, x: Column) -> Column:
+            open_text = F.concat(s["text"], x["gap"])
+            valid = F.struct(F.concat(s["done"], F.array(open_text, iban(x["m"], f"{key}|iban"))).alias("done"), F.lit("").alias("text"))
+            other = F.struct(s["done"].alias("done"), F.concat(open_text, F.coalesce(x["m"], F.lit(""))).alias("text"))
+            return F.when(is_iban(x["m"]), valid).otherwise(other)
+
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("text"))
+        return F.aggregate(pairs, start, step, lambda s: F.concat(s["done"], F.array(s["text"])))
+
+    return F.when(text.rlike(IBAN_GATE), let(found, lambda m: F.when(F.size(m) == 0, F.array(text)).otherwise(parts(m)))).otherwise(F.array(text))
 
 
 def pseudonymised(df: DataFrame, *, text_col: str = "text", key: str = KEY) -> DataFrame:
     """The rows with their texts rewritten, and two columns more, `pii_kinds` (the kind of each value replaced, in order) and `pii_found` (their number).
 
     A null text stays null with no kinds, an empty one stays empty. What a pattern finds but
-    validation refuses is left as it is. Columns of those two names are replaced; all others pass
-    through. Repeated rows are rewritten alike, and no rows give no rows.
+    validation refuses is left as it is, but for other values in it. Columns of those two names are
+    replaced; all others pass through. Repeated rows are rewritten alike, and no rows give no rows.
     """
     names = [c for c in df.columns if c not in ("pii_kinds", "pii_found")]
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     text = F.col(f"`{text_col}`").cast("string")
-    none = F.array().cast("array<string>")
-    found = df.select(row, F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none).alias("found"))
-    some = found.select("row", "found", F.when(F.size("found") > 0, F.split(F.col("row")[text_col], PATTERN, -1)).alias("gaps"))
-    new = F.transform(F.col("found"), lambda m: pseudonym(m, key))
-    joined = F.array_join(F.flatten(F.zip_with("gaps", new, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
-    kinds = F.coalesce(F.filter(F.transform(F.col("found"), kind_of), lambda k: k.isNotNull()), none)
-    rewritten = F.when(F.col("gaps").isNotNull(), joined).otherwise(F.col("row")[text_col])
+
+    def part(p: Column, i: Column) -> Column:
+        return F.when(i % 2 == 0, replaced(p, key)).otherwise(F.struct(p.alias("text"), F.array(F.lit("iban")).alias("kinds")))
+
+    parts = F.transform(around_ibans(text, key), part)
+    whole = let(parts, lambda x: F.struct(F.array_join(F.transform(x, lambda p: p["text"]), "").alias("text"), F.flatten(F.transform(x, lambda p: p["kinds"])).alias("kinds")))
+    some = df.select(row, F.when(text.rlike(GATE), whole).alias("new"))
+    kinds = F.coalesce(F.col("new.kinds"), F.array().cast("array<string>"))
+    rewritten = F.when(F.size(kinds) > 0, F.col("new.text")).otherwise(F.col("row")[text_col])
     columns = [rewritten.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]
     return some.select(*columns, kinds.alias("pii_kinds")).withColumn("pii_found", F.size("pii_kinds"))
 
