@@ -65,7 +65,7 @@ class _Hashes(dict):
         import xxhash
 
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value
         return value

@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,14 +85,14 @@ def without(raw: bytes, these: bytes) -> int:
     return len(raw) - len(raw.translate(None, these))
 
 
-def describe(texts: pd.Series) -> pd.DataFrame:
+def describe(texts: pa.Array) -> pa.StructArray:
     """The features of whole texts; null is an empty one."""
     rows, words = [], _Words()
     mix = np.random.default_rng(7).integers(1, 1 << 63, 1 << 16, np.uint64)
     for text in texts:
-        raw = text.encode() if text else b""
+        raw = text.as_buffer().to_pybytes() if text.is_valid else b""
         found = raw.split()
-        if len(words) > 500_000:
+        if len(words) > 100_000:
             words.clear()
         ids = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
         while len(mix) < len(words):
@@ -100,12 +100,18 @@ def describe(texts: pd.Series) -> pd.DataFrame:
         joined = b"".join(found)
         lines = [x for x in raw.split(b"\n") if x.split()]
         rows.append((len(found), len(joined.decode()), without(joined, SYMBOLS), len(lines), len(lines) - len(set(lines)), repeated_words(ids, mix), without(joined, CAPITALS)))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in FEATURES.split(", ")])
+    names = [x.split()[0] for x in FEATURES.split(", ")]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
 
 
 def features(text: Column) -> Column:
     """A struct of FEATURES for each whole text."""
-    return F.pandas_udf(describe, FEATURES)(text.cast("string"))
+
+    @F.arrow_udf(FEATURES)
+    def of(texts: pa.Array) -> pa.Array:
+        return describe(texts)
+
+    return of(text.cast("string"))
 
 
 def base_failed() -> Column:
