@@ -3,9 +3,12 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import indexing, intake
 from tidemark.operators.access import PERMISSIONS, Forbidden, Grants
 from tidemark.plans.engine import Engine
+from tidemark.sources import files, tables
 from tidemark.sources.embed import hashing_provider
 
 NOW = datetime(2026, 8, 10)
@@ -21,25 +24,101 @@ def test_from_intake_to_deletion(spark, tmp_path):
 
     first = ingest(("k1", "text/plain", b"hello world", 11), ("k2", "text/html", b"<html><p>other page", -1), ("k3", "image/png", b"%PDF-1.7", -1), ("k4", "text/plain", b"short", 9))
     assert [first[i][0] for i in range(4)] == ["CREATED", "CREATED", "REJECTED", "REJECTED"]
-    assert engine.outbox.read().count() == 4
+    assert engine.store.read("outbox").count() == 4
     again = ingest(("k1", "text/plain", b"hello world", 11), ("k1", "text/plain", b"different", -1), ("k9", "text/plain", b"hello world", -1))
     one = first[0][1]
     assert again == {0: ("IDEMPOTENT_REPLAY", one), 1: ("CONFLICT", one), 2: ("CONTENT_DUPLICATE", one)}
     assert engine.search("p", "t", "hello").count() == 0
+    assert engine.content("p", "t", one, 6, 3).first()["payload"] == "d29y" and engine.store.read("object").count() == 0
     engine.store_pending()
+    assert engine.store.read("spool").count() == 0 and engine.store.read("object").count() == 2
     engine.index_pending()
-    assert engine.outbox.read().count() == 0
+    assert engine.store.read("outbox").count() == 0
     (row,) = engine.metadata("p", "t", one).collect()
     assert (row["storage_status"], row["index_status"], row["original_name"], row["tags"]) == ("STORED", "READY", "__notes.txt", ["a", "b"])
     assert row["storage_key"].endswith(f"/document/2026/08/{one}/1/content")
     assert [r["artifact_id"] for r in engine.search("p", "t", "hello", tags=["a"]).collect()][0] == one
     assert engine.extracted_text("p", "t", one).first()["extracted"] == "hello world"
     assert engine.content("p", "t", one, 6, 3).first()["payload"] == "d29y"
+    assert engine.whole_content("p", "t", one).first()["payload"] == "aGVsbG8gd29ybGQ="
     assert engine.list_metadata("p", "t", 10).count() == 2
     with pytest.raises(Forbidden):
         engine.metadata("q", "t", one)
     for _ in range(2):
         engine.delete("p", "t", one)
+    assert engine.store.read("object").where(F.col("artifact_id") == one).count() == engine.store.read("chunk").where(F.col("artifact_id") == one).count() == 0
     assert engine.metadata("p", "t", one).count() == 0 and engine.list_metadata("p", "t", 10).count() == 1
     assert one not in [r["artifact_id"] for r in engine.search("p", "t", "hello").collect()]
     assert ingest(("k8", "text/plain", b"hello world", -1))[0][0] == "CREATED"
+
+
+def test_quotas_objects_and_quarantine(spark, tmp_path):
+    grants = Grants({("p", t): set(PERMISSIONS) for t in ("t", "u")})
+    engine = Engine(spark, str(tmp_path), grants, hashing_provider(8), 8, limits=intake.Limits(artifact_bytes=10, bytes=20, files=9, tenant_bytes=12, tenant_files=3))
+
+    def ingest(tenant, *contents):
+        batch = [(i, f"{tenant}{c}", "n.txt", "text/plain", bytearray(c.encode()), -1, None) for i, c in enumerate(contents)]
+        return [r["outcome"] for r in engine.ingest("p", tenant, spark.createDataFrame(batch, REQUEST), NOW).orderBy("seq").collect()]
+
+    # of eleven bytes; eight; eight more of a tenant, with its copy; four
+    assert ingest("t", "x" * 11, "a" * 8, "b" * 8, "b" * 8, "cccc") == ["REJECTED", "CREATED", "QUOTA", "QUOTA", "CREATED"]
+    assert ingest("u", "d" * 9, "e") == ["QUOTA", "CREATED"]
+    before = engine.store.state()
+    engine.store_pending()
+    assert ingest("t", "b" * 8) == ["CREATED"]  # the spool is empty again
+    (gone,) = [r["artifact_id"] for r in engine.store.read("object", tenant="u").collect()]
+    at = engine.store.state()
+    engine.delete("p", "u", gone)
+    of_t = {name: {p: f for p, f in parts.items() if p.startswith(tables.of_tenant("t"))} for name, parts in engine.store.state().items()}
+    assert of_t == {name: {p: f for p, f in parts.items() if p.startswith(tables.of_tenant("t"))} for name, parts in at.items()} and before != at
+    # an object that is not what it should be is not taken, and its content stays in the spool
+    engine.kms_key = "k"
+    real = files.verified_objects
+    try:
+        files.verified_objects = lambda heads, *a, **k: real(heads.withColumn("kms_key", F.lit("other")), *a, **k)
+        engine.store_pending()
+    finally:
+        files.verified_objects = real
+    (bad,) = engine.store.read("artifact").where("storage_status = 'RETRY_PENDING'").collect()
+    assert bad["failure_code"] == "STORAGE_FAILED" and bad["storage_key"] is None and engine.store.read("spool").count() == 1
+    engine.store_pending()
+    assert engine.store.read("artifact").where("storage_status <> 'STORED'").count() == 1 and engine.store.read("spool").count() == 0  # the tombstone
+    engine.provider = lambda texts: [[0.0] * 7 + [1.0] for _ in texts]
+    invalid = indexing.invalid_chunk
+    try:
+        indexing.invalid_chunk = lambda n=None: F.col("text") == "cccc"
+        engine.index_pending()
+    finally:
+        indexing.invalid_chunk = invalid
+    assert engine.store.read("quarantine").count() == 1 and engine.store.read("chunk").count() == 2
+    assert [r["failure_message"] for r in engine.store.read("artifact").where("index_status = 'RETRY_PENDING'").collect()] == ["a chunk is not valid"]
+    engine.index_pending()
+    assert engine.store.read("chunk").count() == 3 and engine.store.read("outbox").count() == 0
+
+
+def test_of_two_writers_one_commits(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path), {"a": tables.Table("id long, tenant_id string, m map<string,string>", "id"), "b": tables.Table("id long, tenant_id string", "id")})
+
+    def rows(*ids):
+        return spark.createDataFrame([(i, "t", {}) for i in ids], "id long, tenant_id string, m map<string,string>")
+
+    seen = store.version()
+    changes = [{"a": store.added("a", rows(i)), "b": store.added("b", rows(i).drop("m"))} for i in (1, 2)]
+    assert store.commit(seen, changes[0]) == 1
+    with pytest.raises(tables.Conflict):
+        store.commit(seen, changes[1])
+    # both have seen that the name is free, and race for it
+    late = tables.Store(spark, str(tmp_path), store.tables)
+    late.version = lambda: 0
+    with pytest.raises(tables.Conflict):
+        late.commit(0, changes[1])
+    assert [r["id"] for r in store.read("a").collect()] == [r["id"] for r in store.read("b").collect()] == [1]
+    # a crash after the data and before the log leaves nothing to be seen
+    store.written("a", rows(7))
+    assert store.read("a").count() == 1 and store.vacuum() >= 3 and store.read("a").count() == 1
+    for i in range(tables.FULL_EVERY + 2):
+        store.commit(store.version(), {"a": store.added("a", rows(1))})
+    assert store.read("a").count() == tables.FULL_EVERY + 3 and store.read("a", version=3).count() == 3
+    assert store.read("b", tenant="t").count() == 1 and store.read("b", tenant="other").count() == 0
+    store.compact("a")
+    assert store.read("a").count() == tables.FULL_EVERY + 3 and {len(f) for f in store.state()["a"].values()} == {1}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What may be in the spool: bytes of an artifact, and bytes and files in all and for a tenant.
@@ -13,6 +15,10 @@ MOST_BYTES = 128 << 20
 GLOBAL_BYTES, GLOBAL_FILES, TENANT_BYTES, TENANT_FILES = 10 << 30, 100_000, 1 << 30, 10_000
 
 
+def fresh_name() -> str:
+    return uuid.uuid4().hex
+
+
 def registered(requests: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Outcome and artifact of each request (seq, id, tenant_id, idempotency_key, sha256, fingerprint).
 
@@ -20,8 +26,13 @@ def registered(requests: DataFrame, stored: DataFrame | None = None) -> DataFram
     fingerprint, a conflict; else known content is a duplicate; else the artifact is created, and
     only then are its key and content known. The decision depends on those before it, so it is a
     fold; one tenant's requests of a batch meet in one task, which holds only what it has seen.
-    `stored` has tombstones already left out. Artifacts with equal content: the oldest is returned.
+    `stored` has tombstones already left out; only those of it that share a key or content with a
+    request take part. Artifacts with equal content: the oldest is returned.
     """
+    if stored is not None:
+        asked = requests.select(F.col("tenant_id").cast("string"), F.explode(F.array(F.concat(F.lit("k"), "idempotency_key"), F.concat(F.lit("c"), "sha256"))).alias("mark")).distinct()
+        marked = stored.withColumn("mark", F.explode(F.array(F.concat(F.lit("k"), "idempotency_key"), F.concat(F.lit("c"), "sha256"))))
+        stored = marked.join(asked, ["tenant_id", "mark"], "left_semi").drop("mark").dropDuplicates(["tenant_id", "id"])
     columns = ["seq", "id", "tenant_id", "idempotency_key", "sha256", "fingerprint"]
     new = requests.select(F.col("seq").cast("long"), *[F.col(c).cast("string") for c in columns[1:]], F.lit(1).alias("is_new"))
     every = new if stored is None else new.unionByName(stored.select(F.col("seq").cast("long"), *[F.col(c).cast("string") for c in columns[1:]], F.lit(0).alias("is_new")))
@@ -55,14 +66,6 @@ def registered(requests: DataFrame, stored: DataFrame | None = None) -> DataFram
     return order.select(*columns, "is_new").mapInPandas(fold, schema)
 
 
-def registered_unique_keys(requests: DataFrame) -> DataFrame:
-    """The same where no key repeats: the first of equal content is created, the others are duplicates of it. Built-in functions only."""
-    w = Window.partitionBy("tenant_id", "sha256").orderBy("seq")
-    first = F.first("id").over(w)
-    outcome = F.when(F.row_number().over(w) == 1, "CREATED").otherwise("CONTENT_DUPLICATE")
-    return requests.select("seq", "tenant_id", outcome.alias("outcome"), first.alias("artifact_id"))
-
-
 def outbox_rows(artifacts: DataFrame) -> DataFrame:
     """The STORE and INDEX jobs of created artifacts (tenant_id, id, version, created_at)."""
     from tidemark.functions.keys import operation_id
@@ -102,6 +105,50 @@ def accepted_within(files: DataFrame, *, by: str, order_col: str, bytes_col: str
     return order.mapInPandas(fold, schema)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What may be held: bytes of one artifact, and bytes and files in all and of a tenant."""
+
+    artifact_bytes: int = MOST_BYTES
+    bytes: int = GLOBAL_BYTES
+    files: int = GLOBAL_FILES
+    tenant_bytes: int = TENANT_BYTES
+    tenant_files: int = TENANT_FILES
+
+
+#: Refusals, in the order in which limits are tried.
+REFUSALS = ("ARTIFACT_BYTES", "GLOBAL_FILES", "TENANT_FILES", "GLOBAL_BYTES", "TENANT_BYTES")
+
+
+def admitted(files: DataFrame, *, by: str, order_col: str, bytes_col: str, limits: Limits, used: DataFrame | None = None) -> DataFrame:
+    """tenant, order, bytes, refusal (null if it fits) of each file, in the order in which they come.
+
+    All limits are kept in one fold, as a file that a tenant's limit refuses takes nothing from the
+    global one. `used` has what is held already: tenant, bytes, files. The order over all tenants is
+    part of the meaning, so the fold is one task; it holds two numbers for each tenant that it meets
+    and streams over the rows, of which there are as many as one call brings.
+    """
+    held = {r[0]: (r[1], r[2]) for r in used.select(by, "bytes", "files").collect()} if used is not None else {}  # a row for each tenant
+    schema = f"{by} {files.schema[by].dataType.simpleString()}, {order_col} {files.schema[order_col].dataType.simpleString()}, {bytes_col} long, refusal string"
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tenants = dict(held)
+        all_bytes, all_files = sum(x[0] for x in held.values()), sum(x[1] for x in held.values())
+        for frame in frames:
+            out = []
+            for owner, size in zip(frame[by], frame[bytes_col], strict=True):
+                own_bytes, own_files = tenants.get(owner, (0, 0))
+                over = (size > limits.artifact_bytes, all_files + 1 > limits.files, own_files + 1 > limits.tenant_files, all_bytes + size > limits.bytes, own_bytes + size > limits.tenant_bytes)
+                out.append(next((name for name, x in zip(REFUSALS, over, strict=True) if x), None))
+                if out[-1] is None:
+                    tenants[owner] = own_bytes + size, own_files + 1
+                    all_bytes, all_files = all_bytes + size, all_files + 1
+            yield frame.assign(refusal=pd.Series(out, dtype=object))
+
+    order = files.select(by, order_col, F.col(bytes_col).cast("long").alias(bytes_col)).repartition(1).sortWithinPartitions(order_col)
+    return order.mapInPandas(fold, schema)
+
+
 def usage(files: DataFrame, *, by: str, bytes_col: str) -> DataFrame:
     """Bytes and files of each tenant and, with a null tenant, of all."""
     return files.rollup(by).agg(F.sum(bytes_col).cast("long").alias("bytes"), F.count(F.lit(1)).alias("files"), F.grouping(by).cast("int").alias("is_total"))

@@ -74,6 +74,11 @@ def fused(branches: list[DataFrame], id_col: str = "chunk_id", keep: tuple[str,
     return every.groupBy(id_col, *keep).agg(F.sum("part").alias("score"))
 
 
+def newest(artifacts: DataFrame, limit: int) -> DataFrame:
+    """The artifacts created last, ties by id; tombstones count."""
+    return artifacts.orderBy(F.desc("created_at"), "id").limit(limit)
+
+
 def readable() -> Column:
     return (F.col("storage_status") != "DELETED") & (F.col("index_status") != "DELETED")
 

@@ -1,16 +1,17 @@
 """The engine's calls on tables: ingest, metadata, list, content, text, search, delete.
 
-Every read authorises first, is confined to its tenant and hides tombstones. Writes compute a new
-state of the affected tables as one plan and commit it as a new version.
+Every read authorises first, is confined to its tenant and hides tombstones. Contents are kept apart
+from artifacts: in the spool until they are stored, then as objects. A write states what it adds or
+replaces in the parts of the tables that it touches, and commits all of it as one version; if another
+writer came first, it raises `Conflict`, has changed nothing and can be done again.
 """
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys, media, text
@@ -18,24 +19,36 @@ from tidemark.operators import indexing, intake, retrieval
 from tidemark.operators.access import Grants, require_scope
 from tidemark.sources import extract, files
 from tidemark.sources.embed import Provider, embedded
-from tidemark.sources.tables import VersionedTable
+from tidemark.sources.tables import Change, Store, Table
 
 ARTIFACT = (
     "id string, tenant_id string, idempotency_key string, idempotency_fingerprint string, source_type string, source_uri string, original_name string, media_type string, "
     "size_bytes long, sha256 string, storage_key string, spool_path string, storage_status string, index_status string, version long, metadata map<string,string>, tags array<string>, "
-    "failure_code string, failure_message string, created_at timestamp, updated_at timestamp, content binary"
+    "failure_code string, failure_message string, created_at timestamp, updated_at timestamp"
 )
 CHUNK = (
     "chunk_id string, tenant_id string, artifact_id string, version long, chunk_index int, text string, token_count int, content_sha256 string, page_number int, section string, "
     "coordinates map<string,string>, embedding_model string, embedding_version string, embedding array<float>"
 )
 OUTBOX = "id string, tenant_id string, artifact_id string, type string, status string, attempts int, created_at timestamp"
+SPOOL = "tenant_id string, artifact_id string, spool_path string, size_bytes long, content binary"
+#: An object with what is kept of it beside its bytes: checksum, hash of the tenant, and the key that encrypts it.
+OBJECT = "tenant_id string, artifact_id string, storage_key string, size_bytes long, sha256 string, tenant_sha256 string, kms_key string, content binary"
+QUARANTINE = CHUNK
+TABLES = {
+    "artifact": Table(ARTIFACT, "id"),
+    "chunk": Table(CHUNK, "artifact_id"),
+    "quarantine": Table(QUARANTINE, "artifact_id"),
+    "outbox": Table(OUTBOX, "artifact_id"),
+    "spool": Table(SPOOL, "artifact_id"),
+    "object": Table(OBJECT, "artifact_id"),
+}
 MOST_LISTED = 10_000
 
 
 @dataclass
 class Engine:
-    """Tables under one folder, with grants, an embedding provider and the parameters of an index."""
+    """Tables under one folder, with grants, an embedding provider, limits of the spool and the parameters of an index."""
 
     spark: SparkSession
     root: str
@@ -45,76 +58,130 @@ class Engine:
     model: str = "default"
     model_version: str = "1"
     environment: str = "dev"
+    kms_key: str | None = None
+    limits: intake.Limits = field(default_factory=intake.Limits)
 
     def __post_init__(self) -> None:
-        self.artifacts = VersionedTable(self.spark, f"{self.root}/artifact", ARTIFACT, "tenant_id")
-        self.chunks = VersionedTable(self.spark, f"{self.root}/chunk", CHUNK, "tenant_id")
-        self.outbox = VersionedTable(self.spark, f"{self.root}/outbox", OUTBOX)
+        self.store = Store(self.spark, self.root, TABLES)
+
+    def _kept(self, rows: DataFrame, schema: str) -> DataFrame:
+        """Rows that hold what is drawn at random, written once and read from there."""
+        path = f"{self.root}/batch/{intake.fresh_name()}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def ingest(self, principal: str, tenant: str, requests: DataFrame, now: datetime) -> DataFrame:
         """Registers a batch (seq, idempotency_key, original_name, declared_media_type, content, content_length, metadata) of one tenant.
 
-        Returns seq, outcome, artifact_id; outcome is that of registration, or REJECTED for content
-        of unknown or other than the declared type, of another length, or beyond the size limit.
+        Returns seq, outcome, artifact_id; outcome is that of registration, REJECTED for content of
+        unknown or other than the declared type or of another length, or QUOTA where a limit of the
+        spool refuses what would be created.
         """
         self.grants.require(principal, tenant, "INGEST")
-        random = F.udf(lambda: str(uuid.uuid4())).asNondeterministic()
+        at_version = self.store.version()
         found = media.detected(F.col("content"), F.col("declared_media_type"))
         rows = requests.select(
-            "seq", "content", "content_length", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), F.lit(tenant).alias("tenant_id"), random().alias("id"),
-            F.coalesce(F.when(F.trim("idempotency_key") != "", F.col("idempotency_key")), random()).alias("idempotency_key"),
+            "seq", "content", "content_length", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), F.lit(tenant).alias("tenant_id"), F.uuid().alias("id"),
+            F.coalesce(F.when(F.trim("idempotency_key") != "", F.col("idempotency_key")), F.uuid()).alias("idempotency_key"),
             text.safe_filename(F.col("original_name")).alias("original_name"), media.normal(F.col("declared_media_type")).alias("declared"), found.alias("media_type"),
             keys.sha256(F.col("content")).alias("sha256"), F.length("content").cast("long").alias("size_bytes"),
         )
         fits = F.col("media_type").isNotNull() & (F.col("declared").isNull() | media.compatible(F.col("declared"), F.col("media_type")))
-        fits = fits & intake.length_agrees(F.col("content_length"), F.col("size_bytes")) & (F.col("size_bytes") <= intake.MOST_BYTES)
+        fits = fits & intake.length_agrees(F.col("content_length"), F.col("size_bytes")) & (F.col("size_bytes") <= self.limits.artifact_bytes)
         mark = keys.fingerprint(F.col("tenant_id"), F.col("sha256"), F.col("metadata"), F.col("original_name"), F.col("media_type"))
-        # ids are drawn at random: they are written once, and read from there
-        batch = VersionedTable(self.spark, f"{self.root}/batch-{uuid.uuid4().hex}", "")
-        staged_rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("fingerprint", mark)
-        batch.schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in staged_rows.schema.fields)
-        batch.commit(staged_rows)
-        staged = batch.read()
-        now_version = (self.artifacts.versions() or [0])[-1]
-        stored = self.artifacts.read()
-        known = stored.where((F.col("tenant_id") == tenant) & (F.col("storage_status") != "DELETED")).select(
+        staged = rows.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("fingerprint", mark)
+        staged = self._kept(staged, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in staged.schema.fields))
+        known = self.store.read("artifact", version=at_version, tenant=tenant).where(F.col("storage_status") != "DELETED").select(
             F.unix_millis("created_at").alias("seq"), "id", "tenant_id", "idempotency_key", "sha256", F.col("idempotency_fingerprint").alias("fingerprint")
         )
         outcomes = intake.registered(staged.where("fits"), known)
-        created = staged.join(outcomes.where("outcome = 'CREATED'").select("seq"), "seq", "left_semi")
+        wanted = staged.select("seq", "tenant_id", "size_bytes", "fits").join(outcomes.select("seq", "outcome", "artifact_id"), "seq", "left")
+        held = intake.usage(self.store.read("spool", version=at_version), by="tenant_id", bytes_col="size_bytes").where("is_total = 0")
+        quota = intake.admitted(wanted.where("outcome = 'CREATED'"), by="tenant_id", order_col="seq", bytes_col="size_bytes", limits=self.limits, used=held)
+        refused = quota.where("refusal is not null").select("seq", F.lit(True).alias("refused"))
+        outcome = F.when(~F.col("fits"), "REJECTED").when(F.col("refused"), "QUOTA").otherwise(F.col("outcome"))
+        answer = wanted.join(refused, "seq", "left").select("seq", outcome.alias("outcome"), F.when(F.col("fits") & F.col("refused").isNull(), F.col("artifact_id")).alias("artifact_id"))
+        # what was made of content that the quota refuses was not made: its duplicates and replays are refused with it
+        lost = answer.where("outcome = 'QUOTA'").select("seq").join(staged.select("seq", F.col("id").alias("lost")), "seq").select("lost")
+        answer = answer.join(lost, F.col("artifact_id") == F.col("lost"), "left").select("seq", F.when(F.col("lost").isNotNull(), "QUOTA").otherwise(F.col("outcome")).alias("outcome"), F.when(F.col("lost").isNull(), F.col("artifact_id")).alias("artifact_id"))
+        answer = self._kept(answer, "seq long, outcome string, artifact_id string")
+        created = staged.join(answer.where("outcome = 'CREATED'").select("seq"), "seq", "left_semi")
         at = F.lit(now).cast("timestamp")
         null = F.lit(None).cast("string")
+        path = F.concat(F.lit("/spool/"), keys.sha256(F.col("tenant_id")), F.lit("/"), F.col("id"), F.lit(f"/{files.SPOOL_NAME}"))
         new = created.select(
             "id", "tenant_id", "idempotency_key", F.col("fingerprint").alias("idempotency_fingerprint"), F.lit("UPLOAD").alias("source_type"), null.alias("source_uri"), "original_name", "media_type",
-            "size_bytes", "sha256", null.alias("storage_key"), null.alias("spool_path"), F.lit("SPOOLED").alias("storage_status"), F.lit("PENDING").alias("index_status"), F.lit(1).cast("long").alias("version"), "metadata",
-            text.tags(F.element_at("metadata", "tags")).alias("tags"), null.alias("failure_code"), null.alias("failure_message"), at.alias("created_at"), at.alias("updated_at"), "content",
+            "size_bytes", "sha256", null.alias("storage_key"), path.alias("spool_path"), F.lit("SPOOLED").alias("storage_status"), F.lit("PENDING").alias("index_status"), F.lit(1).cast("long").alias("version"), "metadata",
+            text.tags(F.element_at("metadata", "tags")).alias("tags"), null.alias("failure_code"), null.alias("failure_message"), at.alias("created_at"), at.alias("updated_at"),
         )
-        result = outcomes.select("seq", "outcome", "artifact_id").unionByName(staged.where("not fits").select("seq", F.lit("REJECTED").alias("outcome"), null.alias("artifact_id")))
-        answer = result.orderBy("seq").collect()  # one answer for each request of the batch
-        self.outbox.commit(indexing.inserted_if_absent(self.outbox.read(), intake.outbox_rows(new.select("tenant_id", "id", "version", "created_at")), ("id",)))
-        self.artifacts.commit(stored.unionByName(new), expected=now_version)
-        return self.spark.createDataFrame(answer, "seq long, outcome string, artifact_id string")
-
-    def store_pending(self) -> None:
-        """Runs STORE: every spooled artifact gets its key and is verified against its checksum; finished jobs leave the outbox."""
-        stored = self.artifacts.read()
-        todo = F.col("storage_status").isin("SPOOLED", "RETRY_PENDING")
-        ok = keys.sha256(F.col("content")) == F.col("sha256")
+        self.store.commit(at_version, {
+            "artifact": self.store.added("artifact", new),
+            "outbox": self.store.added("outbox", intake.outbox_rows(new.select("tenant_id", "id", "version", "created_at"))),
+            "spool": self.store.added("spool", created.select("tenant_id", F.col("id").alias("artifact_id"), path.alias("spool_path"), "size_bytes", "content")),
+        })
+        return answer
+
+    def _changed(self, version: int, changed: DataFrame) -> Change:
+        """Artifacts in place of those of their tenant and id, in the parts where they are."""
+        parts = self.store.parts_of("artifact", changed)
+        others = self.store.read("artifact", version=version, parts=parts).join(changed.select("tenant_id", "id"), ["tenant_id", "id"], "left_anti")
+        return self.store.rewritten("artifact", others.unionByName(changed.select(*others.columns)), parts)
+
+    def _without(self, name: str, version: int, gone: DataFrame, *more: str) -> Change:
+        """A table without the rows of (tenant_id, artifact_id and more) in `gone`."""
+        parts = self.store.parts_of(name, gone)
+        rows = self.store.read(name, version=version, parts=parts)
+        return self.store.rewritten(name, rows.join(gone, ["tenant_id", "artifact_id", *more], "left_anti").select(*rows.columns), parts)
+
+    def store_pending(self, now: datetime | None = None) -> None:
+        """Runs STORE: contents go from the spool to objects, which are read back and verified; then the spool and the outbox let go of them.
+
+        What is not verified, or not in the spool, stays where it is, RETRY_PENDING with the reason.
+        """
+        version = self.store.version()
+        todo = self.store.read("artifact", version=version).where(F.col("storage_status").isin("SPOOLED", "RETRY_PENDING"))
         key = keys.storage_key(self.environment, F.col("tenant_id"), F.col("media_type"), F.col("created_at"), F.col("id"), F.col("version"))
-        new = stored.select(*[c for c in stored.columns], todo.alias("_todo"), ok.alias("_ok"))
-        new = (
-            new.withColumn("storage_key", F.when(F.col("_todo") & F.col("_ok"), key).otherwise(F.col("storage_key")))
-            .withColumn("failure_code", F.when(F.col("_todo"), F.when(~F.col("_ok"), "STORAGE_FAILED")).otherwise(F.col("failure_code")))
-            .withColumn("storage_status", F.when(F.col("_todo"), F.when(F.col("_ok"), "STORED").otherwise("RETRY_PENDING")).otherwise(F.col("storage_status")))
-        )
-        self.artifacts.commit(new.select(*stored.columns))
-        self._settle("STORE", "storage_status", "STORED")
+        planned = todo.withColumn("storage_key", key)
+        spooled = self.store.read("spool", version=version).select("tenant_id", F.col("artifact_id").alias("id"), "content")
+        objects = planned.select("tenant_id", "id", "storage_key", "sha256").join(spooled, ["tenant_id", "id"]).select(
+            "tenant_id", F.col("id").alias("artifact_id"), "storage_key", F.length("content").cast("long").alias("size_bytes"), "sha256", keys.sha256(F.col("tenant_id")).alias("tenant_sha256"),
+            F.lit(self.kms_key).cast("string").alias("kms_key"), "content",
+        )
+        put = self.store.added("object", objects)
+        back = self.store.at("object", put.added.values())
+        heads = back.select(F.col("storage_key").alias("path"), "content", keys.sha256(F.col("content")).alias("sha256"), "tenant_sha256", "kms_key")
+        checked = files.stored_status(files.verified_objects(heads, planned, self.environment, kms_key=self.kms_key)).drop("verified").withColumn("updated_at", F.lit(now).cast("timestamp") if now else F.col("updated_at"))
+        checked = checked.withColumn("storage_key", F.when(F.col("storage_status") == "STORED", F.col("storage_key")))
+        checked = self._kept(checked.select(*[x.name for x in todo.schema.fields]), ARTIFACT)
+        stored = checked.where("storage_status = 'STORED'").select("tenant_id", F.col("id").alias("artifact_id"))
+        if not checked.where("storage_status <> 'STORED'").isEmpty():
+            put = self.store.added("object", back.join(stored, ["tenant_id", "artifact_id"], "left_semi"))
+        self.store.commit(version, {
+            "artifact": self._changed(version, checked),
+            "object": put,
+            "spool": self._without("spool", version, stored),
+            "outbox": self._without("outbox", version, stored.withColumn("type", F.lit("STORE")), "type"),
+        })
+
+    def contents(self, version: int | None = None, tenant: str | None = None) -> DataFrame:
+        """tenant_id, id, content of each artifact that has any: the object if it is stored, else what is in the spool."""
+        version = self.store.version() if version is None else version
+        artifacts = self.store.read("artifact", version=version, tenant=tenant)
+        source = files.content_source(F.col("storage_status"), F.col("storage_key"), F.col("spool_path"))
+        where = artifacts.select("tenant_id", F.col("id").alias("artifact_id"), source.alias("source"))
+        objects = self.store.read("object", version=version, tenant=tenant).select("tenant_id", "artifact_id", F.col("storage_key").alias("source"), "content")
+        spooled = self.store.read("spool", version=version, tenant=tenant).select("tenant_id", "artifact_id", F.col("spool_path").alias("source"), "content")
+        return objects.unionByName(spooled).join(where, ["tenant_id", "artifact_id", "source"], "left_semi").select("tenant_id", F.col("artifact_id").alias("id"), "content")
 
     def index_pending(self, *, size: int = 100, overlap: int = 20) -> None:
-        """Runs INDEX: extract, chunk, embed and replace the chunks of every pending artifact, whose failure is kept with it."""
-        stored = self.artifacts.read()
-        todo = stored.where(F.col("index_status").isin("PENDING", "RETRY_PENDING"))
-        texts = extract.extracted(todo.select("id", "tenant_id", "version", "media_type", "content"))
+        """Runs INDEX: extract, chunk, embed and replace the chunks of every pending artifact, whose failure is kept with it.
+
+        Chunks that are not valid are kept apart, in quarantine, and their artifact is to be tried again.
+        """
+        version = self.store.version()
+        todo = self.store.read("artifact", version=version).where(F.col("index_status").isin("PENDING", "RETRY_PENDING"))
+        texts = extract.extracted(todo.select("id", "tenant_id", "version", "media_type").join(self.contents(version), ["tenant_id", "id"]))
+        texts = self._kept(texts.select("tenant_id", "id", "version", "extracted", "failure"), "tenant_id string, id string, version long, extracted string, failure string")
         good = texts.where("failure is null").select("tenant_id", F.col("id").alias("artifact_id"), "version", F.col("extracted").alias("text"))
         rows = indexing.chunk_rows(good, size=size, overlap=overlap)
         provider = self.provider
@@ -124,40 +191,54 @@ class Engine:
             "chunk_id", "tenant_id", "artifact_id", "version", "chunk_index", "text", "token_count", "content_sha256", null.cast("int").alias("page_number"), null.cast("string").alias("section"),
             F.create_map().cast("map<string,string>").alias("coordinates"), F.lit(self.model).alias("embedding_model"), F.lit(self.model_version).alias("embedding_version"), "embedding",
         )
-        self.chunks.commit(indexing.replaced(self.chunks.read(), new))
-        outcome = texts.select("tenant_id", "id", F.when(F.col("failure").isNull(), "READY").otherwise("RETRY_PENDING").alias("_status"), F.when(F.col("failure").isNotNull(), "INDEXING_FAILED").alias("_code"), F.col("failure").alias("_why"))
-        done = stored.join(outcome, ["tenant_id", "id"], "left")
-        for c, new_c in (("index_status", "_status"), ("failure_code", "_code"), ("failure_message", "_why")):
-            done = done.withColumn(c, F.when(F.col("_status").isNotNull(), F.col(new_c)).otherwise(F.col(c)) if c == "index_status" else F.coalesce(new_c, c))
-        self.artifacts.commit(done.select(*stored.columns))
-        self._settle("INDEX", "index_status", "READY")
-
-    def _settle(self, kind: str, status: str, done: str) -> None:
-        finished = self.artifacts.read().where(F.col(status) == done).select(F.col("id").alias("artifact_id"), F.lit(kind).alias("type"))
-        self.outbox.commit(self.outbox.read().join(finished, ["artifact_id", "type"], "left_anti").select(*[x.split()[0] for x in OUTBOX.split(", ")]))
+        new = self._kept(new, CHUNK)
+        bad = new.where(indexing.invalid_chunk(self.dimensions))
+        worthless = bad.select("tenant_id", F.col("artifact_id").alias("id")).distinct().withColumn("bad", F.lit(True))
+        of = texts.join(worthless, ["tenant_id", "id"], "left").withColumn("why", F.coalesce(text.bounded_message(F.col("failure"), F.lit(None).cast("string")), F.when(F.col("bad"), "a chunk is not valid")))
+        done = of.select("tenant_id", "id", F.col("why").isNull().alias("ok"), "why")
+        outcome = todo.join(done, ["tenant_id", "id"], "left").withColumn("why", F.when(~F.coalesce("ok", F.lit(False)), F.coalesce("why", F.lit("no content"))))
+        outcome = outcome.withColumn("index_status", F.when(F.col("why").isNull(), "READY").otherwise("RETRY_PENDING"))
+        outcome = outcome.withColumn("failure_code", F.when(F.col("why").isNotNull(), "INDEXING_FAILED")).withColumn("failure_message", F.col("why")).select(*[x.name for x in todo.schema.fields])
+        outcome = self._kept(outcome, ARTIFACT)
+        ready = outcome.where("index_status = 'READY'").select("tenant_id", F.col("id").alias("artifact_id"))
+        parts = self.store.parts_of("chunk", ready)
+        old = self.store.read("chunk", version=version, parts=parts)
+        self.store.commit(version, {
+            "artifact": self._changed(version, outcome),
+            "chunk": self.store.rewritten("chunk", indexing.without_artifacts(old, ready).unionByName(new.join(ready, ["tenant_id", "artifact_id"], "left_semi").select(*old.columns)), parts),
+            "quarantine": self.store.added("quarantine", bad),
+            "outbox": self._without("outbox", version, ready.withColumn("type", F.lit("INDEX")), "type"),
+        })
 
     def live(self, tenant: str) -> DataFrame:
-        return self.artifacts.read().where((F.col("tenant_id") == tenant) & retrieval.readable())
+        return self.store.read("artifact", tenant=tenant).where(retrieval.readable())
 
     def metadata(self, principal: str, tenant: str, artifact: str) -> DataFrame:
         self.grants.require(principal, tenant, "READ_METADATA")
-        return self.live(tenant).where(F.col("id") == artifact).drop("content")
+        return self.live(tenant).where(F.col("id") == artifact)
 
     def list_metadata(self, principal: str, tenant: str, limit: int) -> DataFrame:
         """The newest artifacts; the limit counts tombstones too, which are then left out."""
         self.grants.require(principal, tenant, "LIST")
-        newest = self.artifacts.read().drop("content").where(F.col("tenant_id") == tenant).orderBy(F.desc("created_at"), "id").limit(max(1, min(limit, MOST_LISTED)))
-        return newest.where(retrieval.readable())
+        return retrieval.newest(self.store.read("artifact", tenant=tenant), max(1, min(limit, MOST_LISTED))).where(retrieval.readable())
 
     def content(self, principal: str, tenant: str, artifact: str, offset: int = 0, requested: int = files.CONTENT_BYTES) -> DataFrame:
         self.grants.require(principal, tenant, "READ_CONTENT")
-        part = files.byte_range(F.col("content"), offset, requested)
-        return self.live(tenant).where(F.col("id") == artifact).select("id", "media_type", "size_bytes", part.alias("r")).select("id", "media_type", "size_bytes", "r.*")
+        return self._content(tenant, artifact, files.byte_range(F.col("content"), offset, requested))
+
+    def whole_content(self, principal: str, tenant: str, artifact: str) -> DataFrame:
+        """The content as base64 if it is small, else where to read it in parts."""
+        self.grants.require(principal, tenant, "READ_CONTENT")
+        return self._content(tenant, artifact, files.inline_or_uri(F.col("content"), F.concat(F.lit("artifact://"), F.col("id"), F.lit("/content"))))
+
+    def _content(self, tenant: str, artifact: str, part: Column) -> DataFrame:
+        mine = self.live(tenant).where(F.col("id") == artifact).select("tenant_id", "id", "media_type", "size_bytes")
+        return mine.join(self.contents(tenant=tenant), ["tenant_id", "id"]).select("id", "media_type", "size_bytes", part.alias("r")).select("id", "media_type", "size_bytes", "r.*")
 
     def extracted_text(self, principal: str, tenant: str, artifact: str, max_chars: int = files.TEXT_CHARS) -> DataFrame:
         self.grants.require(principal, tenant, "READ_TEXT")
         live = self.live(tenant).where(F.col("id") == artifact).select(F.col("id").alias("artifact_id"))
-        mine = indexing.chunks_of(self.chunks.read(), tenant, artifact, self.model).join(live, "artifact_id", "left_semi")
+        mine = indexing.chunks_of(self.store.read("chunk", tenant=tenant), tenant, artifact, self.model).join(live, "artifact_id", "left_semi")
         return indexing.extracted_text(mine, ["artifact_id"], index_col="chunk_index", text_col="text", limit=min(max_chars, files.TEXT_HARD))
 
     def search(self, principal: str, tenant: str, query: str, limit: int = 10, scopes: set[str] | None = None, **filters) -> DataFrame:
@@ -165,13 +246,16 @@ class Engine:
         if scopes is not None:
             require_scope(scopes, "artifact.search")
         (vector,) = self.provider([query])
-        return retrieval.hybrid_search(self.chunks.read(), self.artifacts.read().drop("content"), query, vector, tenant=tenant, limit=limit, **filters)
+        return retrieval.hybrid_search(self.store.read("chunk", tenant=tenant), self.store.read("artifact", tenant=tenant), query, vector, tenant=tenant, limit=limit, **filters)
 
     def delete(self, principal: str, tenant: str, artifact: str) -> None:
-        """Tombstone first, then the chunks; doing it again changes nothing."""
+        """A tombstone, and neither chunks nor content, in one commit; doing it again changes nothing. Other tenants' files are not touched."""
         self.grants.require(principal, tenant, "DELETE")
-        gone = self.spark.createDataFrame([(tenant, artifact)], "tenant_id string, id string")
-        now = self.artifacts.read()
-        marked = intake.tombstoned(now, gone).withColumn("content", F.when((F.col("tenant_id") == tenant) & (F.col("id") == artifact), F.lit(None)).otherwise(F.col("content")))
-        self.artifacts.commit(marked.select(*now.columns))
-        self.chunks.commit(indexing.without_artifacts(self.chunks.read(), gone.withColumnRenamed("id", "artifact_id")).select(*[x.split(" ")[0] for x in CHUNK.split(", ")]))
+        version = self.store.version()
+        gone = self.spark.createDataFrame([(tenant, artifact)], "tenant_id string, artifact_id string")
+        mine = self.store.read("artifact", version=version, tenant=tenant).where((F.col("id") == artifact) & retrieval.readable())
+        if mine.isEmpty():
+            return
+        marked = intake.tombstoned(mine, gone.withColumnRenamed("artifact_id", "id")).withColumn("spool_path", F.lit(None).cast("string")).withColumn("storage_key", F.lit(None).cast("string"))
+        changes = {name: self._without(name, version, gone) for name in ("chunk", "quarantine", "spool", "object", "outbox")}
+        self.store.commit(version, {"artifact": self._changed(version, marked)} | changes)

@@ -40,13 +40,21 @@ def content_source(status: Column, storage_key: Column, spool_path: Column) -> C
     return F.when((status == "STORED") & storage_key.isNotNull(), storage_key).otherwise(spool_path)
 
 
-def verified_objects(objects: DataFrame, expected: DataFrame, environment: str) -> DataFrame:
-    """Expected artifacts (tenant_id, storage_key, sha256, size_bytes) with `verified`: the object has that length and content, under the tenant's prefix."""
-    have = objects.select(F.col("path").alias("storage_key"), F.length("content").cast("long").alias("_length"), F.col("sha256").alias("_sha256"))
+def verified_objects(objects: DataFrame, expected: DataFrame, environment: str, *, kms_key: str | None = None) -> DataFrame:
+    """Expected artifacts (tenant_id, storage_key, sha256, size_bytes) with `verified`: the object has that length and content, under the tenant's prefix.
+
+    Where objects tell the hash of their tenant (tenant_sha256) or the key that encrypts them (kms_key), these must agree too.
+    """
+    more = [c for c in ("tenant_sha256", "kms_key") if c in objects.columns]
+    have = objects.select(F.col("path").alias("storage_key"), F.length("content").cast("long").alias("_length"), F.col("sha256").alias("_sha256"), *[F.col(c).alias(f"_{c}") for c in more])
     joined = expected.join(have, "storage_key", "left")
-    own = keys.valid_storage_key(F.col("storage_key"), environment, F.col("tenant_id")) & keys.valid_sha256(F.col("sha256"))
-    ok = F.coalesce(own & (F.col("_length") == F.col("size_bytes")) & (F.col("_sha256") == F.col("sha256")), F.lit(False))
-    return joined.withColumn("verified", ok).drop("_length", "_sha256")
+    ok = keys.valid_storage_key(F.col("storage_key"), environment, F.col("tenant_id")) & keys.valid_sha256(F.col("sha256"))
+    ok = ok & (F.col("_length") == F.col("size_bytes")) & (F.col("_sha256") == F.col("sha256"))
+    if "tenant_sha256" in more:
+        ok = ok & (F.col("_tenant_sha256") == keys.sha256(F.col("tenant_id")))
+    if "kms_key" in more:
+        ok = ok & F.col("_kms_key").eqNullSafe(F.lit(kms_key))
+    return joined.withColumn("verified", F.coalesce(ok, F.lit(False))).drop("_length", "_sha256", *[f"_{c}" for c in more])
 
 
 def stored_status(checked: DataFrame) -> DataFrame:
