@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -75,6 +76,53 @@ def test_shards(docs, rows, no_docs):
     assert sharding.shard(no_docs).count() == 0
 
 
+def test_groups_stay_whole_where_there_is_room(spark):
+    groups = [("a" * 9, 900), ("b" * 99, 80), ("c" * 4, 1500), ("d" * 49, 2), ("e" * 199, 45)]  # 9000, 8000, 7500, 100, 9000 bytes
+    rows = [(t, i * 10_000 + k) for i, (t, n) in enumerate(groups) for k in range(n)] + [(f"{i:09d}", 90_000 + i) for i in range(4640)]
+    docs = spark.createDataFrame(rows, "text string, doc_id long").repartition(3)
+    found = sharding.shard(docs, shards=8).collect()  # 80,000 bytes, 10,000 a shard
+    of, load, slots = defaultdict(set), Counter(), defaultdict(list)
+    text = {i: t for t, i in rows}
+    for r in found:
+        of[text[r["doc_id"]]].add(r["shard"])
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(len(x) == 1 for x in of.values()) and len({min(of[t]) for t, n in groups if n != 2}) == 4
+    # what the plain rule gives: the largest groups to the emptiest shards, all else in a line up to the mean
+    assert len(load) == 8 and all(abs(x - 10_000) <= 0.01 * 10_000 + 200 for x in load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == len(rows)
+    again = sharding.shard(docs, shards=8).collect()
+    assert sorted((r["doc_id"], r["shard"]) for r in again) == sorted((r["doc_id"], r["shard"]) for r in found)
+
+
+def plain_shards(rows, shards):
+    """Group sums, the largest first into the emptiest shard with room; whole or not, and the loads they make."""
+    sums = Counter()
+    for t, _ in rows:
+        sums[t] += len(t.encode()) + 1
+    mean, loads, whole = sum(sums.values()) / shards, [0.0] * shards, set()
+    for t, size in sorted(sums.items(), key=lambda x: -x[1]):
+        if size > sharding.GROUP_SHARE * mean and min(loads) + size <= mean:
+            loads[loads.index(min(loads))] += size
+            whole.add(t)
+    return mean, whole
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shards_by_the_plain_rule(spark, seed):
+    rng = random.Random(seed)
+    groups = [("x" * rng.randrange(1, 60) + str(i), rng.randrange(1, 300)) for i in range(40)]
+    rows = [(t, i * 1000 + k) for i, (t, n) in enumerate(groups) for k in range(n)] + [(f"single {i}", 10**6 + i) for i in range(3000)]
+    found = sharding.shard(spark.createDataFrame(rows, "text string, doc_id long"), shards=5).collect()
+    mean, whole = plain_shards(rows, 5)
+    text, of, load = {i: t for t, i in rows}, defaultdict(set), Counter()
+    for r in found:
+        of[text[r["doc_id"]]].add(r["shard"])
+        load[r["shard"]] += r["size"]
+    assert whole and all(len(of[t]) == 1 for t in whole) and len(found) == len(rows)
+    assert all(abs(load[i] - mean) <= sharding.GROUP_SHARE * mean + 100 for i in range(5))
+
+
 def test_overfull_ranges_are_divided(spark):
     texts = [("same", i) for i in range(3000)] + [(f"text {i}", 5000 + i) for i in range(1000)] + [("", 9000 + i) for i in range(500)]
     docs = spark.createDataFrame(texts, "text string, doc_id long")
@@ -114,6 +162,50 @@ def test_sample_tables(frames):
     assert media.read_back(data, track) == payload and len(track["sizes"]) == frames
 
 
+def fragmented(default_base: bool) -> tuple[bytes, bytes]:
+    """Two tracks in two fragments: the first with flags for each sample, the second with defaults only."""
+    u32, box, full = media.u32, media.box, media.full
+
+    def trak(number: int, kind: bytes, codec: bytes) -> bytes:
+        table = box(b"stbl", full(b"stsd", 0, u32(1), box(codec, bytes(8))), full(b"stts", 0, u32(0)), full(b"stsc", 0, u32(0)), full(b"stsz", 0, u32(0, 0)), full(b"stco", 0, u32(0)))
+        mdia = box(b"mdia", full(b"mdhd", 0, u32(0, 0, 100, 0), bytes(4)), full(b"hdlr", 0, u32(0), kind, bytes(13)), box(b"minf", table))
+        return box(b"trak", full(b"tkhd", 3, u32(0, 0, number, 0, 0), bytes(60)), mdia)
+
+    mvex = box(b"mvex", full(b"trex", 0, u32(1, 1, 10, 0, 0x10000)), full(b"trex", 0, u32(2, 1, 4, 3, 0)))
+    out = box(b"ftyp", b"iso5", u32(0)) + box(b"moov", trak(1, b"vide", b"avc1"), trak(2, b"soun", b"mp4a"), mvex)
+    payload = b""
+    for turn in range(2):
+        sizes = [5 + turn, 7, 9]
+        first = bytes([65 + turn]) * sum(sizes)
+        second = bytes([97 + turn]) * 6
+
+        def moof(at: int) -> bytes:
+            run = full(b"trun", 0x205 if turn else 0x601, u32(3, at), *([u32(0), u32(*sizes)] if turn else [u32(s, f) for s, f in zip(sizes, (0, 0x10000, 0), strict=True)]))
+            base = 0x20000 if default_base else 0
+            sound = full(b"trun", 1, u32(2, at + sum(sizes))) if default_base else full(b"trun", 0, u32(2))
+            return box(b"moof", full(b"mfhd", 0, u32(turn + 1)), box(b"traf", full(b"tfhd", base, u32(1)), run), box(b"traf", full(b"tfhd", base, u32(2)), sound))
+
+        out += moof(len(moof(0)) + 8) + box(b"mdat", first + second)
+        payload += first
+    return out, payload
+
+
+@pytest.mark.parametrize("default_base", [True, False])
+def test_fragments(spark, default_base):
+    data, payload = fragmented(default_base)
+    video, sound = media.probe(data)
+    assert media.read_back(data, video) == payload and media.read_back(data, sound) == b"aaaaaabbbbbb"
+    assert video["sizes"].tolist() == [5, 7, 9, 6, 7, 9] and video["key"].tolist() == [True, False, True, True, False, False]
+    assert (video["codec"], video["duration"], sound["codec"], sound["duration"]) == ("avc1", 0.6, "mp4a", 0.16) and sound["key"].all()
+    cases = {1: data, 2: data[:-5], 3: data.replace(b"tfhd", b"tfhx"), 4: data.replace(b"trex", b"trey")}
+    nested = media.box(b"moov")
+    for _ in range(40):
+        nested = media.box(b"moov", nested)
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in (cases | {5: nested}).items()], "id int, content binary")
+    found = {r["id"]: r for r in media.media_columns(rows, id_col="id", content_col="content").collect()}
+    assert [t["samples"] for t in found[1]["tracks"]] == [6, 4] and all(found[k]["error"] for k in (2, 3, 4, 5))
+
+
 def test_malformed_files_are_reported(spark):
     good = media.store(media.pad(b"x" * 2000))
     at = good.index(b"stsz")

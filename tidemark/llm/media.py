@@ -1,8 +1,8 @@
 """Media columns: ISO base media files, read by their boxes and sample tables alone.
 
 `probe` walks the nested boxes of a file and decodes the sample tables of its tracks: codec,
-duration, and for each sample its size, place and whether it is a keyframe. No payload byte is
-decoded. `store` is the counterpart for texts: their bytes become the samples of an uncompressed
+duration, and for each sample its size, place and whether it is a keyframe. Samples of movie
+fragments follow those of the tables before them. No payload byte is decoded. `store` is the counterpart for texts: their bytes become the samples of an uncompressed
 8-bit video track, with one keyframe in `GOP` samples, so that a payload can be read back exactly
 through the sample table.
 """
@@ -30,6 +30,13 @@ RATE, GOP, CHUNK = 25, 12, 8
 #: Boxes that hold nothing but boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta"}
 
+#: Nested containers at most; the standard has no more than seven.
+DEEPEST = 16
+#: Flags of fragment boxes that say which fields there are, and the mark of a sample that is no keyframe.
+TFHD = {"base": 0x1, "description": 0x2, "duration": 0x8, "size": 0x10, "flags": 0x20, "from_moof": 0x20000}
+TRUN = {"offset": 0x1, "first_flags": 0x4, "duration": 0x100, "size": 0x200, "flags": 0x400, "composition": 0x800}
+NO_KEYFRAME = 0x10000
+
 
 class Malformed(ValueError):
     """The file breaks the box structure or its sample tables contradict each other."""
@@ -106,7 +113,9 @@ def walk(data: memoryview, start: int, stop: int, path: tuple[bytes, ...] = ())
     """All boxes with the kinds that lead to them."""
     for kind, a, b in boxes(data, start, stop):
         yield (*path, kind), a, b
-        if kind in CONTAINERS and len(path) < 16:
+        if kind in CONTAINERS:
+            if len(path) > DEEPEST:
+                raise Malformed("boxes are nested too deep")
             yield from walk(data, a, b, (*path, kind))
 
 
@@ -168,15 +177,87 @@ def read_track(data: memoryview, found: dict[bytes, tuple[int, int]]) -> dict:
     return {"kind": kind, "codec": codec, "duration": length / scale if scale else 0.0, "offsets": offsets, "sizes": sizes, "key": key}
 
 
+def word(data: memoryview, at: int, stop: int, kind: str = ">I") -> int:
+    """One number, which must lie within its box."""
+    if at + struct.calcsize(kind) > stop:
+        raise Malformed("a box is cut off")
+    return struct.unpack_from(kind, data, at)[0]
+
+
+def fragment_runs(data: memoryview, start: int, a: int, b: int, defaults: dict[int, tuple[int, int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Track, offsets, sizes, keyframe marks and whole duration of each run of a movie fragment that begins at `start`."""
+    end = start  # where the data of the run before ended
+    for first, (path, at, stop) in enumerate(x for x in walk(data, a, b) if x[0] == (b"traf",)):
+        parts = [(kind, x, y) for kind, x, y in boxes(data, at, stop)]
+        heads = [(x, y) for kind, x, y in parts if kind == b"tfhd"]
+        if len(heads) != 1:
+            raise Malformed("a track fragment without its header")
+        at, stop = heads[0]
+        flags, track = word(data, at, stop), word(data, at + 4, stop)
+        if track not in defaults:
+            raise Malformed("a fragment of a track without defaults")
+        at += 8
+        base = start if flags & TFHD["from_moof"] or not first else end
+        if flags & TFHD["base"]:
+            base, at = word(data, at, stop, ">Q"), at + 8
+        at += 4 * bool(flags & TFHD["description"])
+        own = list(defaults[track])
+        for i, name in enumerate(("duration", "size", "flags")):
+            if flags & TFHD[name]:
+                own[i], at = word(data, at, stop), at + 4
+        end = base
+        for kind, at, stop in parts:
+            if kind != b"trun":
+                continue
+            flags, n = word(data, at, stop), word(data, at + 4, stop)
+            at += 8
+            if flags & TRUN["offset"]:
+                end, at = base + word(data, at, stop, ">i"), at + 4
+            first_flags = None
+            if flags & TRUN["first_flags"]:
+                first_flags, at = word(data, at, stop), at + 4
+            fields = [name for name in ("duration", "size", "flags", "composition") if flags & TRUN[name]]
+            if not fields and n > len(data):
+                raise Malformed("samples reach beyond the file")
+            rows = numbers(data, at, stop, n * len(fields), ">u4").reshape(n, len(fields)).astype(np.int64)
+            duration, sizes, marks = (rows[:, fields.index(name)] if name in fields else np.full(n, own[i], np.int64) for i, name in enumerate(("duration", "size", "flags")))
+            if n and first_flags is not None:
+                marks = np.append(first_flags, marks[1:])
+            offsets = end + np.cumsum(sizes) - sizes
+            end += int(sizes.sum())
+            if n and (int(offsets.min()) < 0 or end > len(data)):
+                raise Malformed("samples reach beyond the file")
+            yield track, offsets, sizes, marks & NO_KEYFRAME == 0, int(duration.sum())
+
+
 def probe(data: bytes) -> list[dict]:
-    """The tracks of a file, in order."""
-    view, tracks = memoryview(data), []
+    """The tracks of a file, in order, with the samples of their tables and of all fragments."""
+    view, tracks, defaults = memoryview(data), [], {}
     for path, a, b in walk(view, 0, len(view)):
         if path == (b"moov", b"trak"):
             tracks.append({})
         elif path[:2] == (b"moov", b"trak") and tracks:
             tracks[-1].setdefault(path[-1], (a, b))
-    return [read_track(view, found) for found in tracks]
+        elif path == (b"moov", b"mvex", b"trex"):
+            defaults[word(view, a + 4, b)] = tuple(word(view, a + k, b) for k in (12, 16, 20))
+    read = [read_track(view, found) for found in tracks]
+    start, runs = 0, []
+    for kind, a, b in boxes(view, 0, len(view)):
+        if kind == b"moof":
+            runs += fragment_runs(view, start, a, b, defaults)
+        start = b
+    if runs:
+        ids = [word(view, found[b"tkhd"][0] + (20 if view[found[b"tkhd"][0]] else 12), found[b"tkhd"][1]) if b"tkhd" in found else None for found in tracks]
+        scales = [word(view, found[b"mdhd"][0] + (20 if view[found[b"mdhd"][0]] else 12), found[b"mdhd"][1]) for found in tracks]
+        if {run[0] for run in runs} - set(ids):
+            raise Malformed("a fragment of a track that is not there")
+        for track, number, scale in zip(read, ids, scales, strict=True):
+            mine = [run for run in runs if run[0] == number]
+            for i, name in enumerate(("offsets", "sizes", "key"), 1):
+                track[name] = np.concatenate([track[name], *[run[i] for run in mine]])
+            length = sum(run[4] for run in mine) / scale if scale else 0.0
+            track["duration"] = max(track["duration"], length)
+    return read
 
 
 def read_back(data: bytes, track: dict) -> bytes:
