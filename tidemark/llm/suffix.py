@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +106,8 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             at, grams = anchors(data)
             wide = np.concatenate([np.full(LEFT, BEYOND, np.uint8), data, np.full(LENGTH, BEYOND, np.uint8)])
-            contexts = gram_hashes(wide, LEFT + LENGTH)[at]
+            around = memoryview(wide)
+            contexts = np.fromiter((xxhash.xxh3_64_intdigest(around[i : i + LEFT + LENGTH]) for i in at.tolist()), np.uint64, len(at))
             halves = gram_hashes(wide, _HALF)
             before, after = halves[at + LEFT - _HALF] & np.uint64(_MASK), halves[at + LEFT + GRAM] & np.uint64(_MASK)
             place = at.astype(np.uint64) << np.uint64(32) | before << np.uint64(17) | after << np.uint64(2)
@@ -349,10 +351,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     removed, judged on the input. Ids may be null or repeat; equal texts, hence repeated rows, remove
     each other. No rows give no rows; the columns doc_id and text are read.
     """
+    name = f"tidemark_{uuid.uuid4().hex}"
+    try:
+        return _repeated_spans(docs, name)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _repeated_spans(docs: DataFrame, name: str) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     for seed in range(8):
-        name = f"tidemark_{uuid.uuid4().hex}"
         number = F.xxhash64(text, F.lit(seed))
         check = F.md5(text.cast("binary"))
         texts = docs.select(number.alias("t"), text.alias("text"), check.alias("check")).groupBy("t").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("low"), F.max("check").alias("high"))
@@ -375,7 +384,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = whole.union(ends).groupBy("t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     done = kept.select("t", "text", "copies").join(spans, "t", "left")
     of_text = cut(done.mapInArrow(removed, "t long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept_sha256 string"))
-    spark.sql(f"DROP TABLE {name}")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.lit(seed)).alias("t")).join(of_text, "t").drop("t")
 
 
