@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from hashlib import sha256
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,3 +42,24 @@ def require_scope(scopes: set[str], scope: str) -> None:
 def expired(expires_at: datetime | None, now: datetime) -> bool:
     """An identity without an end never expires; one that ends now has."""
     return expires_at is not None and expires_at <= now
+
+
+class Sessions:
+    """Identities by the handle that a caller presents; only hashes of handles are kept."""
+
+    def __init__(self, given: dict[str, tuple[str, str, set[str], datetime | None]] | None = None) -> None:
+        """given: for each handle the principal, tenant, scopes and end (null: none) of its identity."""
+        self.given = {sha256(handle.encode()).hexdigest(): identity for handle, identity in (given or {}).items()}
+
+    def identity(self, handle: str | None, now: datetime) -> tuple[str, str, set[str]]:
+        """Principal, tenant and scopes behind a handle; blank, unknown and expired ones are refused alike."""
+        found = self.given.get(sha256((handle or "").encode()).hexdigest()) if (handle or "").strip() else None
+        if found is None or expired(found[3], now):
+            raise Forbidden("authentication failed")
+        return found[:3]
+
+
+def require_tenant(rows: DataFrame, tenant: str) -> DataFrame:
+    """The same rows; the job fails if any is of another tenant."""
+    own = F.col("tenant_id").eqNullSafe(F.lit(tenant))
+    return rows.where(F.when(own, F.lit(True)).otherwise(F.raise_error(F.lit("a row of another tenant")).cast("boolean")))

@@ -66,6 +66,18 @@ def registered(requests: DataFrame, stored: DataFrame | None = None) -> DataFram
     return order.select(*columns, "is_new").mapInPandas(fold, schema)
 
 
+def by_idempotency_key(artifacts: DataFrame, tenant: str, key: str) -> DataFrame:
+    """The live artifact of a tenant that was registered with a key."""
+    return artifacts.where((F.col("tenant_id") == tenant) & (F.col("idempotency_key") == key) & ~F.col("storage_status").eqNullSafe("DELETED"))
+
+
+def by_spool_path(artifacts: DataFrame, path: str) -> DataFrame:
+    """The artifacts whose content is at a path of the spool, however it is written."""
+    from tidemark.functions.keys import normal_path
+
+    return artifacts.where(normal_path(F.col("spool_path")) == normal_path(F.lit(path)))
+
+
 def outbox_rows(artifacts: DataFrame) -> DataFrame:
     """The STORE and INDEX jobs of created artifacts (tenant_id, id, version, created_at)."""
     from tidemark.functions.keys import operation_id

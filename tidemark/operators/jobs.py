@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,7 +74,7 @@ def settled(jobs: DataFrame, results: DataFrame, now: datetime | Column, most_at
     again = F.col("attempts") < most_attempts
     status = F.when(F.col("_ok"), "COMPLETED").when(again, "RETRY_PENDING").otherwise("DEAD_LETTER")
     wait = times.retry_delay_ms(F.col("attempts"))
-    next_at = F.timestamp_millis(F.unix_millis(_at(now).cast("timestamp")) + wait)
+    next_at = F.timestamp_micros(F.unix_micros(_at(now).cast("timestamp")) + 1000 * wait)
     rows = jobs.join(r, "id", "left").withColumn("_held", held)
     return (
         rows.withColumn("_status", F.when(F.col("_held"), status).otherwise(F.col("status")))
@@ -90,20 +91,55 @@ def expired_leases(jobs: DataFrame, now: datetime | Column) -> DataFrame:
     return jobs.where(times.lease_expired(F.col("status"), F.col("lease_expires_at"), _at(now)))
 
 
-def recovered(jobs: DataFrame, now: datetime | Column) -> DataFrame:
-    """Jobs whose lease ran out wait for another try, due at once."""
-    gone = F.coalesce(times.lease_expired(F.col("status"), F.col("lease_expires_at"), _at(now)), F.lit(False))
-    rows = jobs.withColumn("_gone", gone)
+def recovered(jobs: DataFrame, now: datetime | Column, n: int = RECOVER_BATCH) -> DataFrame:
+    """The n jobs whose lease ran out first wait for another try, due at once; the others stay as they are."""
+    first = expired_leases(jobs, now).orderBy("lease_expires_at", "id").limit(n).select("id", F.lit(True).alias("_gone"))
+    rows = jobs.join(F.broadcast(first), "id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))  # n rows
     return (
         rows.withColumn("status", F.when(F.col("_gone"), "RETRY_PENDING").otherwise(F.col("status")))
         .withColumn("next_attempt_at", F.when(F.col("_gone"), _at(now)).otherwise(F.col("next_attempt_at")))
         .withColumn("last_error", F.when(F.col("_gone"), "lease expired").otherwise(F.col("last_error")))
         .withColumn("lease_owner", F.when(~F.col("_gone"), F.col("lease_owner")))
         .withColumn("lease_expires_at", F.when(~F.col("_gone"), F.col("lease_expires_at")))
-        .drop("_gone")
+        .select(*jobs.columns)
     )
 
 
+def acknowledged(outbox: DataFrame, taken: DataFrame) -> DataFrame:
+    """The outbox without the rows (id) that have been taken; an id that is not there does no harm."""
+    return outbox.join(taken.select("id").distinct(), "id", "left_anti").select(*outbox.columns)
+
+
+def refusal() -> Column:
+    """Why a job can't be dispatched; null if it can: it must be pending, with an id, a tenant, an artifact and a known type."""
+
+    def blank(c: str) -> Column:
+        return F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+
+    return (
+        F.when(blank("id") | blank("tenant_id") | blank("artifact_id"), "IDENTITY")
+        .when(~F.coalesce(F.col("type").isin("STORE", "INDEX"), F.lit(False)), "TYPE")
+        .when(~F.col("status").eqNullSafe("PENDING"), "STATUS")
+    )
+
+
+def dispatched(queue: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the queue with the jobs that it takes, id and acknowledgement of each job: ACCEPTED, DUPLICATE or REJECTED with the reason)."""
+    judged = jobs.withColumn("reason", refusal()).join(queue.select("id", F.lit(True).alias("_queued")).distinct(), "id", "left")
+    outcome = F.when(F.col("reason").isNotNull(), "REJECTED").when(F.col("_queued"), "DUPLICATE").otherwise("ACCEPTED")
+    return enqueued(queue, jobs.where(refusal().isNull())), judged.select("id", outcome.alias("outcome"), "reason")
+
+
+def settled_by(jobs: DataFrame, run: Callable[[DataFrame], DataFrame], now: datetime | Column, kind: str, owner: str, *, lease_seconds: int = 60, most_attempts: int = times.ATTEMPTS) -> DataFrame:
+    """One turn of a worker: leases that ran out are recovered, the next due job of a type is claimed and run, its result applied.
+
+    `run` gets the claimed row and returns id, ok, error. A job that fails waits, or is a dead letter after its last attempt.
+    """
+    mine = claimed(recovered(jobs, now), now, kind, owner, lease_seconds)
+    held = mine.where(times.owns_lease(F.col("status"), F.col("lease_owner"), F.col("lease_expires_at"), owner, _at(now)) & (F.col("type") == kind))
+    return settled(mine, run(held).withColumn("owner", F.lit(owner)), now, most_attempts)
+
+
 def latest_state(events: DataFrame, *, key: str, state: str, at: str, tie: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(state, F.struct(at, tie)).alias("state"))
 

@@ -74,6 +74,11 @@ def fused(branches: list[DataFrame], id_col: str = "chunk_id", keep: tuple[str,
     return every.groupBy(id_col, *keep).agg(F.sum("part").alias("score"))
 
 
+def one_of(artifacts: DataFrame, tenant: str, artifact: str) -> DataFrame:
+    """The artifact of a tenant by its id, tombstones included."""
+    return artifacts.where((F.col("tenant_id") == tenant) & (F.col("id") == artifact))
+
+
 def newest(artifacts: DataFrame, limit: int) -> DataFrame:
     """The artifacts created last, ties by id; tombstones count."""
     return artifacts.orderBy(F.desc("created_at"), "id").limit(limit)

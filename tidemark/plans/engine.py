@@ -215,7 +215,7 @@ class Engine:
 
     def metadata(self, principal: str, tenant: str, artifact: str) -> DataFrame:
         self.grants.require(principal, tenant, "READ_METADATA")
-        return self.live(tenant).where(F.col("id") == artifact)
+        return retrieval.one_of(self.live(tenant), tenant, artifact)
 
     def list_metadata(self, principal: str, tenant: str, limit: int) -> DataFrame:
         """The newest artifacts; the limit counts tombstones too, which are then left out."""

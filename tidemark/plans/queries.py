@@ -154,33 +154,49 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _AFTER = "1997-01-01"
+_LATER = """
+WITH d AS (SELECT d.doc_id AS chunk_id, d.text, o_orderdate AS born FROM documents d JOIN orders ON o_orderkey = d.doc_id + 1 WHERE d.source = (SELECT min(source) FROM documents)),
+k AS (SELECT chunk_id, born, row_number() OVER (ORDER BY {keyword} DESC, chunk_id) AS r FROM d WHERE {keyword} > 0 QUALIFY r <= 40),
+v AS (SELECT d.chunk_id, d.born, row_number() OVER (ORDER BY score DESC, d.chunk_id) AS r FROM ({vector}) x JOIN d ON d.chunk_id = x.vec_id QUALIFY r <= 40)
+SELECT chunk_id, score FROM (SELECT chunk_id, any_value(born) AS born, {rrf} AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM k) GROUP BY chunk_id) WHERE born >= TIMESTAMP '{after}' ORDER BY score DESC, chunk_id LIMIT 10"""
 
 
-@query("search_created_after", f"SELECT o_orderkey AS id, o_totalprice AS score FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 400) WHERE o_orderdate >= TIMESTAMP '{_AFTER}' ORDER BY score DESC, id LIMIT 100")
+@query("search_created_after", _LATER.format(keyword=_KEYWORD, vector=_VECTOR, rrf=_RRF, after=_AFTER))
 def search_created_after(spark: SparkSession, sf: str) -> DataFrame:
-    candidates = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), "o_orderdate").orderBy(F.desc("score"), "id").limit(400)
-    return candidates.where(F.col("o_orderdate") >= F.lit(datetime.fromisoformat(_AFTER)).cast("timestamp_ntz")).select("id", "score").orderBy(F.desc("score"), "id").limit(100)
+    """A search within one tenant; the time filter comes after the fusion, so it may leave fewer hits."""
+    tenant = t(spark, sf, "documents").agg(F.min("source")).first()[0]
+    dates = t(spark, sf, "orders").select((F.col("o_orderkey") - 1).cast("string").alias("id"), F.col("o_orderdate").alias("created_at"))
+    dated = artifacts_of(spark, sf).drop("created_at").withColumn("index_status", F.lit("READY")).join(dates, "id")
+    found = retrieval.hybrid_search(chunks_with_vectors(spark, sf), dated, QUERY_TEXT, first_vector(spark, sf), tenant=tenant, limit=10, created_after=datetime.fromisoformat(_AFTER))
+    return found.select("chunk_id", "score")
 
 
-def _requests(spark: SparkSession, sf: str, key: F.Column) -> DataFrame:
+def _requests(spark: SparkSession, sf: str, key: F.Column, fingerprint: F.Column | None = None) -> DataFrame:
     docs = t(spark, sf, "documents")
     sha = keys.sha256(F.col("text"))
-    return docs.select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("tenant_id"), key.alias("idempotency_key"), sha.alias("sha256"), sha.alias("fingerprint"))
+    mark = sha if fingerprint is None else fingerprint
+    return docs.select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("tenant_id"), key.alias("idempotency_key"), sha.alias("sha256"), mark.alias("fingerprint"))
 
 
-@query("register_outcomes", "SELECT doc_id AS seq, lang AS tenant_id, CASE WHEN row_number() OVER w = 1 THEN 'CREATED' ELSE 'CONTENT_DUPLICATE' END AS outcome, first_value(doc_id::VARCHAR) OVER w AS artifact_id FROM documents WINDOW w AS (PARTITION BY lang, sha256(text) ORDER BY doc_id)")
-def register_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return intake.registered_unique_keys(_requests(spark, sf, F.col("doc_id").cast("string")))
-
-
-@query("register_fold", SQL["register_outcomes"])
+@query("register_fold", "SELECT doc_id AS seq, lang AS tenant_id, CASE WHEN row_number() OVER w = 1 THEN 'CREATED' ELSE 'CONTENT_DUPLICATE' END AS outcome, first_value(doc_id::VARCHAR) OVER w AS artifact_id FROM documents WINDOW w AS (PARTITION BY lang, sha256(text) ORDER BY doc_id)")
 def register_fold(spark: SparkSession, sf: str) -> DataFrame:
     return intake.registered(_requests(spark, sf, F.col("doc_id").cast("string")))
 
 
-@query("register_shared_keys")
+@query(
+    "register_shared_keys",
+    """
+WITH RECURSIVE o AS (SELECT lang AS tenant_id, doc_id AS seq, doc_id::VARCHAR AS id, 'k' || (doc_id // 9) AS k, doc_id % 2 AS mark, sha256(text) AS sha, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT tenant_id, seq, i, 'CREATED' AS outcome, id AS artifact_id, [k] AS ks, [mark] AS marks, [sha] AS shas, [id] AS made FROM o WHERE i = 1
+  UNION ALL SELECT tenant_id, seq, i, CASE WHEN at_key > 0 THEN CASE WHEN marks[at_key] = mark THEN 'IDEMPOTENT_REPLAY' ELSE 'CONFLICT' END WHEN at_sha > 0 THEN 'CONTENT_DUPLICATE' ELSE 'CREATED' END,
+    CASE WHEN at_key > 0 THEN made[at_key] WHEN at_sha > 0 THEN made[at_sha] ELSE id END,
+    CASE WHEN new THEN list_append(ks, k) ELSE ks END, CASE WHEN new THEN list_append(marks, mark) ELSE marks END, CASE WHEN new THEN list_append(shas, sha) ELSE shas END, CASE WHEN new THEN list_append(made, id) ELSE made END
+  FROM (SELECT o.*, f.ks, f.marks, f.shas, f.made, coalesce(list_position(f.ks, o.k), 0) AS at_key, coalesce(list_position(f.shas, o.sha), 0) AS at_sha, at_key + at_sha = 0 AS new FROM f JOIN o ON o.tenant_id = f.tenant_id AND o.i = f.i + 1))
+SELECT seq, tenant_id, outcome, artifact_id FROM f""",
+)
 def register_shared_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return intake.registered(_requests(spark, sf, F.concat(F.lit("k"), F.floor(F.col("doc_id") / 3))))
+    """Keys that nine requests share, of two fingerprints: replays, conflicts and duplicates."""
+    return intake.registered(_requests(spark, sf, F.concat(F.lit("k"), F.floor(F.col("doc_id") / 9)), (F.col("doc_id") % 2).cast("string")))
 
 
 @query("checksum_first", "SELECT source AS tenant_id, sha256(text) AS sha256, min(doc_id)::VARCHAR AS id FROM documents GROUP BY 1, 2")
@@ -238,18 +254,26 @@ def tags_filter(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(text.has_all_tags(text.tags(F.replace("p_type", F.lit(" "), F.lit(","))), [f" {wanted} "])).select("p_partkey")
 
 
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as artifacts of their customer; finished ones are tombstones."""
+    status = F.when(F.col("o_orderstatus") == "F", "DELETED").otherwise("STORED")
+    return t(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("tenant_id"), F.col("o_orderdate").alias("created_at"), status.alias("storage_status"),
+        F.lit("READY").alias("index_status"), F.concat(F.lit("k"), "o_orderkey").alias("idempotency_key"),
+    )
+
+
 _NEWEST = "SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100"
 
 
 @query("list_newest", f"SELECT o_orderkey, o_orderdate FROM ({_NEWEST})")
 def list_newest(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)
+    return retrieval.newest(_orders(spark, sf), 100).select("o_orderkey", F.col("created_at").alias("o_orderdate"))
 
 
 @query("list_live", f"SELECT o_orderkey FROM ({_NEWEST}) WHERE o_orderstatus <> 'F'")
 def list_live(spark: SparkSession, sf: str) -> DataFrame:
-    rows = t(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.when(F.col("o_orderstatus") == "F", "DELETED").otherwise("STORED").alias("storage_status"), F.lit("READY").alias("index_status"))
-    return rows.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).where(retrieval.readable()).select("o_orderkey")
+    return retrieval.newest(_orders(spark, sf), 100).where(retrieval.readable()).select("o_orderkey")
 
 
 @query("extracted_text", "SELECT conv_id, left(string_agg(text, chr(10) ORDER BY turn), 2000) AS extracted FROM conversations GROUP BY conv_id")
@@ -472,7 +496,16 @@ def fts_match(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.matching(t(spark, sf, "documents"), FTS_AND).select("doc_id")
 
 
-@query("fts_rank")
+_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query(
+    "fts_rank",
+    f"""
+WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+c AS (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS phrases, len(list_filter(w, lambda x: x = 'license')) AS licenses, list_contains(w, 'version') AS version FROM w)
+SELECT doc_id, phrases / 2.0::DOUBLE + licenses AS rank FROM c WHERE phrases > 0 OR (licenses > 0 AND NOT version) ORDER BY rank DESC, doc_id LIMIT 50""",
+)
 def fts_rank(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.search(t(spark, sf, "documents"), FTS_RANK, 50, id_col="doc_id")
 
@@ -497,16 +530,33 @@ def enqueue_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _drained(spark, relay.first_of_each(_event_stream(spark, sf).select(F.col("user_id").cast("string").alias("id"))))
 
 
+_COMMANDS = {"view": "enqueue", "click": "claim", "purchase": "complete", "signup": "fail", "error": "recover"}
+_LEASE_MS = 3 * 3600 * 1000
+
+
 @query(
     "lease_stream",
-    """
-WITH c AS (SELECT user_id::VARCHAR AS job_id, event_id AS seq, 'enqueue' AS command FROM events WHERE event_type IN ('view', 'click')),
-f AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS n FROM c)
-SELECT job_id, seq, n = 1 AS accepted, 'PENDING' AS status FROM f""",
+    f"""
+WITH RECURSIVE c AS (SELECT user_id::VARCHAR AS job_id, event_id AS seq, epoch_us(ts) // 1000 AS at_ms, CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _COMMANDS.items())} END AS command, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT job_id, 0::BIGINT AS n, NULL::BIGINT AS seq, false AS accepted, NULL::VARCHAR AS status, 0::BIGINT AS attempts, NULL::BIGINT AS expires_ms, NULL::BIGINT AS next_ms, NULL::VARCHAR AS error FROM c WHERE n = 1
+  UNION ALL SELECT job_id, n, seq, ok,
+    CASE WHEN NOT ok THEN status WHEN command = 'enqueue' THEN 'PENDING' WHEN command = 'claim' THEN 'CLAIMED' WHEN command = 'complete' THEN 'COMPLETED' WHEN command = 'fail' AND attempts >= 5 THEN 'DEAD_LETTER' ELSE 'RETRY_PENDING' END,
+    attempts + (ok AND command = 'claim')::BIGINT,
+    CASE WHEN NOT ok THEN expires_ms WHEN command = 'claim' THEN at_ms + {_LEASE_MS} END,
+    CASE WHEN NOT ok OR command = 'claim' THEN next_ms WHEN command = 'fail' AND attempts < 5 THEN at_ms + least(120000, 1000 * power(2, attempts - 1))::BIGINT WHEN command = 'recover' THEN at_ms END,
+    CASE WHEN NOT ok OR command IN ('claim', 'complete') THEN error WHEN command = 'fail' THEN 'failed' WHEN command = 'recover' THEN 'lease expired' END
+  FROM (SELECT s.* EXCLUDE (n, seq, accepted), c.n, c.seq, c.at_ms, c.command, CASE c.command WHEN 'enqueue' THEN s.status IS NULL
+      WHEN 'claim' THEN coalesce(s.status IN ('PENDING', 'RETRY_PENDING') AND (s.next_ms IS NULL OR s.next_ms <= c.at_ms), false)
+      WHEN 'recover' THEN coalesce(s.status = 'CLAIMED' AND s.expires_ms <= c.at_ms, false) ELSE coalesce(s.status = 'CLAIMED' AND s.expires_ms > c.at_ms, false) END AS ok
+    FROM s JOIN c ON c.job_id = s.job_id AND c.n = s.n + 1))
+SELECT job_id, seq, accepted, status, CASE WHEN status IS NOT NULL THEN attempts END AS attempts, expires_ms, next_ms, error FROM s WHERE n > 0""",
 )
 def lease_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Repeated enqueues of a job: only the first is accepted. Claims, leases and retries are tested on written cases."""
-    rows = _event_stream(spark, sf).where(F.col("event_type").isin("view", "click"))
-    null = F.lit(None)
-    commands = rows.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.lit("enqueue").alias("command"), null.cast("string").alias("owner"), null.cast("long").alias("lease_seconds"), null.cast("string").alias("error"))
-    return _drained(spark, leases.lease_stream(commands)).select("job_id", "seq", "accepted", "status")
+    """Every event is a command for its user's job: enqueue, claim for three hours, complete, fail or recover."""
+    rows = _event_stream(spark, sf)
+    command = F.create_map(*[F.lit(x) for pair in _COMMANDS.items() for x in pair])[F.col("event_type")]
+    commands = rows.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), command.alias("command"), F.lit("worker").alias("owner"), F.lit(_LEASE_MS // 1000).cast("long").alias("lease_seconds"), F.lit("failed").alias("error"))
+    return _drained(spark, leases.lease_stream(commands)).select("job_id", "seq", "accepted", "status", "attempts", "expires_ms", "next_ms", "error")
+
+
+from tidemark.plans import cases  # noqa: E402, F401  (registers its queries with the ones above)

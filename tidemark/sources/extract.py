@@ -111,10 +111,14 @@ markdown_text = F.pandas_udf(lambda s: s.map(markdown_plain), T.StringType())
 docx_text = F.pandas_udf(lambda s: s.map(docx_plain), T.StringType())
 
 
-def lines_of(blocks: Column) -> Column:
-    """Recognised lines of an image, from blocks (type, text), joined by newlines."""
+def lines_of(blocks: Column, most: int = MOST_CHARS) -> Column:
+    """Recognised lines of an image, from blocks (type, text), joined by newlines; null if that is longer than `most`.
+
+    Lengths are added up before anything is joined, so a text beyond the bound is never built.
+    """
     lines = F.filter(blocks, lambda b: (b["type"] == "LINE") & b["text"].isNotNull())
-    return F.array_join(F.transform(lines, lambda b: b["text"]), "\n")
+    length = F.aggregate(lines, F.lit(-1).cast("long"), lambda n, b: n + 1 + F.length(b["text"]))
+    return F.when(length <= most, F.array_join(F.transform(lines, lambda b: b["text"]), "\n"))
 
 
 def extracted(rows: DataFrame, *, content_col: str = "content", type_col: str = "media_type", pdf: Callable[[bytes], str] | None = None, ocr: Callable[[bytes], str] | None = None, most_bytes: int = MOST_BYTES, most_chars: int = MOST_CHARS) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
-from datetime import UTC, datetime
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,8 +61,8 @@ def applied(r: Record | None, command: str, at: int, owner: str | None, lease_ms
 
 
 def _millis(x: datetime | pd.Timestamp) -> int:
-    x = pd.Timestamp(x)
-    return int((x if x.tzinfo else x.replace(tzinfo=UTC)).timestamp() * 1000)
+    """Whole milliseconds, exactly; a time without a zone is UTC."""
+    return pd.Timestamp(x).value // 1_000_000
 
 
 def lease_stream(commands: DataFrame, most: int = ATTEMPTS) -> DataFrame:
