@@ -160,6 +160,54 @@ def test_repeated_strings_by_counting_all(docs, rows, no_docs):
     assert suffix.repeated_spans(no_docs).count() == 0
 
 
+def test_grams_of_many_contexts(spark, docs, rows, monkeypatch):
+    expected = sorted(repr((r[0], *x)) for r, x in zip(rows, plain_removed([(r[1] or "").encode() for r in rows]), strict=True))
+
+    def found():
+        return sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"])) for r in suffix.repeated_spans(docs).collect())
+
+    monkeypatch.setattr(suffix, "SORTED", 1)
+    assert found() == expected
+    monkeypatch.setattr(suffix, "MOST_ROWS", 2)
+    assert found() == expected
+
+
+def test_parts_lose_no_comparison(rows, monkeypatch):
+    import pyarrow as pa
+
+    texts = sorted({r[1] for r in rows if r[1]})
+    (marks,) = suffix.anchor_rows(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["t", "text"])]))
+    marks = pa.Table.from_batches([marks]).sort_by([("gram", "ascending"), ("context", "ascending")]).combine_chunks().to_batches()[0]
+
+    def found():
+        out = [r for b in suffix.sorted_out(iter([marks.slice(i, 3) for i in range(0, marks.num_rows, 3)])) for r in b.to_pylist()]
+        return {(r["t"], r["place"]) for r in out if r["what"] > 0}, {(r["t"], r["place"]) for r in out if r["what"] != 1}
+
+    compared, whole = found()
+    monkeypatch.setattr(suffix, "MOST_ROWS", 2)
+    more, less = found()
+    assert compared and compared <= more and less <= whole and whole - less <= more
+
+
+def test_parts_of_grams():
+    import pyarrow as pa
+
+    grams = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5, 5, 5, 6]
+    for most in (2, 3, 100):
+        for size in (1, 2, 5, 14):
+            suffix_rows = suffix.MOST_ROWS
+            try:
+                suffix.MOST_ROWS = most
+                batches = [pa.RecordBatch.from_arrays([pa.array(range(at, min(14, at + size))), pa.array(grams[at : at + size])], ["t", "gram"]) for at in range(0, 14, size)]
+                out = [(b.to_pydict(), parted) for b, parted in suffix.gram_groups(iter(batches))]
+            finally:
+                suffix.MOST_ROWS = suffix_rows
+            assert [x for b, _ in out for x in b["t"]] == list(range(14))
+            whole = [set(b["gram"]) for b, parted in out if not parted]
+            parts = [set(b["gram"]) for b, parted in out if parted]
+            assert all(len(p) == 1 for p in parts) and sum(map(len, whole)) == len(set().union(set(), *whole)) and not set().union(set(), *whole) & set().union(set(), *parts)
+
+
 def test_strings_of_just_the_length(spark):
     rng = random.Random(9)
 

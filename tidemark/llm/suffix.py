@@ -11,6 +11,10 @@ to a shallow depth, then blind tries for the groups that still agree. The order
 anchor on, and that of the reversed text before it, with the longest common prefixes of neighbours,
 say for every offset which contexts share a string of `LENGTH` bytes there.
 
+A gram of very many different contexts (what is around the ends of a passage that all documents
+have) would be one task's to sort. Its strings are counted instead, spread over all tasks, which
+gives the same offsets.
+
 Each distinct text is handled once and kept in a table bucketed by its number, so that texts are
 shuffled once; a text that occurs twice repeats as a whole.
 """
@@ -39,8 +43,10 @@ LEFT = LENGTH - GRAM
 SHALLOW = 80
 #: Stands for what lies beyond a text's ends; no UTF-8 text has this byte.
 BEYOND = 255
-#: Rows of whole groups that are looked at together.
-CHUNK = 1 << 18
+#: Rows of whole groups that are looked at together, and rows of one gram at which it is looked at in parts.
+CHUNK, MOST_ROWS = 1 << 18, 1 << 20
+#: Contexts of one gram that are sorted together; where there are more, their strings are counted instead.
+SORTED = 4096
 #: Marks in the last two bits of an anchor's place.
 ONE_OF_MANY, SETTLED = 1, 2
 _HALF, _MASK = LEFT // 2, 0x7FFF
@@ -126,6 +132,40 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t, grams, contexts, place)], ["t", "gram", "context", "place"])
 
 
+def gram_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Batches sorted by their second column, joined so that they end where it changes; or, beyond MOST_ROWS of one gram, parts of it, marked True."""
+    held: list[pa.RecordBatch] = []
+    rows, parted = 0, False
+
+    def ready(last: bool) -> Iterator[tuple[pa.RecordBatch, bool]]:
+        nonlocal held, rows, parted
+        joined = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        grams = joined.column(1).to_numpy(zero_copy_only=False)
+        ends = np.append(np.flatnonzero(grams[1:] != grams[:-1]) + 1, [len(grams)] if last else []).astype(int)
+        done = 0
+        if parted:  # what is left of the gram before
+            done = int(ends[0]) if len(ends) else len(grams)
+            parted = not len(ends)
+            yield joined.slice(0, done), True
+            ends = ends[ends > done]
+        if len(ends):
+            yield joined.slice(done, int(ends[-1]) - done), False
+            done = int(ends[-1])
+        elif not parted and len(grams) - done >= MOST_ROWS:
+            yield joined.slice(done), True
+            done, parted = len(grams), True
+        held, rows = ([joined.slice(done)], len(grams) - done) if done < len(grams) else ([], 0)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= min(CHUNK, MOST_ROWS):
+                yield from ready(last=False)
+    if rows:
+        yield from ready(last=True)
+
+
 def counts_of(*keys: np.ndarray) -> np.ndarray:
     """For each row, how many rows have its keys."""
     order = np.lexsort(keys)
@@ -141,9 +181,10 @@ def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From anchors by gram: t, place, gram, what; 0: the context is repeated as a whole, 1: it must be compared, 2: both.
 
     Of equal contexts one is compared on behalf of all. A context goes on only if another kind shares
-    the half context before or after the gram, since a repeated string covers one of the two.
+    the half context before or after the gram, since a repeated string covers one of the two; or, in a
+    part of a gram, in any case, as the others are not at hand.
     """
-    for batch in whole_groups(batches, 1, CHUNK):
+    for batch, parted in gram_groups(batches):
         t, gram, context, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         settled = place & SETTLED > 0
         if settled.any():
@@ -165,7 +206,7 @@ def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new) - 1
         open_gram[order] = (np.bincount(group, single[order]) > 0)[group]
         compare = np.zeros(len(order), bool)
-        compare[f] = meets & open_gram[f]
+        compare[f] = meets & open_gram[f] | parted
         what = np.where(same > 1, np.where(compare, 2, 0), np.where(compare, 1, -1))
         keep = what >= 0
         yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (t, place, gram, what)], ["t", "place", "gram", "what"])
@@ -313,6 +354,27 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t[rows], start, at[rows] - LEFT + high + LENGTH)], ["t", "start", "stop"])
 
 
+def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, t, at, offset, what: each string of a context by a hash of it and of its place there.
+
+    Strings of two contexts of one text at the same place in it have different offsets, so a place is not taken for a repetition of itself.
+    """
+    for batch in small_batches(batches):
+        rows = []
+        for t, at, left, right, what, raw in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            rows += [(xxhash.xxh3_128_digest(raw[k : k + LENGTH], k), t, at, k, what) for k in range(LEFT - left, right + 1)]
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "t", "at", "offset", "what"])
+
+
+def counted(around: DataFrame) -> DataFrame:
+    """What `compared` gives, for contexts of grams that have too many: strings are counted, in any number of tasks, and combined before they are shuffled."""
+    each = cut(around.mapInArrow(windows, "key binary, t long, at long, offset long, what long"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    ends = each.where("what = 1").join(shared.hint("merge"), "key").groupBy("t", "at").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
+    return ends.select("t", (F.col("at") - LEFT + F.col("low")).alias("start"), (F.col("at") - LEFT + F.col("high") + LENGTH).alias("stop"))
+
+
 def merged(raw: bytes, spans: list[dict], copies: int) -> tuple[int, list[tuple[int, int]]]:
     """Bytes removed and the maximal runs of them; a text that occurs twice goes as a whole."""
     if len(raw) < LENGTH:
@@ -374,11 +436,19 @@ def _repeated_spans(docs: DataFrame, name: str) -> DataFrame:
         raise RuntimeError("texts share numbers under every seed")
     kept = spark.table(name)
     marks = kept.select("t", "text").mapInArrow(anchor_rows, "t long, gram long, context long, place long")
-    sorted_marks = marks.repartition(n, "gram").sortWithinPartitions("gram")
+    sorted_marks = marks.repartition(n, "gram").sortWithinPartitions("gram", "context")
     found = cut(sorted_marks.mapInArrow(sorted_out, "t long, place long, gram long, what long"))
-    asked = found.where("what > 0").groupBy("t").agg(F.collect_list(F.struct("gram", "place", "what")).alias("asked"))
-    around = kept.select("t", "text").join(asked, "t").mapInArrow(contexts, "gram long, t long, at long, left long, right long, what long, bytes binary")
-    ends = around.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(compared, "t long, start long, stop long")
+    compare = found.where("what > 0")
+    hot = cut(compare.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SORTED).select("gram"))
+
+    def around(rows: DataFrame) -> DataFrame:
+        asked = rows.groupBy("t").agg(F.collect_list(F.struct("gram", "place", "what")).alias("asked"))
+        return kept.select("t", "text").join(asked, "t").mapInArrow(contexts, "gram long, t long, at long, left long, right long, what long, bytes binary")
+
+    few = compare.join(hot, "gram", "left_anti")
+    ends = around(few).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(compared, "t long, start long, stop long")
+    if not hot.isEmpty():
+        ends = ends.union(counted(around(compare.join(hot, "gram", "left_semi"))))
     at = F.shiftright("place", 32)
     whole = found.where("what <> 1").select("t", (at - LEFT).alias("start"), (at + LENGTH).alias("stop"))
     spans = whole.union(ends).groupBy("t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
