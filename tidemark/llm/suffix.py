@@ -45,8 +45,8 @@ SHALLOW = 80
 BEYOND = 255
 #: Rows of whole groups that are looked at together, and rows of one gram at which it is looked at in parts.
 CHUNK, MOST_ROWS = 1 << 18, 1 << 20
-#: Contexts of one gram that are sorted together; where there are more, their strings are counted instead.
-SORTED = 4096
+#: Contexts of one gram that are sorted together, 88 MB; where there are more, their strings are counted instead, at many times the disk.
+SORTED = 1 << 18
 #: Marks in the last two bits of an anchor's place.
 ONE_OF_MANY, SETTLED = 1, 2
 _HALF, _MASK = LEFT // 2, 0x7FFF
