@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from math import comb
 
@@ -195,3 +196,34 @@ def test_url_parts_and_rules(spark, tmp_path):
     assert [found[i][3] for i in (0, 1, 2, 5, 6)] == ["block", "block", "allow", "allow", "block"]
     assert all(v[3] in ("allow", "block") for v in found.values()) and found[13] == found[99]
     assert urlfilter.judge(pages.limit(0)).count() == 0
+
+
+def test_urls_are_told_apart_by_digits_and_however_grams_are_looked_up(spark, monkeypatch):
+    bodies = [(f"a.org/{i}", 1, 0) for i in range(40, 50)] + [(f"a.org/{i}", 0, 1) for i in range(7000, 7010)] + [(b, 0, 0) for b in ("b.net/42", "b.net/7007", "é😀", "a" * 20000, "")]
+    bodies = spark.createDataFrame([(i, *b) for i, b in enumerate(bodies)], "id long, body string, yes long, no long")
+    fitted = urlfilter.cut(urlfilter.model(bodies))
+    found = {r["id"]: r["step"] for r in urlfilter.scored(bodies, fitted).collect()}
+    assert found.keys() == set(range(25)) and found[20] > 0 > found[21]
+    for hot in (1, 20):
+        monkeypatch.setattr(urlfilter, "HOT", hot)
+        assert {r["id"]: r["step"] for r in urlfilter.scored(bodies, fitted).collect()} == found
+
+
+def test_url_model_against_plain_counts(spark):
+    bodies = [("ab", 3, 0), ("ab1", 0, 2), ("é/", 1, 1), ("", 0, 1), ("ba", 0, 0)]
+    edge, most = urlfilter.EDGE, urlfilter.ORDER
+    seen = [(edge * most + b + edge)[i : i + most + 1] for b, _, _ in bodies for i in range(len(b) + 1)]
+    counts = [(g, *x[1:]) for x in bodies for g in [(edge * most + x[0] + edge)[i : i + most + 1] for i in range(len(x[0]) + 1)]]
+    uniform = 1 / len({g[-1] for g in seen})
+
+    def likelihood(gram: str, kind: int) -> float:
+        if not gram:
+            return uniform
+        after = [(g[-len(gram) :], x[kind]) for g, *x in counts if g[-len(gram) :][:-1] == gram[:-1] and x[kind]]
+        shorter = likelihood(gram[1:], kind)
+        total, kinds = sum(n for _, n in after), len({g for g, _ in after})
+        return (sum(n for g, n in after if g == gram) + kinds * shorter) / (total + kinds) if total else shorter
+
+    found = {r["gram"]: (r["n"], r["ratio"]) for r in urlfilter.model(spark.createDataFrame(bodies, "body string, yes long, no long")).collect()}
+    expected = {g: (seen.count(g), round((math.log(likelihood(g, 0)) - math.log(likelihood(g, 1))) * urlfilter.UNIT)) for g in set(seen)}
+    assert found == expected
