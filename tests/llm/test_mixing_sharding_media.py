@@ -56,6 +56,19 @@ def test_targets_and_takes(docs, rows, no_docs):
     assert mixing.mixed(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
+def test_texts_without_words_are_taken_with_whole_epochs_only(spark):
+    """Source a stops at three times its size, so three epochs are all of it; b and c have epochs and a rest."""
+    rows = [(i, " \t" * i, source) for source in "abc" for i in range(40)]
+    rows += [(100 + i, f"w{i} x y", source) for source, n in (("a", 2), ("b", 30), ("c", 5)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    wanted = plain_targets(size)
+    times = Counter((r["doc_id"], r["source"]) for r in mixing.mix(docs).collect())
+    for s in "abc":
+        assert {times[i, s] for i in range(40)} == {int(wanted[s] // size[s])}
+    assert max(times.values()) <= 3
+
+
 def test_many_buckets_choose_like_one(docs, monkeypatch):
     one = sorted(map(repr, mixing.mixed(docs).collect()))
     monkeypatch.setattr(mixing, "BUCKET", 2)

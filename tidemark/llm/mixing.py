@@ -108,7 +108,7 @@ def bucket() -> Column:
 def copies(keyed: DataFrame, planned: DataFrame) -> DataFrame:
     """Adds source_size, target and `copies`, how often the mix takes the row, to rows with source, size and key."""
     per = small(planned).withColumnRenamed("source", "of")
-    within = (bucket() < F.col("end_bucket")) | ((bucket() == F.col("end_bucket")) & (F.col("key") <= F.col("end_key")))
+    within = (F.col("size") > 0) & ((bucket() < F.col("end_bucket")) | ((bucket() == F.col("end_bucket")) & (F.col("key") <= F.col("end_key"))))
     joined = keyed.join(per, F.col("source").eqNullSafe(F.col("of")))
     return joined.withColumn("copies", F.col("epochs") + F.when(within, 1).otherwise(0)).drop("of", "epochs", "buckets", "end_bucket", "end_key")
 
