@@ -88,11 +88,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def store(df: DataFrame) -> str:
     """Writes a table into the shared folder and returns its path."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession)
     df.write.parquet(path)
     return path
 
 
+def fresh(spark: SparkSession) -> str:
+    """A path in the shared folder that is not taken."""
+    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """A stored table of a few short columns, marked for broadcast if it is counted and has no more rows than `most`."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
