@@ -57,28 +57,29 @@ def starts(words: Column, phrase: tuple[str, ...]) -> Column:
     return at
 
 
-def matches(words: Column, query: Query) -> Column:
-    """Whether any alternative has all wanted phrases and no unwanted one; an empty query matches nothing."""
+def fits(query: Query, there: Callable[[tuple[str, ...]], Column]) -> Column:
+    """Whether any alternative has all wanted phrases and no unwanted one; an empty query fits nothing."""
     out = F.lit(False)
     for alternative in query.alternatives:
-        fits = F.lit(True)
-        for phrase, wanted in alternative:
-            there = F.array_contains(words, phrase[0]) if len(phrase) == 1 else F.size(starts(words, phrase)) > 0
-            fits = fits & (there if wanted else ~there)
-        out = out | fits
+        out = out | reduce(and_, [there(phrase) if wanted else ~there(phrase) for phrase, wanted in alternative])
     return out
 
 
+def matches(words: Column, query: Query) -> Column:
+    """Whether a document of these words fits the query."""
+    return fits(query, lambda phrase: F.array_contains(words, phrase[0]) if len(phrase) == 1 else F.size(starts(words, phrase)) > 0)
+
+
 def _mark(term: int, size: int) -> Callable[[Column], Column]:
     return lambda i: F.struct((i + (size - 1)).cast("int").alias("at"), F.lit(term).alias("term"), i.cast("int").alias("start"))
 
 
-def cover_density(words: Column, query: Query) -> Column:
-    """For each alternative: over places where its last-seen phrases complete a cover, the sum of 1 / its length, each start once."""
+def cover_density(query: Query, starts_of: Callable[[tuple[str, ...]], Column]) -> Column:
+    """From the places where phrases begin, for each alternative: over places where its last-seen phrases complete a cover, the sum of 1 / its length, each start once."""
     out = F.lit(0.0)
     for alternative in query.alternatives:
         wanted = list(dict.fromkeys(p for p, w in alternative if w))
-        marks = F.flatten(F.array(*[F.transform(starts(words, p), _mark(n, len(p))) for n, p in enumerate(wanted)]))
+        marks = F.flatten(F.array(*[F.transform(starts_of(p), _mark(n, len(p))) for n, p in enumerate(wanted)]))
         empty = F.struct(F.array_repeat(F.lit(-1), len(wanted)).alias("last"), F.lit(-1).alias("used"), F.lit(0.0).alias("sum"))
 
         def step(s: Column, m: Column) -> Column:
@@ -94,7 +95,7 @@ def cover_density(words: Column, query: Query) -> Column:
 def search(rows: DataFrame, query: str, k: int, *, id_col: str, text_col: str = "text") -> DataFrame:
     """The k rows of greatest rank that match, ties by id."""
     asked = parsed(query)
-    rank = let(tokens(F.col(text_col)), lambda words: F.when(matches(words, asked), cover_density(words, asked)))
+    rank = let(tokens(F.col(text_col)), lambda words: F.when(matches(words, asked), cover_density(asked, lambda phrase: starts(words, phrase))))
     scored = rows.where(may_match(F.col(text_col), asked)).select(id_col, rank.alias("rank"))
     return scored.orderBy(F.desc_nulls_last("rank"), id_col).limit(k).where("rank is not null")  # a filter before the limit would compute ranks twice
 

@@ -559,4 +559,4 @@ def lease_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _drained(spark, leases.lease_stream(commands)).select("job_id", "seq", "accepted", "status", "attempts", "expires_ms", "next_ms", "error")
 
 
-from tidemark.plans import cases  # noqa: E402, F401  (registers its queries with the ones above)
+from tidemark.plans import cases, indexes  # noqa: E402, F401  (register their queries with the ones above)
