@@ -27,6 +27,8 @@ SAMPLE, SAMPLE_CELLS, MOST_LISTS, ROUNDS = 16_384, 1 << 22, 4096, 6
 PROBES = 8
 #: Vectors and queries of a block in a search with many queries.
 BLOCK, QUERIES = 1024, 256
+#: Candidates that a task holds before it passes the best of them on.
+HELD = 1 << 18
 #: Slack of bounds against rounding.
 SLACK = 1e-6
 
@@ -155,8 +157,8 @@ def _packed(rows: DataFrame, most: int, kind: str) -> DataFrame:
 def neighbours(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, *, id_col: str, vector_col: str, probes: int = PROBES) -> DataFrame:
     """query_id, list, id, score, rank: for each query the k nearest vectors of its probed lists, itself included, ties by id.
 
-    Queries and vectors meet list by list in blocks, of which each gives its k best for each query;
-    the join carries a row for a pair of blocks, never for a pair of vectors. Scores are in double
+    Queries and vectors meet list by list in blocks; a task keeps the k best of its blocks for each query.
+    The join carries a row for a pair of blocks, never for a pair of vectors. Scores are in double
     precision, and equal when rounded to nine places.
     """
     kind, asked = index.schema["id"].dataType.simpleString(), queries.schema[id_col].dataType.simpleString()
@@ -176,16 +178,36 @@ def neighbours(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int
     left = _packed(to_probe.repartition("list").sortWithinPartitions("list"), QUERIES, asked).select("list", F.col("ids").alias("asked"), F.col("rows").alias("queries"))
     right = _packed(index.sortWithinPartitions("list"), BLOCK, kind)
 
+    def top(found: list[pa.RecordBatch]) -> pa.Table:
+        rows = pa.Table.from_batches(found)
+        rows = rows.take(pc.sort_indices(rows, [("query_id", "ascending"), ("score", "descending"), ("id", "ascending")])).combine_chunks()
+        query = rows["query_id"].combine_chunks()
+        begins = np.flatnonzero(np.append(True, pc.not_equal(query.slice(1), query.slice(0, len(query) - 1)).to_numpy(zero_copy_only=False)))
+        nth = np.arange(len(query)) - np.repeat(begins, np.diff(np.append(begins, len(query))))
+        return rows.filter(pa.array(nth < k))
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 asked_ids, ids = batch.column("asked")[i].values, batch.column("ids")[i].values
                 of = np.frombuffer(batch.column("queries")[i].as_buffer()).reshape(len(asked_ids), -1)
                 scores = np.round(of @ np.frombuffer(batch.column("rows")[i].as_buffer()).reshape(len(ids), -1).T, 9) + 0.0
                 by_id = np.argsort(pc.sort_indices(ids).to_numpy())
-                top = np.lexsort((np.broadcast_to(by_id, scores.shape), -scores))[:, :k]
-                row = pa.array(np.repeat(np.arange(len(asked_ids)), top.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("list")[i].as_py()] * len(row), pa.int32()), asked_ids.take(row), ids.take(pa.array(top.ravel())), pa.array(np.take_along_axis(scores, top, axis=1).ravel())], ["list", "query_id", "id", "score"])
+                first = np.lexsort((np.broadcast_to(by_id, scores.shape), -scores))[:, :k]
+                row = pa.array(np.repeat(np.arange(len(asked_ids)), first.shape[1]))
+                columns = [pa.array([batch.column("list")[i].as_py()] * len(row), pa.int32()), asked_ids.take(row), ids.take(pa.array(first.ravel())), pa.array(np.take_along_axis(scores, first, axis=1).ravel())]
+                held.append(pa.RecordBatch.from_arrays(columns, ["list", "query_id", "id", "score"]))
+                n += len(row)
+                if n > HELD:
+                    kept = top(held)
+                    if kept.num_rows > HELD // 2:  # of too many queries to hold the best of each
+                        yield from kept.to_batches()
+                        kept = kept.slice(0, 0)
+                    held, n = kept.to_batches(), kept.num_rows
+        if held:
+            yield from top(held).to_batches()
 
     found = right.join(left, "list").mapInArrow(best, f"list int, query_id {asked}, id {kind}, score double")
     of_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

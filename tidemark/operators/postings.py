@@ -1,10 +1,11 @@
 """An inverted index for full-text search: posting lists by blocks of documents, in a table of their own.
 
-A row has a term's documents within one block, with the positions of the term in each, and the most
-that any of them has. A block is what one task met together, `BLOCK` documents of one scope (a
-tenant) at most, so lists are bounded, a common term has a row for every block, and indexing new
-documents adds rows without touching old ones. The table is dealt by a hash of the term, sorted by
-term: a query reads the folders of its terms, and of those the row groups that hold them.
+A block is what one task met together, `BLOCK` documents of one scope (a tenant) at most. It has a row
+with the ids of its documents, and for each term a row with the term's places in them (a place is the
+number of the document in its block and the position there, in one integer) and the most that any
+document has. So lists are bounded, an id is held once, a common term has a row for every block, and
+indexing new documents adds rows without touching old ones. The table is dealt by a hash of the term
+and sorted by term: a query reads the folders of its terms, and of those the row groups that hold them.
 
 A search first reads how often each block's documents have the terms, which bounds the rank that a
 document of the block may have. The blocks of the greatest bounds are ranked; all others whose bound
@@ -28,11 +29,13 @@ from tidemark.operators import fulltext
 from tidemark.operators.fulltext import Query
 
 #: Documents and tokens of a block at most (a longer document is a block of its own), folders of terms, and blocks that are ranked first.
-BLOCK, BLOCK_TOKENS, BUCKETS, FIRST = 1024, 1 << 20, 64, 8
+BLOCK, BLOCK_TOKENS, BUCKETS, FIRST = 4096, 1 << 20, 64, 8
+#: Bits of a place that are the position.
+POSITION = 40
 
 
 def schema(id_kind: str) -> str:
-    return f"scope string, bucket int, term string, block long, ids array<{id_kind}>, positions array<array<int>>, most int"
+    return f"scope string, bucket int, term string, block long, ids array<{id_kind}>, places array<long>, most int"
 
 
 def bucket(term: Column) -> Column:
@@ -45,25 +48,24 @@ def folder(term: str) -> int:
 
 
 def _lists(scope: str, ids: pa.Array, words: pa.Array, block: int) -> pa.RecordBatch:
-    """The posting lists of a block of documents."""
+    """The rows of a block: its documents, then its posting lists."""
     sizes = np.diff(words.offsets.to_numpy())
     coded = words.flatten().dictionary_encode()
     term = coded.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.argsort(term, kind="stable")  # documents and places stay in order within a term
+    place = (doc << POSITION) + np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.argsort(term, kind="stable")  # places stay in order within a term
     term, doc, place = term[order], doc[order], place[order]
     new_term = np.append(True, term[1:] != term[:-1])
-    new_list = new_term | np.append(True, doc[1:] != doc[:-1])
-    at_list, lists_of_terms = np.flatnonzero(new_list), np.flatnonzero(new_term[new_list])
-    counts = np.diff(np.append(at_list, len(term)))
-    ends = lambda at, n: pa.array(np.append(at, n).astype(np.int32))
-    at = ends(lists_of_terms, len(at_list))
-    positions = pa.ListArray.from_arrays(at, pa.ListArray.from_arrays(ends(at_list, len(term)), pa.array(place.astype(np.int32))))
-    terms = coded.dictionary.take(pa.array(term[at_list[lists_of_terms]]))
-    n = len(lists_of_terms)
-    columns = [pa.array([scope] * n, pa.string()), terms.cast(pa.string()), pa.array([block] * n, pa.int64()), pa.ListArray.from_arrays(at, ids.take(pa.array(doc[at_list]))), positions, pa.array(np.maximum.reduceat(counts, lists_of_terms).astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, ["scope", "term", "block", "ids", "positions", "most"])
+    new_doc = new_term | np.append(True, doc[1:] != doc[:-1])
+    at, at_doc = np.flatnonzero(new_term), np.flatnonzero(new_doc)
+    most = np.maximum.reduceat(np.diff(np.append(at_doc, len(term))), np.flatnonzero(new_term[new_doc]))
+    n = len(at)
+    terms = pa.concat_arrays([pa.array([""]), coded.dictionary.take(pa.array(term[at])).cast(pa.string())])
+    of_docs = pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * (n + 1)], pa.int32(), mask=np.array([False, *[True] * n, False])), ids)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], at, [len(term)])).astype(np.int32), mask=np.array([True, *[False] * (n + 1)])), pa.array(place))
+    counts = pa.array(np.append(len(ids), most).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array([scope] * (n + 1), pa.string()), terms, pa.array([block] * (n + 1), pa.int64()), of_docs, lists, counts], ["scope", "term", "block", "ids", "places", "most"])
 
 
 def postings(rows: DataFrame, *, id_col: str, text_col: str = "text", scope_col: str | None = None, segment: int = 0) -> DataFrame:
@@ -93,8 +95,8 @@ def postings(rows: DataFrame, *, id_col: str, text_col: str = "text", scope_col:
                 yield _lists(part.column(0)[0].as_py(), part.column(1), part.column(2), first + n)
                 at, n = end, n + 1
 
-    found = words.mapInArrow(run, f"scope string, term string, block long, ids array<{kind}>, positions array<array<int>>, most int")
-    return found.select("scope", bucket(F.col("term")).alias("bucket"), "term", "block", "ids", "positions", "most")
+    found = words.mapInArrow(run, f"scope string, term string, block long, ids array<{kind}>, places array<long>, most int")
+    return found.select("scope", F.when(F.col("term") == "", BUCKETS).otherwise(bucket(F.col("term"))).alias("bucket"), "term", "block", "ids", "places", "most")
 
 
 def dealt(lists: DataFrame, files: int = 4) -> DataFrame:
@@ -136,34 +138,45 @@ def bounds(lists: DataFrame, query: Query) -> DataFrame:
     return each.select("block", reduce(add, parts).alias("bound")).where("bound > 0")
 
 
+def documents(index: DataFrame) -> DataFrame:
+    """block, doc, id of all documents that have words."""
+    return index.where(F.col("bucket") == BUCKETS).select("block", F.posexplode("ids").alias("doc", "id"))
+
+
 def ranked(lists: DataFrame, query: Query, rank: bool = True) -> DataFrame:
-    """id, rank of the documents of these lists that match; the lists of a block meet in one task, document by document."""
+    """block, doc, rank of the documents of these lists that match; the lists of a block meet in one task."""
     words = words_of(query)
     place = {w: f"p{i}" for i, w in enumerate(words)}
-    each = lists.repartition("block").select("block", "term", F.explode(F.arrays_zip("ids", "positions")).alias("x"))
-    docs = each.groupBy("block", F.col("x.ids").alias("id")).agg(*[F.max(F.when(F.col("term") == w, F.col("x.positions"))).alias(c) for w, c in place.items()])
+    blocks = lists.repartition("block").groupBy("block").agg(*[F.max(F.when(F.col("term") == w, F.col("places"))).alias(c) for w, c in place.items()])
 
     def starts(phrase: tuple[str, ...]) -> Column:
+        """Places where a phrase begins; positions of two documents are never neighbours."""
         at = [F.transform(F.col(place[w]), _back(i)) if i else F.col(place[w]) for i, w in enumerate(phrase)]
-        return F.coalesce(reduce(F.array_intersect, at), F.array().cast("array<int>"))
+        return F.coalesce(reduce(F.array_intersect, at), F.array().cast("array<long>"))
 
     phrases = list(dict.fromkeys(p for alternative in query.alternatives for p, _ in alternative))
+    marks = F.flatten(F.array(*[F.transform(starts(p), _of(i)) for i, p in enumerate(phrases)]))
+    each = blocks.select("block", F.explode(marks).alias("m")).select("block", "m.phrase", F.shiftright("m.place", POSITION).cast("int").alias("doc"), (F.col("m.place") % (1 << POSITION)).cast("int").alias("at"))
     names = {p: f"s{i}" for i, p in enumerate(phrases)}
-    found = docs.select("id", *[starts(p).alias(c) for p, c in names.items()])
-    found = found.where(fulltext.fits(query, lambda p: F.size(names[p]) > 0))
-    return found.select("id", (fulltext.cover_density(query, lambda p: F.col(names[p])) if rank else F.lit(0.0)).alias("rank"))
+    docs = each.groupBy("block", "doc").agg(*[F.array_sort(F.collect_list(F.when(F.col("phrase") == i, F.col("at")))).alias(c) for i, c in enumerate(names.values())])
+    found = docs.where(fulltext.fits(query, lambda p: F.size(names[p]) > 0))
+    return found.select("block", "doc", (fulltext.cover_density(query, lambda p: F.col(names[p])) if rank else F.lit(0.0)).alias("rank"))
 
 
 def _back(i: int):
     return lambda x: x - i
 
 
+def _of(phrase: int):
+    return lambda x: F.struct(F.lit(phrase).alias("phrase"), x.alias("place"))
+
+
 def matching(index: DataFrame, query: str, scope: str | None = None) -> DataFrame:
     """The ids of all documents that match."""
     asked = fulltext.parsed(query)
     if not asked.alternatives:
-        return index.select(F.explode("ids").alias("id")).limit(0)
-    return ranked(lists_of(index, asked, scope), asked, rank=False).select("id")
+        return documents(index).select("id").limit(0)
+    return ranked(lists_of(index, asked, scope), asked, rank=False).join(documents(index), ["block", "doc"]).select("id")
 
 
 def search(index: DataFrame, query: str, k: int, *, scope: str | None = None, live: DataFrame | None = None, first: int = FIRST) -> DataFrame:
@@ -173,12 +186,12 @@ def search(index: DataFrame, query: str, k: int, *, scope: str | None = None, li
     """
     asked = fulltext.parsed(query)
     if not asked.alternatives:
-        return index.select(F.explode("ids").alias("id"), F.lit(0.0).alias("rank")).limit(0)
+        return documents(index).select("id", F.lit(0.0).alias("rank")).limit(0)
     lists = lists_of(index, asked, scope)
     blocks = bounds(lists, asked)
 
     def best(of: DataFrame) -> DataFrame:
-        rows = ranked(lists.join(of.select("block"), "block", "left_semi"), asked)
+        rows = ranked(lists.join(of.select("block"), "block", "left_semi"), asked).join(documents(index), ["block", "doc"]).select("id", "rank")
         rows = rows if live is None else rows.join(live, "id", "left_semi")
         return rows.orderBy(F.desc("rank"), "id").limit(k)
 
@@ -188,8 +201,11 @@ def search(index: DataFrame, query: str, k: int, *, scope: str | None = None, li
 
 
 def without(index: DataFrame, live: DataFrame) -> DataFrame:
-    """The lists of live documents (id) alone, for when many are gone."""
-    each = index.select("scope", "bucket", "term", "block", F.explode(F.arrays_zip("ids", "positions")).alias("x"))
-    kept = each.select("scope", "bucket", "term", "block", F.col("x.ids").alias("id"), F.col("x.positions").alias("at")).join(live, "id", "left_semi")
-    lists = kept.groupBy("scope", "bucket", "term", "block").agg(F.array_sort(F.collect_list(F.struct("id", "at"))).alias("docs"))
-    return lists.select("scope", "bucket", "term", "block", F.col("docs.id").alias("ids"), F.col("docs.at").alias("positions"), F.array_max(F.transform("docs.at", lambda x: F.size(x))).alias("most"))
+    """The lists of live documents (id) alone, for when many are gone. The numbers of documents in their blocks stay."""
+    there = documents(index).join(live, "id", "left_semi").select("block", "doc")
+    of_docs = index.where(F.col("bucket") == BUCKETS).join(there.select("block").distinct(), "block", "left_semi")
+    each = index.where(F.col("bucket") < BUCKETS).select("scope", "bucket", "term", "block", F.explode("places").alias("place"))
+    kept = each.withColumn("doc", F.shiftright("place", POSITION).cast("int")).join(there, ["block", "doc"], "left_semi")
+    lists = kept.groupBy("scope", "bucket", "term", "block", "doc").agg(F.collect_list("place").alias("places"))
+    lists = lists.groupBy("scope", "bucket", "term", "block").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"), F.max(F.size("places")).alias("most"))
+    return of_docs.select(*index.columns).unionByName(lists, allowMissingColumns=True)
