@@ -106,7 +106,7 @@ def test_of_two_writers_one_commits(spark, tmp_path):
     changes = [{"a": store.added("a", rows(i)), "b": store.added("b", rows(i).drop("m"))} for i in (1, 2)]
     assert store.commit(seen, changes[0]) == 1
     with pytest.raises(tables.Conflict):
-        store.commit(seen, changes[1])
+        store.commit(seen, changes[1], {"a": ""})
     # both have seen that the name is free, and race for it
     late = tables.Store(spark, str(tmp_path), store.tables)
     late.version = lambda: 0
@@ -122,3 +122,90 @@ def test_of_two_writers_one_commits(spark, tmp_path):
     assert store.read("b", tenant="t").count() == 1 and store.read("b", tenant="other").count() == 0
     store.compact("a")
     assert store.read("a").count() == tables.FULL_EVERY + 3 and {len(f) for f in store.state()["a"].values()} == {1}
+
+
+def asked(provider, calls):
+    """A provider that notes what it is asked for."""
+
+    def embed(texts):
+        with open(calls, "a") as f:
+            f.writelines(t.replace("\n", " ") + "\n" for t in texts)
+        return provider(texts)
+
+    return embed
+
+
+def test_work_that_others_do_meanwhile_is_not_lost(spark, tmp_path):
+    grants = Grants({("p", t): set(PERMISSIONS) for t in ("t", "u")})
+    calls = tmp_path / "calls"
+    engine = Engine(spark, str(tmp_path / "store"), grants, asked(hashing_provider(8), calls), 8)
+
+    def ingest(tenant, *texts):
+        batch = [(i, None, "n.txt", "text/plain", bytearray(x.encode()), -1, None) for i, x in enumerate(texts)]
+        return [r["artifact_id"] for r in engine.ingest("p", tenant, spark.createDataFrame(batch, REQUEST), NOW).orderBy("seq").collect()]
+
+    def lines():
+        return calls.read_text().splitlines() if calls.exists() else []
+
+    one, two, blank = ingest("t", "red green blue", "yellow", "\n ")
+    # while a batch is at work, another tenant brings artifacts and one of the batch's is deleted
+    real = engine._committed
+
+    def meanwhile(build):
+        engine._committed = real
+        ingest("u", "of another tenant")
+        engine.delete("p", "t", two)
+        real(build)
+
+    engine._committed = meanwhile
+    engine.index_pending(now=NOW)
+    status = {r["id"]: (r["index_status"], r["failure_message"]) for r in engine.store.read("artifact", tenant="t").collect()}
+    assert status == {one: ("READY", None), two: ("DELETED", None), blank: ("RETRY_PENDING", "BLANK_TEXT")}
+    assert engine.store.read("artifact", tenant="u").where("index_status = 'PENDING'").count() == 1
+    assert [r["text"] for r in engine.store.read("chunk").collect()] == ["red green blue"]
+    assert sorted(lines()) == ["red green blue", "yellow"]
+    # what failed waits longer each time, and no longer after its last attempt
+    (job,) = engine.store.read("outbox", tenant="t").where("type = 'INDEX'").collect()
+    assert (job["artifact_id"], job["status"], job["attempts"], job["last_error"]) == (blank, "RETRY_PENDING", 1, "BLANK_TEXT") and job["next_attempt_at"] > NOW
+    at = engine.store.version()
+    engine.index_pending(now=NOW)  # the other tenant's; the blank one is not due
+    assert engine.store.read("outbox", tenant="t").where("type = 'INDEX'").first()["attempts"] == 1 and engine.store.version() > at
+    for _ in range(5):
+        engine.index_pending()
+    (job,) = engine.store.read("outbox", tenant="t").where("type = 'INDEX'").collect()
+    assert (job["status"], job["attempts"]) == ("DEAD_LETTER", 5)
+    # again as another version: nothing is asked for, as the vectors are known; of other windows only those that are new
+    asked_before = len(lines())
+    engine.reindex("p", "t", one)
+    engine.index_pending(batch=1)
+    (chunk,) = engine.store.read("chunk", tenant="t").collect()
+    assert chunk["version"] == 2 and len(lines()) == asked_before
+    engine.reindex("p", "t", one)
+    engine.index_pending(size=2, overlap=0)
+    assert sorted(lines()[asked_before:]) == ["blue", "red green"]
+    assert [r["chunk_id"] for r in engine.search("p", "t", "green -yellow", full_text=True).collect()][0] == engine.store.read("chunk", tenant="t").where("text = 'red green'").first()["chunk_id"]
+    postings_before = engine.store.read("posting", tenant="t").where("term = 'green'").count()
+    engine.compact_postings("t")
+    assert postings_before == 3 and engine.store.read("posting", tenant="t").where("term = 'green'").count() == 1
+    assert engine.search("p", "t", "green -yellow", full_text=True).count() == 2
+    with pytest.raises(ValueError, match="limit"):
+        engine.search("p", "t", "green", limit=101)
+
+
+def test_cache_is_bounded(spark, tmp_path):
+    calls = tmp_path / "calls"
+    engine = Engine(spark, str(tmp_path / "store"), Grants({("p", "t"): set(PERMISSIONS)}), asked(hashing_provider(8), calls), 8, most_cached=2)
+
+    def index(day, *texts):
+        batch = [(i, None, "n.txt", "text/plain", bytearray(x.encode()), -1, None) for i, x in enumerate(texts)]
+        ids = [r["artifact_id"] for r in engine.ingest("p", "t", spark.createDataFrame(batch, REQUEST), NOW).collect()]
+        engine.index_pending(now=datetime(2026, 8, 10 + day))
+        for one in ids:
+            engine.delete("p", "t", one)
+        return len(calls.read_text().splitlines())
+
+    assert index(1, "one", "two") == 2
+    assert index(2, "two", "three") == 3  # "one" is used longest ago
+    assert engine.store.read("vector_cache").count() == 2
+    assert index(3, "three", "two") == 3
+    assert index(4, "one") == 4

@@ -29,8 +29,9 @@ QUERIES = ["the", "alpha beta", '"alpha beta"', '"alpha beta" gamma or license -
 @pytest.mark.parametrize("block", [7, 1024])
 def test_posting_lists_give_what_a_scan_gives(spark, docs, monkeypatch, block):
     monkeypatch.setattr(postings, "BLOCK", block)
+    monkeypatch.setattr(postings, "POSITION", 6 if block == 7 else postings.POSITION)  # texts of 64 words or more are blocks of their own
     index = shared.kept(postings.dealt(postings.postings(docs, id_col="id")), "test", "bucket")
-    for asked in QUERIES if block > 7 else QUERIES[2:5]:
+    for asked in QUERIES if block > 7 else QUERIES[2:5] + QUERIES[9:10]:
         assert sorted(r["id"] for r in postings.matching(index, asked).collect()) == sorted(r["id"] for r in fulltext.matching(docs, asked).collect()), asked
         for k in (2, 500)[: 1 + (block == 7)]:
             expected = [tuple(r) for r in fulltext.search(docs, asked, k, id_col="id").collect()]
@@ -49,7 +50,7 @@ def test_posting_lists_by_scope_and_of_live_documents(spark, docs, monkeypatch):
         for lists in (index, postings.without(index, live.select("id"))):
             assert [tuple(r) for r in postings.search(lists, asked, 9, scope="t", live=live.select("id")).collect()] == expected
     purged = postings.without(index, live.select("id"))
-    kept = purged.where("term <> ''").select("block", F.explode("places").alias("p")).select("block", F.shiftright("p", postings.POSITION).alias("doc")).join(postings.documents(purged), ["block", "doc"])
+    kept = purged.where("term <> ''").select("block", F.explode("places").alias("p")).select("block", postings.doc_of("p").alias("doc")).join(postings.documents(purged), ["block", "doc"])
     assert kept.join(live, "id", "left_anti").count() == 0 and kept.select("id").distinct().count() == live.where("size(split(text, '[a-z0-9ü]')) > 1").count()
     assert postings.without(index, docs.select("id")).count() == index.count()
 

@@ -226,3 +226,37 @@ def test_streams(spark, tmp_path):
 
     relay.relayed(leases.lease_stream(commands), sink, f"{tmp_path}/checkpoint").awaitTermination()
     assert seen == expected
+
+
+def test_registration_in_rounds_is_that_in_order(spark):
+    """Of requests that share keys and contents at random, in long chains, and with what is stored."""
+    rng = random.Random(4)
+    rows = [(i, f"a{i}", rng.choice(["t", "t", "u"]), rng.choice([None, *(f"k{rng.randrange(40)}" for _ in range(5))]), f"s{rng.randrange(60)}", f"f{rng.randrange(2)}") for i in range(300)]
+    rows += [(1000 + i, f"b{i}", "chain", f"k{i // 2}", f"s{(i + 1) // 2}", "f") for i in range(40)]  # each shares with the one before
+    rows += [(2000 + i, f"c{i}", "hot", f"k{i}", "s", "f") for i in range(50)] + [(5000, f"d{i}", "ties", "k", f"s{i}", "f") for i in range(3)]
+    held = [(-9, "x1", "t", "k1", "s1", "f0"), (-8, "x2", "t", None, "s1", None), (-7, "x3", "u", "k2", "s9", "f1"), (-6, "x4", "hot", None, "none", "f")]
+    schema = "seq long, id string, tenant_id string, idempotency_key string, sha256 string, fingerprint string"
+
+    def in_order(stored):
+        keys, contents, out = {}, {}, []
+        for _, one, tenant, key, sha, mark in stored:
+            keys |= {(tenant, key): (mark, one)} if key else {}
+            contents.setdefault((tenant, sha), one)
+        for seq, one, tenant, key, sha, mark in sorted(rows, key=lambda r: (r[0], r[1])):
+            if key and (tenant, key) in keys:
+                known, artifact = keys[tenant, key]
+                out.append((seq, tenant, "IDEMPOTENT_REPLAY" if known == mark else "CONFLICT", artifact))
+            elif (tenant, sha) in contents:
+                out.append((seq, tenant, "CONTENT_DUPLICATE", contents[tenant, sha]))
+            else:
+                contents[tenant, sha] = one
+                keys |= {(tenant, key): (mark, one)} if key else {}
+                out.append((seq, tenant, "CREATED", one))
+        return sorted(out)
+
+    requests = spark.createDataFrame(rows, schema).repartition(3)
+    for stored in ([], held):
+        for rounds in (12, 1):
+            found = intake.registered(requests, spark.createDataFrame(stored, schema) if stored else None, rounds=rounds)
+            assert sorted(map(tuple, found.collect())) == in_order(stored)
+    assert intake.registered(requests.limit(0)).count() == 0

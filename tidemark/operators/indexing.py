@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import keys, text, vectors
 
@@ -61,6 +65,61 @@ def without_artifacts(chunks: DataFrame, gone: DataFrame) -> DataFrame:
     return chunks.join(gone, ["tenant_id", "artifact_id"], "left_anti")
 
 
+def difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What became of the chunks of each artifact from one version to the next, by their content.
+
+    tenant_id, artifact_id, content_sha256, occurrence, old_index, new_index, change. The k-th chunk of a
+    content is paired with the k-th of the same content: `kept`; what is left over is `removed` or
+    `added`. One shuffle by artifact and content.
+    """
+    on = ["tenant_id", "artifact_id", "content_sha256", "occurrence"]
+
+    def numbered(chunks: DataFrame, name: str) -> DataFrame:
+        same = Window.partitionBy(*on[:3]).orderBy("chunk_index")
+        return chunks.select(*on[:3], F.col("chunk_index").alias(name), F.row_number().over(same).alias("occurrence"))
+
+    both = numbered(old, "old_index").join(numbered(new, "new_index"), on, "full")
+    change = F.when(F.col("old_index").isNull(), "added").when(F.col("new_index").isNull(), "removed").otherwise("kept")
+    return both.select(*on, "old_index", "new_index", change.alias("change"))
+
+
+def in_order(pairs: list[tuple[int, int]]) -> list[int]:
+    """The old indexes of a longest common subsequence: of pairs (old, new), each index once, a longest run in which both grow."""
+    ends: list[int] = []
+    at: list[int] = []
+    back: list[int] = []
+    pairs = sorted(pairs)
+    for i, (_, new) in enumerate(pairs):
+        k = bisect_left(ends, new)
+        if k == len(ends):
+            ends.append(new)
+            at.append(i)
+        else:
+            ends[k], at[k] = new, i
+        back.append(at[k - 1] if k else -1)
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(pairs[i][0])
+        i = back[i]
+    return out[::-1]
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _in_order(pairs: pd.Series) -> pd.Series:
+    return pairs.map(lambda each: in_order([(p["old"], p["new"]) for p in each]))
+
+
+def with_moves(changes: DataFrame) -> DataFrame:
+    """Of the chunks that were kept, those outside of a longest common subsequence of both versions become `moved`.
+
+    Pairs of an artifact meet in one row, of which there are no more than it has chunks.
+    """
+    kept = F.when(F.col("change") == "kept", F.struct(F.col("old_index").alias("old"), F.col("new_index").alias("new")))
+    orders = changes.groupBy("tenant_id", "artifact_id").agg(F.collect_list(kept).alias("pairs")).select("tenant_id", "artifact_id", _in_order("pairs").alias("stay"))
+    moved = (F.col("change") == "kept") & ~F.array_contains("stay", F.col("old_index"))
+    return changes.join(orders, ["tenant_id", "artifact_id"]).withColumn("change", F.when(moved, "moved").otherwise(F.col("change"))).drop("stay")
+
+
 def chunks_of(chunks: DataFrame, tenant: str, artifact: str, model: str | None = None) -> DataFrame:
     """Chunks of an artifact in order, of one embedding model if given."""
     mine = chunks.where((F.col("tenant_id") == tenant) & (F.col("artifact_id") == artifact))

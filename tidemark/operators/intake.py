@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources import shared
+
 #: What may be in the spool: bytes of an artifact, and bytes and files in all and for a tenant.
 MOST_BYTES = 128 << 20
 GLOBAL_BYTES, GLOBAL_FILES, TENANT_BYTES, TENANT_FILES = 10 << 30, 100_000, 1 << 30, 10_000
@@ -19,51 +21,89 @@ def fresh_name() -> str:
     return uuid.uuid4().hex
 
 
-def registered(requests: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+#: Rounds in which requests are decided side by side before the rest, if any, is decided in order.
+ROUNDS = 12
+REQUEST = ["tenant_id", "seq", "id", "idempotency_key", "sha256", "fingerprint"]
+
+
+def registered(requests: DataFrame, stored: DataFrame | None = None, *, rounds: int = ROUNDS) -> DataFrame:
     """Outcome and artifact of each request (seq, id, tenant_id, idempotency_key, sha256, fingerprint).
 
-    Requests of a tenant are decided in the order of seq: a known key is a replay or, with another
-    fingerprint, a conflict; else known content is a duplicate; else the artifact is created, and
-    only then are its key and content known. The decision depends on those before it, so it is a
-    fold; one tenant's requests of a batch meet in one task, which holds only what it has seen.
-    `stored` has tombstones already left out; only those of it that share a key or content with a
-    request take part. Artifacts with equal content: the oldest is returned.
+    Requests of a tenant count in the order of seq, then id: a known key is a replay or, with another
+    fingerprint, a conflict; else known content is a duplicate; else the artifact is created, and only
+    then are its key and content known. So artifacts are created by the first independent set, in that
+    order, of requests that share a key or a content. It is found in rounds: a request that is the first
+    of its key and of its content among those undecided creates, and all that share either with it do
+    not. Every round is two minima, combined before the shuffle, and joins with what was created, so
+    neither a large tenant nor a common content is one task's. Few rounds are needed unless requests
+    wait for each other in long chains; what is undecided after `rounds` is decided in order by tenant.
+
+    `stored` has tombstones already left out. Artifacts with equal content: the oldest is returned.
     """
+    every = shared.kept(requests.select("tenant_id", F.col("seq").cast("long").alias("seq"), *REQUEST[2:]).select(*[F.col(c) if c == "seq" else F.col(c).cast("string").alias(c) for c in REQUEST]), "requests")
+    answers, left = [], every
     if stored is not None:
-        asked = requests.select(F.col("tenant_id").cast("string"), F.explode(F.array(F.concat(F.lit("k"), "idempotency_key"), F.concat(F.lit("c"), "sha256"))).alias("mark")).distinct()
-        marked = stored.withColumn("mark", F.explode(F.array(F.concat(F.lit("k"), "idempotency_key"), F.concat(F.lit("c"), "sha256"))))
-        stored = marked.join(asked, ["tenant_id", "mark"], "left_semi").drop("mark").dropDuplicates(["tenant_id", "id"])
-    columns = ["seq", "id", "tenant_id", "idempotency_key", "sha256", "fingerprint"]
-    new = requests.select(F.col("seq").cast("long"), *[F.col(c).cast("string") for c in columns[1:]], F.lit(1).alias("is_new"))
-    every = new if stored is None else new.unionByName(stored.select(F.col("seq").cast("long"), *[F.col(c).cast("string") for c in columns[1:]], F.lit(0).alias("is_new")))
-    schema = "seq long, tenant_id string, outcome string, artifact_id string"
+        held = stored.select("tenant_id", "idempotency_key", "sha256", "fingerprint", F.col("seq").cast("long").alias("seq"), "id")
+        of_key = held.where("idempotency_key is not null").groupBy("tenant_id", "idempotency_key").agg(F.max(F.struct("seq", "fingerprint", "id")).alias("k"))
+        of_content = held.groupBy("tenant_id", "sha256").agg(F.min(F.struct("seq", "id")).alias("c"))
+        met = shared.kept(every.join(of_key, ["tenant_id", "idempotency_key"], "left").join(of_content, ["tenant_id", "sha256"], "left"), "known")
+        replay = F.when(F.col("k.fingerprint").eqNullSafe(F.col("fingerprint")), "IDEMPOTENT_REPLAY").otherwise("CONFLICT")
+        answers.append(met.where("k is not null").select("seq", "tenant_id", replay.alias("outcome"), F.col("k.id").alias("artifact_id")))
+        every = met.where("k is null").select(*REQUEST, F.col("c.id").alias("held"))
+        left = every.where("held is null").select(*REQUEST)
+    else:
+        every = left.withColumn("held", F.lit(None).cast("string"))
+    created = None
+    for n in range(rounds + 1):
+        new = shared.kept(_first_of_both(left) if n < rounds else _in_turn(left), "created")
+        created = new if created is None else created.unionByName(new)
+        if n == rounds:
+            break
+        left = left.join(new.select("tenant_id", "sha256"), ["tenant_id", "sha256"], "left_anti").join(new.where("idempotency_key is not null").select("tenant_id", "idempotency_key"), ["tenant_id", "idempotency_key"], "left_anti")
+        left = shared.kept(left.select(*REQUEST), "undecided")
+        if left.isEmpty():
+            break
+    mark = F.struct("seq", "id")
+    of_key = created.where("idempotency_key is not null").select("tenant_id", "idempotency_key", F.struct("seq", "id", "fingerprint").alias("k"))
+    of_content = created.select("tenant_id", "sha256", mark.alias("c"))
+    met = every.join(of_key, ["tenant_id", "idempotency_key"], "left").join(of_content, ["tenant_id", "sha256"], "left")
+    mine = F.col("held").isNull() & (F.col("c") == mark)
+    earlier = F.col("k").isNotNull() & (F.struct("k.seq", "k.id") < mark)
+    replay = F.when(F.col("k.fingerprint").eqNullSafe(F.col("fingerprint")), "IDEMPOTENT_REPLAY").otherwise("CONFLICT")
+    outcome = F.when(mine, "CREATED").when(earlier, replay).otherwise("CONTENT_DUPLICATE")
+    answer = met.select("seq", "tenant_id", outcome.alias("outcome"), F.when(earlier, F.col("k.id")).otherwise(F.coalesce("held", "c.id")).alias("artifact_id"))
+    for more in answers:
+        answer = answer.unionByName(more)
+    return answer
+
+
+def _first_of_both(left: DataFrame) -> DataFrame:
+    """Requests that are the first of their content and, if they have one, of their key."""
+    of_content = left.groupBy("tenant_id", "sha256").agg(F.min(F.struct("seq", "id", "idempotency_key", "fingerprint")).alias("m")).select("tenant_id", "m.seq", "m.id", "m.idempotency_key", "sha256", "m.fingerprint")
+    of_key = left.where("idempotency_key is not null").groupBy("tenant_id", "idempotency_key").agg(F.min(F.struct("seq", "id")).alias("m")).select("tenant_id", "m.seq", "m.id")
+    both = of_content.where("idempotency_key is not null").join(of_key, ["tenant_id", "seq", "id"], "left_semi")
+    return both.select(*REQUEST).unionByName(of_content.where("idempotency_key is null").select(*REQUEST))
+
+
+def _in_turn(left: DataFrame) -> DataFrame:
+    """Requests that create, each tenant's decided one after the other."""
+    schema = "tenant_id string, seq long, id string, idempotency_key string, sha256 string, fingerprint string"
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tenant, keys, contents = None, {}, {}
+        tenant, keys, contents = None, set(), set()
         for frame in frames:
-            out = []
-            for seq, one, owner, key, sha, mark, is_new in frame.itertuples(index=False):
+            creates = []
+            for owner, key, sha in zip(frame["tenant_id"], frame["idempotency_key"], frame["sha256"], strict=True):
                 if owner != tenant:
-                    tenant, keys, contents = owner, {}, {}
-                if not is_new:
-                    if key is not None:
-                        keys[key] = (mark, one)
-                    contents.setdefault(sha, one)
-                    continue
-                if key is not None and key in keys:
-                    known, artifact = keys[key]
-                    out.append((seq, owner, "IDEMPOTENT_REPLAY" if known == mark else "CONFLICT", artifact))
-                elif sha in contents:
-                    out.append((seq, owner, "CONTENT_DUPLICATE", contents[sha]))
-                else:
-                    contents[sha] = one
-                    if key is not None:
-                        keys[key] = (mark, one)
-                    out.append((seq, owner, "CREATED", one))
-            yield pd.DataFrame(out, columns=["seq", "tenant_id", "outcome", "artifact_id"])
-
-    order = every.repartition("tenant_id").sortWithinPartitions("tenant_id", "is_new", "seq")
-    return order.select(*columns, "is_new").mapInPandas(fold, schema)
+                    tenant, keys, contents = owner, set(), set()
+                new = sha not in contents and (key is None or key not in keys)
+                creates.append(new)
+                if new:
+                    contents.add(sha)
+                    keys.add(key)
+            yield frame[creates]
+
+    return left.repartition("tenant_id").sortWithinPartitions("tenant_id", "seq", "id").select(*REQUEST).mapInPandas(fold, schema)
 
 
 def by_idempotency_key(artifacts: DataFrame, tenant: str, key: str) -> DataFrame:

@@ -30,12 +30,12 @@ from tidemark.operators.fulltext import Query
 
 #: Documents and tokens of a block at most (a longer document is a block of its own), folders of terms, and blocks that are ranked first.
 BLOCK, BLOCK_TOKENS, BUCKETS, FIRST = 4096, 1 << 20, 64, 8
-#: Bits of a place that are the position.
-POSITION = 40
+#: Bits of a place that are the position. A document of more tokens is a block of its own, whose number is negative and whose places are positions.
+POSITION = 19
 
 
 def schema(id_kind: str) -> str:
-    return f"scope string, bucket int, term string, block long, ids array<{id_kind}>, places array<long>, most int"
+    return f"scope string, bucket int, term string, block long, ids array<{id_kind}>, places array<int>, most int"
 
 
 def bucket(term: Column) -> Column:
@@ -63,7 +63,7 @@ def _lists(scope: str, ids: pa.Array, words: pa.Array, block: int) -> pa.RecordB
     n = len(at)
     terms = pa.concat_arrays([pa.array([""]), coded.dictionary.take(pa.array(term[at])).cast(pa.string())])
     of_docs = pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * (n + 1)], pa.int32(), mask=np.array([False, *[True] * n, False])), ids)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], at, [len(term)])).astype(np.int32), mask=np.array([True, *[False] * (n + 1)])), pa.array(place))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], at, [len(term)])).astype(np.int32), mask=np.array([True, *[False] * (n + 1)])), pa.array(place.astype(np.int32)))
     counts = pa.array(np.append(len(ids), most).astype(np.int32))
     return pa.RecordBatch.from_arrays([pa.array([scope] * (n + 1), pa.string()), terms, pa.array([block] * (n + 1), pa.int64()), of_docs, lists, counts], ["scope", "term", "block", "ids", "places", "most"])
 
@@ -90,12 +90,14 @@ def postings(rows: DataFrame, *, id_col: str, text_col: str = "text", scope_col:
             while at < batch.num_rows:
                 same = np.flatnonzero(each[at:] != each[at])
                 end = min(at + BLOCK, at + int(same[0]) if len(same) else batch.num_rows)
-                end = at + max(1, int(np.searchsorted(np.cumsum(tokens[at:end]), BLOCK_TOKENS, side="right")))
+                wide = np.flatnonzero(tokens[at:end] >= 1 << POSITION)
+                end = at + max(1, min(int(np.searchsorted(np.cumsum(tokens[at:end]), BLOCK_TOKENS, side="right")), int(wide[0]) if len(wide) else end))
                 part = batch.slice(at, end - at)
-                yield _lists(part.column(0)[0].as_py(), part.column(1), part.column(2), first + n)
+                number = first + n
+                yield _lists(part.column(0)[0].as_py(), part.column(1), part.column(2), -1 - number if len(wide) and not wide[0] else number)
                 at, n = end, n + 1
 
-    found = words.mapInArrow(run, f"scope string, term string, block long, ids array<{kind}>, places array<long>, most int")
+    found = words.mapInArrow(run, f"scope string, term string, block long, ids array<{kind}>, places array<int>, most int")
     return found.select("scope", F.when(F.col("term") == "", BUCKETS).otherwise(bucket(F.col("term"))).alias("bucket"), "term", "block", "ids", "places", "most")
 
 
@@ -138,6 +140,11 @@ def bounds(lists: DataFrame, query: Query) -> DataFrame:
     return each.select("block", reduce(add, parts).alias("bound")).where("bound > 0")
 
 
+def doc_of(place: str) -> Column:
+    """The number of a place's document in its block."""
+    return F.when(F.col("block") < 0, F.lit(0)).otherwise(F.shiftright(place, POSITION))
+
+
 def documents(index: DataFrame) -> DataFrame:
     """block, doc, id of all documents that have words."""
     return index.where(F.col("bucket") == BUCKETS).select("block", F.posexplode("ids").alias("doc", "id"))
@@ -152,11 +159,11 @@ def ranked(lists: DataFrame, query: Query, rank: bool = True) -> DataFrame:
     def starts(phrase: tuple[str, ...]) -> Column:
         """Places where a phrase begins; positions of two documents are never neighbours."""
         at = [F.transform(F.col(place[w]), _back(i)) if i else F.col(place[w]) for i, w in enumerate(phrase)]
-        return F.coalesce(reduce(F.array_intersect, at), F.array().cast("array<long>"))
+        return F.coalesce(reduce(F.array_intersect, at), F.array().cast("array<int>"))
 
     phrases = list(dict.fromkeys(p for alternative in query.alternatives for p, _ in alternative))
     marks = F.flatten(F.array(*[F.transform(starts(p), _of(i)) for i, p in enumerate(phrases)]))
-    each = blocks.select("block", F.explode(marks).alias("m")).select("block", "m.phrase", F.shiftright("m.place", POSITION).cast("int").alias("doc"), (F.col("m.place") % (1 << POSITION)).cast("int").alias("at"))
+    each = blocks.select("block", F.explode(marks).alias("m")).select("block", "m.phrase", doc_of("m.place").alias("doc"), F.when(F.col("block") < 0, F.col("m.place")).otherwise(F.col("m.place") % (1 << POSITION)).alias("at"))
     names = {p: f"s{i}" for i, p in enumerate(phrases)}
     docs = each.groupBy("block", "doc").agg(*[F.array_sort(F.collect_list(F.when(F.col("phrase") == i, F.col("at")))).alias(c) for i, c in enumerate(names.values())])
     found = docs.where(fulltext.fits(query, lambda p: F.size(names[p]) > 0))
@@ -205,7 +212,7 @@ def without(index: DataFrame, live: DataFrame) -> DataFrame:
     there = documents(index).join(live, "id", "left_semi").select("block", "doc")
     of_docs = index.where(F.col("bucket") == BUCKETS).join(there.select("block").distinct(), "block", "left_semi")
     each = index.where(F.col("bucket") < BUCKETS).select("scope", "bucket", "term", "block", F.explode("places").alias("place"))
-    kept = each.withColumn("doc", F.shiftright("place", POSITION).cast("int")).join(there, ["block", "doc"], "left_semi")
+    kept = each.withColumn("doc", doc_of("place")).join(there, ["block", "doc"], "left_semi")
     lists = kept.groupBy("scope", "bucket", "term", "block", "doc").agg(F.collect_list("place").alias("places"))
     lists = lists.groupBy("scope", "bucket", "term", "block").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"), F.max(F.size("places")).alias("most"))
     return of_docs.select(*index.columns).unionByName(lists, allowMissingColumns=True)

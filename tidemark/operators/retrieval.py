@@ -6,6 +6,7 @@ filtered afterwards has at most two lists of candidates, however many chunks the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -105,11 +106,13 @@ def hybrid_search(
     tags: list[str] | None = None,
     created_after: datetime | None = None,
     prefilter: bool = False,
+    words: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """chunk_id, artifact_id, score, uri of the best hits, greatest score first, ties by chunk id.
 
     Filters on media types and tags apply to the candidates; the time filter (inclusive) only to the
-    fused list, so that it may leave fewer hits, unless `prefilter` asks for it beforehand.
+    fused list, so that it may leave fewer hits, unless `prefilter` asks for it beforehand. `words` gives
+    the best (chunk_id, artifact_id, score) of the chunks by another measure than parts of words.
     """
     if not query.strip():
         raise ValueError("a query must not be blank")
@@ -118,7 +121,7 @@ def hybrid_search(
     where = Filter(media_types or [], tags or [])
     after = F.col("created_at") >= F.lit(created_after) if created_after else F.lit(True)
     found = searchable(chunks, artifacts.where(after) if prefilter else artifacts, tenant, where)
-    branches = [vector_topk(found, vector, k, keep=("artifact_id",)), keyword_topk(found, query, k, keep=("artifact_id",))]
+    branches = [vector_topk(found, vector, k, keep=("artifact_id",)), words(found, k) if words else keyword_topk(found, query, k, keep=("artifact_id",))]
     best = fused(branches, keep=("artifact_id",))
     of = artifacts.where(readable() & after & where.column())
     if tenant is not None:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys, records, text, times, vectors
 from tidemark.operators import audit, indexing, intake, jobs, retrieval
-from tidemark.plans.queries import _JOBS, _KEYWORD, _READY, _RRF, _VECTOR, QUERY_TEXT, _jobs, _orders, _spooled, artifacts_of, chunks_with_vectors, first_vector, query, t
-from tidemark.sources import extract, files
+from tidemark.plans.queries import _JOBS, _KEYWORD, _READY, _RRF, _VECTOR, QUERY_TEXT, WS, _jobs, _orders, _spooled, artifacts_of, chunks_with_vectors, first_vector, query, t
+from tidemark.sources import embed, extract, files
 
 
 def _one(spark: SparkSession, sf: str) -> tuple[str, int]:
@@ -198,7 +198,7 @@ def image_lines(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.where(F.exists("blocks", lambda b: b["type"] == "LINE")).select("conv_id", extract.lines_of(F.col("blocks"), 300).alias("extracted"))
 
 
-@query("extraction_bounds", "SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 4000 AND length(text) <= 2000 THEN text END AS extracted, CASE WHEN octet_length(encode(text)) > 4000 THEN 'INPUT_TOO_LARGE' WHEN length(text) > 2000 THEN 'OUTPUT_TOO_LARGE' END AS failure FROM documents")
+@query("extraction_bounds", r"SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 4000 AND length(text) <= 2000 AND regexp_matches(text, '\S') THEN text END AS extracted, CASE WHEN octet_length(encode(text)) > 4000 THEN 'INPUT_TOO_LARGE' WHEN length(text) > 2000 THEN 'OUTPUT_TOO_LARGE' WHEN NOT regexp_matches(text, '\S') THEN 'BLANK_TEXT' END AS failure FROM documents")
 def extraction_bounds(spark: SparkSession, sf: str) -> DataFrame:
     rows = t(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), F.lit("text/plain").alias("media_type"))
     return extract.extracted(rows, most_bytes=4000, most_chars=2000).select("doc_id", "extracted", "failure")
@@ -235,3 +235,59 @@ SELECT source, doc_id, n_chars, refusal FROM f WHERE i > 0""",
 )
 def quota_global_tenant(spark: SparkSession, sf: str) -> DataFrame:
     return intake.admitted(t(spark, sf, "documents"), by="source", order_col="doc_id", bytes_col="n_chars", limits=_QUOTA)
+
+
+_EDITED = "CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || ' and one more word' ELSE repeat('pad ', 80) || text END"
+
+
+def _chunked(spark: SparkSession, sf: str, of: F.Column) -> DataFrame:
+    docs = t(spark, sf, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").cast("string").alias("artifact_id"), F.lit(1).alias("version"), of.alias("text"))
+    return indexing.chunk_rows(docs).select("tenant_id", "artifact_id", "chunk_index", "content_sha256")
+
+
+def _chunk_sql(of: str) -> str:
+    words = f"string_split(trim(regexp_replace(t, '{WS}', ' ', 'g')), ' ')"
+    return f"""(SELECT *, row_number() OVER (PARTITION BY doc_id, sha ORDER BY i)::INT AS occurrence FROM (SELECT doc_id, i, sha256(array_to_string(w[i * 80 + 1 : i * 80 + 100], ' ')) AS sha
+  FROM (SELECT doc_id, w, unnest(range(0, 1 + greatest(0, ceil((len(w) - 100) / 80.0))::BIGINT))::INT AS i FROM (SELECT doc_id, {words} AS w FROM (SELECT doc_id, {of} AS t FROM documents) WHERE trim(regexp_replace(t, '{WS}', ' ', 'g')) <> ''))))"""
+
+
+@query(
+    "chunk_diff",
+    f"""SELECT coalesce(a.doc_id, b.doc_id)::VARCHAR AS artifact_id, coalesce(a.sha, b.sha) AS content_sha256, coalesce(a.occurrence, b.occurrence) AS occurrence, a.i AS old_index, b.i AS new_index,
+  CASE WHEN a.i IS NULL THEN 'added' WHEN b.i IS NULL THEN 'removed' ELSE 'kept' END AS change
+FROM {_chunk_sql("text")} a FULL JOIN {_chunk_sql(_EDITED)} b ON a.doc_id = b.doc_id AND a.sha = b.sha AND a.occurrence = b.occurrence""",
+)
+def chunk_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """From the documents to versions of them with words put before or behind."""
+    return indexing.difference(_chunked(spark, sf, F.col("text")), _chunked(spark, sf, F.expr(_EDITED))).drop("tenant_id")
+
+
+_UNCHANGED = f"""
+WITH a AS {_chunk_sql("text")}, b AS {_chunk_sql("CASE doc_id % 2 WHEN 0 THEN text ELSE repeat('pad ', 80) || text END")},
+k AS (SELECT doc_id, sha, occurrence, a.i AS old_index, b.i AS new_index FROM a JOIN b USING (doc_id, sha, occurrence)),
+m AS (SELECT doc_id, old_index, new_index, max(new_index) OVER (PARTITION BY doc_id ORDER BY old_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k)
+SELECT doc_id::VARCHAR AS artifact_id, count(*) AS n_kept, bool_and(before IS NULL OR before < new_index) AS in_order FROM m GROUP BY doc_id HAVING in_order"""
+
+
+@query("chunk_moves", _UNCHANGED)
+def chunk_moves(spark: SparkSession, sf: str) -> DataFrame:
+    """Artifacts of which no kept chunk has moved past another."""
+    changes = indexing.with_moves(indexing.difference(_chunked(spark, sf, F.col("text")), _chunked(spark, sf, F.expr("CASE doc_id % 2 WHEN 0 THEN text ELSE repeat('pad ', 80) || text END"))))
+    kept = F.col("change").isin("kept", "moved")
+    return changes.where(kept).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_kept"), F.every(F.col("change") == "kept").alias("in_order")).where("in_order")
+
+
+_CACHED = 137
+
+
+@query(
+    "embedding_cache_kept",
+    f"""SELECT content_sha256, last_use FROM (SELECT sha256(text) AS content_sha256, max(o_orderdate::TIMESTAMP) AS last_use FROM documents LEFT JOIN orders ON o_orderkey = doc_id // 4 GROUP BY 1)
+ORDER BY last_use DESC NULLS LAST, content_sha256 LIMIT {_CACHED}""",
+)
+def embedding_cache_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The contents used last, of a cache that holds so many; contents are used at the dates of orders."""
+    used = t(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    docs = t(spark, sf, "documents").select(keys.sha256(F.col("text")).alias("content_sha256"), F.floor(F.col("doc_id") / 4).alias("k")).join(used, "k", "left")
+    cache = docs.groupBy("content_sha256").agg(F.max("at").alias("last_use")).select(F.lit("m").alias("embedding_model"), F.lit("1").alias("embedding_version"), "content_sha256", "last_use")
+    return embed.last_used(cache, _CACHED).select("content_sha256", F.col("last_use").cast("timestamp_ntz").alias("last_use"))

@@ -65,7 +65,7 @@ def fts_match_indexed(spark: SparkSession, sf: str) -> DataFrame:
 )
 def fts_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of at least two documents, read from the index: documents, places, and the most places in one document."""
-    docs = F.size(F.array_distinct(F.transform("places", lambda x: F.shiftright(x, postings.POSITION))))
+    docs = F.when(F.col("block") < 0, 1).otherwise(F.size(F.array_distinct(F.transform("places", lambda x: F.shiftright(x, postings.POSITION)))))
     lists = _postings(spark, sf).where(F.col("bucket") < postings.BUCKETS).select("term", "most", docs.alias("n"), F.size("places").alias("places"))
     return lists.groupBy("term").agg(F.sum("n").alias("n_docs"), F.sum("places").alias("n_places"), F.max("most").alias("most")).where("n_docs >= 2")
 

@@ -183,22 +183,29 @@ def register_fold(spark: SparkSession, sf: str) -> DataFrame:
     return intake.registered(_requests(spark, sf, F.col("doc_id").cast("string")))
 
 
-@query(
-    "register_shared_keys",
-    """
-WITH RECURSIVE o AS (SELECT lang AS tenant_id, doc_id AS seq, doc_id::VARCHAR AS id, 'k' || (doc_id // 9) AS k, doc_id % 2 AS mark, sha256(text) AS sha, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+_REGISTER = """
+WITH RECURSIVE o AS (SELECT {tenant} AS tenant_id, doc_id AS seq, doc_id::VARCHAR AS id, {key} AS k, doc_id % 2 AS mark, {content} AS sha, row_number() OVER (PARTITION BY {tenant} ORDER BY doc_id) AS i FROM documents),
 f AS (SELECT tenant_id, seq, i, 'CREATED' AS outcome, id AS artifact_id, [k] AS ks, [mark] AS marks, [sha] AS shas, [id] AS made FROM o WHERE i = 1
   UNION ALL SELECT tenant_id, seq, i, CASE WHEN at_key > 0 THEN CASE WHEN marks[at_key] = mark THEN 'IDEMPOTENT_REPLAY' ELSE 'CONFLICT' END WHEN at_sha > 0 THEN 'CONTENT_DUPLICATE' ELSE 'CREATED' END,
     CASE WHEN at_key > 0 THEN made[at_key] WHEN at_sha > 0 THEN made[at_sha] ELSE id END,
     CASE WHEN new THEN list_append(ks, k) ELSE ks END, CASE WHEN new THEN list_append(marks, mark) ELSE marks END, CASE WHEN new THEN list_append(shas, sha) ELSE shas END, CASE WHEN new THEN list_append(made, id) ELSE made END
   FROM (SELECT o.*, f.ks, f.marks, f.shas, f.made, coalesce(list_position(f.ks, o.k), 0) AS at_key, coalesce(list_position(f.shas, o.sha), 0) AS at_sha, at_key + at_sha = 0 AS new FROM f JOIN o ON o.tenant_id = f.tenant_id AND o.i = f.i + 1))
-SELECT seq, tenant_id, outcome, artifact_id FROM f""",
-)
+SELECT seq, tenant_id, outcome, artifact_id FROM f"""
+
+
+@query("register_shared_keys", _REGISTER.format(tenant="lang", key="'k' || (doc_id // 9)", content="sha256(text)"))
 def register_shared_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Keys that nine requests share, of two fingerprints: replays, conflicts and duplicates."""
     return intake.registered(_requests(spark, sf, F.concat(F.lit("k"), F.floor(F.col("doc_id") / 9)), (F.col("doc_id") % 2).cast("string")))
 
 
+@query("register_connected", _REGISTER.format(tenant="'t'", key="'k' || (doc_id * 7 % 43)", content="(n_chars % 61)::VARCHAR"))
+def register_connected(spark: SparkSession, sf: str) -> DataFrame:
+    """All requests of one tenant, nearly all connected by the keys and contents that they share."""
+    rows = t(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), F.lit("t").alias("tenant_id"), F.concat(F.lit("k"), F.col("doc_id") * 7 % 43).alias("idempotency_key"), (F.col("n_chars") % 61).cast("string").alias("sha256"), (F.col("doc_id") % 2).cast("string").alias("fingerprint"))
+    return intake.registered(rows)
+
+
 @query("checksum_first", "SELECT source AS tenant_id, sha256(text) AS sha256, min(doc_id)::VARCHAR AS id FROM documents GROUP BY 1, 2")
 def checksum_first(spark: SparkSession, sf: str) -> DataFrame:
     docs = t(spark, sf, "documents").select(F.col("source").alias("tenant_id"), keys.sha256(F.col("text")).alias("sha256"), "doc_id")
@@ -475,7 +482,7 @@ def markdown_text(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").select("doc_id", extract.markdown_text(source).alias("text"))
 
 
-@query("extract_all", "SELECT doc_id, text AS extracted, NULL::VARCHAR AS failure FROM documents")
+@query("extract_all", r"SELECT doc_id, CASE WHEN regexp_matches(text, '\S') THEN text END AS extracted, CASE WHEN NOT regexp_matches(text, '\S') THEN 'BLANK_TEXT' END AS failure FROM documents")
 def extract_all(spark: SparkSession, sf: str) -> DataFrame:
     rows = t(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), F.lit("text/plain").alias("media_type"))
     return extract.extracted(rows).select("doc_id", "extracted", "failure")

@@ -11,6 +11,7 @@ import html
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -25,7 +26,7 @@ from tidemark.functions.media import DOCX
 MOST_BYTES, MOST_CHARS, MOST_IMAGE_BYTES = 128 << 20, 1_000_000, 10 << 20
 IMAGES = ("image/jpeg", "image/png", "image/tiff")
 
-_HIDDEN = {"script", "style", "template", "noscript", "head"}
+_HIDDEN = {"script", "style", "template", "noscript"}
 _BLOCKS = {
     "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
     "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "option", "title",
@@ -39,12 +40,12 @@ class _Visible(HTMLParser):
         self.hidden = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.hidden += tag in _HIDDEN - {"head"}
+        self.hidden += tag in _HIDDEN
         if tag in _BLOCKS:
             self.out.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _HIDDEN - {"head"}:
+        if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         if tag in _BLOCKS:
             self.out.append(" ")
@@ -94,13 +95,17 @@ def markdown_plain(source: str | None) -> str | None:
     return re.sub(r"\n{2,}", "\n", "\n".join(out)).strip()
 
 
-def docx_plain(data: bytes | None) -> str | None:
-    """Paragraphs of a DOCX document, one on each line; null if it can't be read."""
+def docx_plain(data: bytes | None, most_chars: int = MOST_CHARS) -> str | None:
+    """Paragraphs of a DOCX document, one on each line; null if it can't be read or unpacks to more than 64 bytes for each character allowed."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     try:
         with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
-            tree = ElementTree.fromstring(z.read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            with z.open("word/document.xml") as part:
+                xml = part.read(64 * most_chars + 1)
+        if len(xml) > 64 * most_chars:
+            return None
+        tree = ElementTree.fromstring(xml)
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error, EOFError, NotImplementedError, RuntimeError):
         return None
     text = {f"{w}t": lambda e: e.text or "", f"{w}tab": lambda _: "\t", f"{w}br": lambda _: "\n"}
     return "\n".join("".join(text[e.tag](e) for e in p.iter() if e.tag in text) for p in tree.iter(f"{w}p")).strip()
@@ -122,7 +127,7 @@ def lines_of(blocks: Column, most: int = MOST_CHARS) -> Column:
 
 
 def extracted(rows: DataFrame, *, content_col: str = "content", type_col: str = "media_type", pdf: Callable[[bytes], str] | None = None, ocr: Callable[[bytes], str] | None = None, most_bytes: int = MOST_BYTES, most_chars: int = MOST_CHARS) -> DataFrame:
-    """Adds `extracted` and `failure`, exactly one of them null. Each type's UDF gets only its own rows' bytes."""
+    """Adds `extracted` and `failure`, exactly one of them null. Each type's UDF gets only its own rows' bytes. A text of white space alone is a failure."""
     content, kind = F.col(content_col), F.col(type_col)
 
     def only(condition: Column) -> Column:
@@ -148,5 +153,5 @@ def extracted(rows: DataFrame, *, content_col: str = "content", type_col: str =
     )
     out = rows.withColumn("extracted", text)
     long = F.length("extracted") > most_chars
-    failure = F.when(~fits, "INPUT_TOO_LARGE").when(F.col("extracted").isNull(), "EXTRACTION_FAILED").when(long, "OUTPUT_TOO_LARGE")
+    failure = F.when(~fits, "INPUT_TOO_LARGE").when(F.col("extracted").isNull(), "EXTRACTION_FAILED").when(long, "OUTPUT_TOO_LARGE").when(F.regexp_replace("extracted", r"(?U)\s", "") == "", "BLANK_TEXT")
     return out.withColumn("failure", failure).withColumn("extracted", F.when(F.col("failure").isNull(), F.col("extracted")))

@@ -16,5 +16,6 @@ def fresh(spark: SparkSession, kind: str) -> str:
 def kept(df: DataFrame, kind: str, by: str | None = None) -> DataFrame:
     """Rows written into the shared folder, by the values of a column if given, and read from there."""
     path = fresh(df.sparkSession, kind)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
