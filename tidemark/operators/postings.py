@@ -47,13 +47,13 @@ def folder(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
 
-def _lists(scope: str, ids: pa.Array, words: pa.Array, block: int) -> pa.RecordBatch:
+def _lists(scope: str, ids: pa.Array, words: pa.Array, block: int, bits: int) -> pa.RecordBatch:
     """The rows of a block: its documents, then its posting lists."""
     sizes = np.diff(words.offsets.to_numpy())
     coded = words.flatten().dictionary_encode()
     term = coded.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    place = (doc << POSITION) + np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = (doc << bits) + np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     order = np.argsort(term, kind="stable")  # places stay in order within a term
     term, doc, place = term[order], doc[order], place[order]
     new_term = np.append(True, term[1:] != term[:-1])
@@ -94,7 +94,7 @@ def postings(rows: DataFrame, *, id_col: str, text_col: str = "text", scope_col:
                 end = at + max(1, min(int(np.searchsorted(np.cumsum(tokens[at:end]), BLOCK_TOKENS, side="right")), int(wide[0]) if len(wide) else end))
                 part = batch.slice(at, end - at)
                 number = first + n
-                yield _lists(part.column(0)[0].as_py(), part.column(1), part.column(2), -1 - number if len(wide) and not wide[0] else number)
+                yield _lists(part.column(0)[0].as_py(), part.column(1), part.column(2), -1 - number if len(wide) and not wide[0] else number, POSITION)
                 at, n = end, n + 1
 
     found = words.mapInArrow(run, f"scope string, term string, block long, ids array<{kind}>, places array<int>, most int")
