@@ -82,7 +82,7 @@ def date(m, key):
         a, b = pair(n // 4297, n % 4297, 17, 4297, key)
         n = a * 4297 + b
         new = dt.date(1900, 1, 1) + dt.timedelta(n)
-        if not american or new.day > 12:
+        if (new.day > 12) == (int(d) > 12):
             break
     order = [new.year, new.month, new.day] if first_is_year else [new.month, new.day, new.year] if american else [new.day, new.month, new.year]
     seps = re.findall("[-./]", m)
