@@ -166,12 +166,39 @@ def test_grams_of_many_contexts(spark, docs, rows, monkeypatch):
     def found():
         return sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"])) for r in suffix.repeated_spans(docs).collect())
 
-    monkeypatch.setattr(suffix, "SORTED", 1)
-    assert found() == expected
+    for most in (1, 3):
+        monkeypatch.setattr(suffix, "SORTED", most)
+        assert found() == expected
     monkeypatch.setattr(suffix, "MOST_ROWS", 2)
     assert found() == expected
 
 
+@pytest.mark.parametrize("most", [1, 2, 5, 40])
+def test_parts_of_hot_grams_are_sorted(spark, monkeypatch, most):
+    """Contexts of one gram that agree on both sides of it by any number of bytes, at the ends of texts too."""
+    rng = random.Random(most)
+    base = bytes(rng.choice(b"abcd") for _ in range(2 * suffix.LEFT + suffix.GRAM))
+    rows = []
+    for t in range(160):
+        a, b = rng.choice([0, 1, 40, 68, 69, 100, 135, 136]), rng.choice([0, 1, 36, 67, 68, 96, 135, 136])
+        raw = bytearray(bytes(rng.choice(b"efg" if t % 3 else b"e") for _ in base))
+        raw[suffix.LEFT - a : suffix.LEFT + suffix.GRAM + b] = base[suffix.LEFT - a : suffix.LEFT + suffix.GRAM + b]
+        left, right = rng.choice([136, 136, a]), rng.choice([136, 136, b])
+        raw[: suffix.LEFT - left] = bytes([255]) * (suffix.LEFT - left)
+        raw[len(raw) - (suffix.LEFT - right) :] = bytes([255]) * (suffix.LEFT - right)
+        rows.append((7, t, 1000, left, right, 2 if t % 10 == 0 else 1, raw))
+    around = spark.createDataFrame(rows, "gram long, t long, at long, left long, right long, what long, bytes binary").repartition(3)
+    expected = {}
+    for r in around.coalesce(1).mapInArrow(suffix.compared, "t long, start long, stop long").collect():
+        expected[r["t"]] = (r["start"], r["stop"])
+    monkeypatch.setattr(suffix, "SORTED", most)
+    found = {}
+    for r in suffix.split_and_sorted(around, 4).collect():
+        a, b = found.get(r["t"], (r["start"], r["stop"]))
+        found[r["t"]] = (min(a, r["start"]), max(b, r["stop"]))
+    assert found == expected and 20 < len(expected) < 144
+
+
 def test_parts_lose_no_comparison(rows, monkeypatch):
     import pyarrow as pa
 

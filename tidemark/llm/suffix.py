@@ -12,8 +12,11 @@ anchor on, and that of the reversed text before it, with the longest common pref
 say for every offset which contexts share a string of `LENGTH` bytes there.
 
 A gram of very many different contexts (what is around the ends of a passage that all documents
-have) would be one task's to sort. Its strings are counted instead, spread over all tasks, which
-gives the same offsets.
+have) would be one task's to sort. Such a gram is split by more of its content: strings that start at
+one of several neighbouring offsets all hold the bytes that these strings have in common, their core.
+Halves of the offsets have longer cores, so contexts are dealt by the core of each half, halves of
+halves where that is still too many, down to single offsets; only what is beside the core is shuffled
+and sorted. Contexts that agree in the core of a single offset share the whole string.
 
 Each distinct text is handled once and kept in a table bucketed by its number, so that texts are
 shuffled once; a text that occurs twice repeats as a whole.
@@ -45,8 +48,8 @@ SHALLOW = 80
 BEYOND = 255
 #: Rows of whole groups that are looked at together, and rows of one gram at which it is looked at in parts.
 CHUNK, MOST_ROWS = 1 << 18, 1 << 20
-#: Contexts of one gram that are sorted together, 88 MB; where there are more, their strings are counted instead, at many times the disk.
-SORTED = 1 << 18
+#: Contexts that are sorted together; a gram or core that has more is split.
+SORTED = 1 << 12
 #: Marks in the last two bits of an anchor's place.
 ONE_OF_MANY, SETTLED = 1, 2
 _HALF, _MASK = LEFT // 2, 0x7FFF
@@ -324,20 +327,24 @@ def deep_shallow(rows: np.ndarray, groups: np.ndarray, shallow: int = SHALLOW) -
     return order, common
 
 
-def covered(grams: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that share a string with another of their gram, and the first and last offset in their contexts where one starts."""
-    n = len(grams)
-    after, after_common = deep_shallow(context[:, LEFT:], grams)
-    before, before_common = deep_shallow(np.ascontiguousarray(context[:, LEFT - 1 :: -1]) if LEFT else context[:, :0], grams, 16)
+def covered(groups: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.ndarray, side: int = LEFT, core: int = GRAM, lo: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that share a string with another of their group, and the first and last offset in their contexts where one starts.
+
+    `context` has `side` bytes before the core that all rows of a group share, `core` bytes of it that
+    are there, and `side` bytes after it; strings start at the offsets from `lo` to `lo` + `side`.
+    """
+    n = len(groups)
+    after, after_common = deep_shallow(context[:, side:], groups)
+    before, before_common = deep_shallow(np.ascontiguousarray(context[:, side - 1 :: -1]) if side else context[:, :0], groups, 16)
     low, high = np.full(n, LEFT + 1), np.full(n, -1)
     kind_after, kind_before = np.empty(n, np.int64), np.empty(n, np.int64)
-    for offset in range(LEFT + 1):
-        rows = np.flatnonzero((offset >= LEFT - left) & (offset <= right))
-        kind_after[after] = np.cumsum(after_common < GRAM + offset)
-        kind_before[before] = np.cumsum(before_common < LEFT - offset)
+    for k in range(side + 1):
+        rows = np.flatnonzero((lo + k >= LEFT - left) & (lo + k <= right))
+        kind_after[after] = np.cumsum(after_common < core + k)
+        kind_before[before] = np.cumsum(before_common < side - k)
         hit = rows[counts_of(kind_before[rows], kind_after[rows]) > 1] if len(rows) else rows
-        low[hit] = np.minimum(low[hit], offset)
-        high[hit] = offset
+        low[hit] = np.minimum(low[hit], lo + k)
+        high[hit] = lo + k
     found = np.flatnonzero(high >= 0)
     return found, low[found], high[found]
 
@@ -354,25 +361,102 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t[rows], start, at[rows] - LEFT + high + LENGTH)], ["t", "start", "stop"])
 
 
-def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, t, at, offset, what: each string of a context by a hash of it and of its place there.
+#: First and last offset of strings, and for each such range the keys of cores that have too many contexts.
+Hot = dict[tuple[int, int], set[int]]
+
+
+def halves(lo: int, hi: int) -> list[tuple[int, int]]:
+    middle = (lo + hi) // 2
+    return [(lo, middle), (middle + 1, hi)]
+
 
-    Strings of two contexts of one text at the same place in it have different offsets, so a place is not taken for a repetition of itself.
+def core_key(context: memoryview, gram: int, lo: int, hi: int) -> int:
+    """A key of the bytes that all strings from offset `lo` to `hi` of a context have in common."""
+    return xxhash.xxh3_64_intdigest(context[hi : lo + LENGTH], (gram + lo * LENGTH + hi) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def parts_of(context: memoryview, gram: int, left: int, right: int, hot: Hot) -> Iterator[tuple[int, int, int, int]]:
+    """lo, hi, key, depth of the ranges of offsets to which a context of a hot gram belongs: those that are not split, or can't be."""
+    waiting = [(lo, hi, 1) for lo, hi in halves(0, LEFT)]
+    while waiting:
+        lo, hi, depth = waiting.pop()
+        if hi < LEFT - left or lo > right:  # the context ends before
+            continue
+        key = core_key(context, gram, lo, hi)
+        if lo < hi and key in hot.get((lo, hi), ()):
+            waiting += [(a, b, depth + 1) for a, b in halves(lo, hi)]
+        else:
+            yield lo, hi, key, depth
+
+
+def _parts(rows: DataFrame, hot: Hot, depth: int | None = None) -> DataFrame:
+    """lo, hi, key and the context's own columns for each part of each context, with the bytes on both sides of the core; with a depth, lo, hi, key of the parts at it alone."""
+    columns = ["t", "at", "left", "right", "what"] if depth is None else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 4096):
+            out: list[list] = [[], [], [], []]
+            row: list[int] = []
+            for i, (gram, left, right, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("gram", "left", "right", "bytes")), strict=True)):
+                for lo, hi, key, deep in parts_of(memoryview(raw), gram, left, right, hot):
+                    if depth is None or deep == depth:
+                        row.append(i)
+                        for column, x in zip(out, (lo, hi, key, raw[lo:hi] + raw[lo + LENGTH : hi + LENGTH] if depth is None else None), strict=True):
+                            column.append(x)
+            taken = [batch.column(c).take(pa.array(row, pa.int64())) for c in columns]
+            sides = [pa.array(out[3], pa.binary())] if depth is None else []
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *taken, *sides], ["lo", "hi", "key", *columns, *["sides"] * len(sides)])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["lo", "hi", "key", *columns]) + (", sides binary" if depth is None else ""))
+
+
+def compared_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `compared` gives, from contexts dealt by their cores; those of one key have one range of offsets."""
+    for batch in whole_groups(batches, 2, CHUNK // 8):
+        lo, hi, key, t, at, left, right, what = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:8])
+        for a, b in {(int(a), int(b)) for a, b in zip(lo, hi, strict=True)}:
+            rows = np.flatnonzero((lo == a) & (hi == b))
+            rows = rows[counts_of(key[rows]) > 1]
+            if not len(rows):
+                continue
+            sides = np.frombuffer(b"".join(batch.column(8).take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), 2 * (b - a))
+            found, low, high = covered(key[rows], left[rows], right[rows], sides, b - a, 0, a)
+            low, high, rows = (x[what[rows[found]] == 1] for x in (low, high, rows[found]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t[rows], at[rows] - LEFT + low, at[rows] - LEFT + high + LENGTH)], ["t", "start", "stop"])
+
+
+def split_and_sorted(around: DataFrame, n: int) -> DataFrame:
+    """What `compared` gives, for contexts of grams that have too many to be sorted together.
+
+    There are fewer hot cores than contexts divided by `SORTED`; each round of counting splits them once
+    more, and there are eight rounds at most. A hot core of a single offset is a string that all its
+    contexts share, which needs no sorting and stays where it is.
     """
-    for batch in small_batches(batches):
-        rows = []
-        for t, at, left, right, what, raw in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            rows += [(xxhash.xxh3_128_digest(raw[k : k + LENGTH], k), t, at, k, what) for k in range(LEFT - left, right + 1)]
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "t", "at", "offset", "what"])
+    rows = cut(around)
+    hot: Hot = {}
+    for depth in range(1, LEFT.bit_length() + 1):
+        counts = _parts(rows, hot, depth).groupBy("lo", "hi", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SORTED).collect()
+        for r in counts:
+            hot.setdefault((r["lo"], r["hi"]), set()).add(r["key"])
+        if not any(r["lo"] < r["hi"] for r in counts):
+            break
+    single = {(lo, key) for (lo, hi), keys in hot.items() if lo == hi for key in keys}
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi, key, at, what = (batch.column(c).to_numpy() for c in ("lo", "hi", "key", "at", "what"))
+            hit = np.array([w == 1 and a == b and (a, k) in single for a, b, k, w in zip(lo.tolist(), hi.tolist(), key.tolist(), what.tolist(), strict=True)], bool)
+            yield pa.RecordBatch.from_arrays([batch.column("t").filter(pa.array(hit)), pa.array((at - LEFT + lo)[hit]), pa.array((at - LEFT + lo + LENGTH)[hit])], ["t", "start", "stop"])
 
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi, key = (batch.column(c).to_pylist() for c in ("lo", "hi", "key"))
+            yield batch.filter(pa.array([a < b or (a, k) not in single for a, b, k in zip(lo, hi, key, strict=True)], pa.bool_()))
 
-def counted(around: DataFrame) -> DataFrame:
-    """What `compared` gives, for contexts of grams that have too many: strings are counted, in any number of tasks, and combined before they are shuffled."""
-    each = cut(around.mapInArrow(windows, "key binary, t long, at long, offset long, what long"))
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    ends = each.where("what = 1").join(shared.hint("merge"), "key").groupBy("t", "at").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
-    return ends.select("t", (F.col("at") - LEFT + F.col("low")).alias("start"), (F.col("at") - LEFT + F.col("high") + LENGTH).alias("stop"))
+    parts = _parts(rows, hot)
+    dealt = parts.mapInArrow(others, parts.schema).repartition(n, "key").sortWithinPartitions("key")
+    spans = "t long, start long, stop long"
+    return dealt.mapInArrow(compared_parts, spans).unionByName(parts.mapInArrow(shared, spans))
 
 
 def merged(raw: bytes, spans: list[dict], copies: int) -> tuple[int, list[tuple[int, int]]]:
@@ -448,7 +532,7 @@ def _repeated_spans(docs: DataFrame, name: str) -> DataFrame:
     few = compare.join(hot, "gram", "left_anti")
     ends = around(few).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(compared, "t long, start long, stop long")
     if not hot.isEmpty():
-        ends = ends.union(counted(around(compare.join(hot, "gram", "left_semi"))))
+        ends = ends.union(split_and_sorted(around(compare.join(hot, "gram", "left_semi")), n))
     at = F.shiftright("place", 32)
     whole = found.where("what <> 1").select("t", (at - LEFT).alias("start"), (at + LENGTH).alias("stop"))
     spans = whole.union(ends).groupBy("t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
