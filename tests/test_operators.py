@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import access, audit, fulltext, indexing, intake, jobs, retrieval
+from tidemark.operators import access, audit, fulltext, indexing, intake, jobs, quotas, retrieval
 from tidemark.sources import config, embed, extract, files
 from tidemark.streaming import leases, relay
 
@@ -260,3 +260,35 @@ def test_registration_in_rounds_is_that_in_order(spark):
             found = intake.registered(requests, spark.createDataFrame(stored, schema) if stored else None, rounds=rounds)
             assert sorted(map(tuple, found.collect())) == in_order(stored)
     assert intake.registered(requests.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sizes", ["even", "mixed", "shrinking"])
+def test_quotas_side_by_side_are_those_in_order(spark, monkeypatch, sizes):
+    rng = random.Random(sizes)
+    size = {"even": lambda i: 10, "mixed": lambda i: rng.choice([0, 1, 5, 40, 200, 999]), "shrinking": lambda i: max(1, 300 - i)}[sizes]
+    rows = [(rng.choice(["a", "a", "a", "b", "c", None]), i, size(i)) for i in range(500)]
+    used = [("a", 50, 2), (None, 7, 1), ("elsewhere", 100, 3)]
+    files, held = spark.createDataFrame(rows, "tenant string, seq int, size long").repartition(3), spark.createDataFrame(used, "tenant string, bytes long, files long")
+
+    def in_order(limits):
+        own = {t: (b, f) for t, b, f in used}
+        all_bytes, all_files, out = sum(u[1] for u in used), sum(u[2] for u in used), []
+        for t, i, n in rows:
+            b, f = own.get(t, (0, 0))
+            over = (n > limits.artifact_bytes, all_files + 1 > limits.files, f + 1 > limits.tenant_files, all_bytes + n > limits.bytes, b + n > limits.tenant_bytes)
+            why = next((name for name, x in zip(quotas.REFUSALS, over, strict=True) if x), None)
+            if why is None:
+                own[t], all_bytes, all_files = (b + n, f + 1), all_bytes + n, all_files + 1
+            out.append((t, i, n, why))
+        return sorted(out, key=lambda r: r[1])
+
+    replayed = []
+    real = quotas._replayed
+    monkeypatch.setattr(quotas, "_replayed", lambda rows, limits: replayed.append(rows.count()) or real(rows, limits))
+    refusals = set()
+    for limits, rounds in ((quotas.Limits(900, 4000, 400, 1500, 200), 16), (quotas.Limits(900, 4000, 400, 1500, 200), 1), (quotas.Limits(5000, 100_000, 450, 2500, 100), 16)):
+        found = intake.admitted(files, by="tenant", order_col="seq", bytes_col="size", limits=limits, used=held, block=40, rounds=rounds)
+        assert sorted(map(tuple, found.collect()), key=lambda r: r[1]) == in_order(limits)
+        refusals |= {r[3] for r in in_order(limits)}
+    assert len(refusals) > 2 and all(0 < n < 500 for n in replayed) and replayed
+    assert intake.admitted(files.limit(0), by="tenant", order_col="seq", bytes_col="size", limits=limits, block=40).count() == 0

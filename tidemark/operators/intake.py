@@ -4,19 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quotas import TENANT_FILES, Limits, accepted_within, admitted  # noqa: F401  (part of intake)
 from tidemark.sources import shared
 
-#: What may be in the spool: bytes of an artifact, and bytes and files in all and for a tenant.
-MOST_BYTES = 128 << 20
-GLOBAL_BYTES, GLOBAL_FILES, TENANT_BYTES, TENANT_FILES = 10 << 30, 100_000, 1 << 30, 10_000
-
-
 def fresh_name() -> str:
     return uuid.uuid4().hex
 
@@ -133,74 +128,6 @@ def oldest_by_content(artifacts: DataFrame) -> DataFrame:
     return live.groupBy("tenant_id", "sha256").agg(F.min_by("id", F.struct("created_at", "id")).alias("id"))
 
 
-def accepted_within(files: DataFrame, *, by: str, order_col: str, bytes_col: str, most_bytes: int, most_files: int) -> DataFrame:
-    """Whether each file fits its tenant's quota when it comes; a refused file frees what it had reserved, so later ones may still fit.
-
-    A running sum can't say this. The state of the fold is two numbers; it runs in the order of
-    arrival over sorted partitions, with no list of files in memory.
-    """
-    schema = f"{by} {files.schema[by].dataType.simpleString()}, {order_col} {files.schema[order_col].dataType.simpleString()}, {bytes_col} long, accepted boolean"
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tenant, used, count = None, 0, 0
-        for frame in frames:
-            fits = []
-            for owner, size in zip(frame[by], frame[bytes_col], strict=True):
-                if owner != tenant:
-                    tenant, used, count = owner, 0, 0
-                ok = used + size <= most_bytes and count + 1 <= most_files
-                used, count = used + size * ok, count + ok
-                fits.append(ok)
-            yield frame.assign(accepted=fits)
-
-    order = files.select(by, order_col, F.col(bytes_col).cast("long").alias(bytes_col)).repartition(by).sortWithinPartitions(by, order_col)
-    return order.mapInPandas(fold, schema)
-
-
-@dataclass(frozen=True)
-class Limits:
-    """What may be held: bytes of one artifact, and bytes and files in all and of a tenant."""
-
-    artifact_bytes: int = MOST_BYTES
-    bytes: int = GLOBAL_BYTES
-    files: int = GLOBAL_FILES
-    tenant_bytes: int = TENANT_BYTES
-    tenant_files: int = TENANT_FILES
-
-
-#: Refusals, in the order in which limits are tried.
-REFUSALS = ("ARTIFACT_BYTES", "GLOBAL_FILES", "TENANT_FILES", "GLOBAL_BYTES", "TENANT_BYTES")
-
-
-def admitted(files: DataFrame, *, by: str, order_col: str, bytes_col: str, limits: Limits, used: DataFrame | None = None) -> DataFrame:
-    """tenant, order, bytes, refusal (null if it fits) of each file, in the order in which they come.
-
-    All limits are kept in one fold, as a file that a tenant's limit refuses takes nothing from the
-    global one. `used` has what is held already: tenant, bytes, files. The order over all tenants is
-    part of the meaning, so the fold is one task; it holds two numbers for each tenant that it meets
-    and streams over the rows, of which there are as many as one call brings.
-    """
-    held = {r[0]: (r[1], r[2]) for r in used.select(by, "bytes", "files").collect()} if used is not None else {}  # a row for each tenant
-    schema = f"{by} {files.schema[by].dataType.simpleString()}, {order_col} {files.schema[order_col].dataType.simpleString()}, {bytes_col} long, refusal string"
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tenants = dict(held)
-        all_bytes, all_files = sum(x[0] for x in held.values()), sum(x[1] for x in held.values())
-        for frame in frames:
-            out = []
-            for owner, size in zip(frame[by], frame[bytes_col], strict=True):
-                own_bytes, own_files = tenants.get(owner, (0, 0))
-                over = (size > limits.artifact_bytes, all_files + 1 > limits.files, own_files + 1 > limits.tenant_files, all_bytes + size > limits.bytes, own_bytes + size > limits.tenant_bytes)
-                out.append(next((name for name, x in zip(REFUSALS, over, strict=True) if x), None))
-                if out[-1] is None:
-                    tenants[owner] = own_bytes + size, own_files + 1
-                    all_bytes, all_files = all_bytes + size, all_files + 1
-            yield frame.assign(refusal=pd.Series(out, dtype=object))
-
-    order = files.select(by, order_col, F.col(bytes_col).cast("long").alias(bytes_col)).repartition(1).sortWithinPartitions(order_col)
-    return order.mapInPandas(fold, schema)
-
-
 def usage(files: DataFrame, *, by: str, bytes_col: str) -> DataFrame:
     """Bytes and files of each tenant and, with a null tenant, of all."""
     return files.rollup(by).agg(F.sum(bytes_col).cast("long").alias("bytes"), F.count(F.lit(1)).alias("files"), F.grouping(by).cast("int").alias("is_total"))
