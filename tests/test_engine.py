@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 from datetime import datetime
 
 import pytest
@@ -211,3 +212,21 @@ def test_cache_is_bounded(spark, tmp_path):
     assert engine.store.read("vector_cache").count() == 2
     assert index(3, "three", "two") == 3
     assert index(4, "one") == 4
+
+
+def test_ranges_of_stored_contents(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), Grants({("p", "t"): set(PERMISSIONS)}), hashing_provider(8), 8)
+    text = "".join(f"{i:07d} " for i in range(75_000)).encode()  # of three segments
+    request = spark.createDataFrame([(0, None, "n.txt", "text/plain", bytearray(text), len(text), None)], REQUEST)
+    one = engine.ingest("p", "t", request, NOW).first()["artifact_id"]
+    engine.store_pending()
+    assert sorted(r["segment"] for r in engine.store.read("object").collect()) == [0, 1, 2]
+    for offset, n in ((0, 5), (262_140, 10), (524_280, 100_000), (700_000, 3)):
+        row = engine.content("p", "t", one, offset, n).first()
+        part = text[offset : offset + n]
+        assert (base64.b64decode(row["payload"]), row["next_offset"], row["eof"], row["size_bytes"]) == (part, offset + len(part), offset + n >= len(text), len(text))
+    assert engine.damaged("t").count() == 0
+    changed = engine.store.read("object").withColumn("content", F.when(F.col("segment") == 1, F.lit(b"other")).otherwise(F.col("content")))
+    version = engine.store.version()
+    engine.store.commit(version, {"object": engine.store.rewritten("object", changed, set(engine.store.state()["object"]))})
+    assert [tuple(r) for r in engine.damaged("t").collect()] == [(one, 1)]

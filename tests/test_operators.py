@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import random
 from datetime import datetime, timedelta
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import access, audit, fulltext, indexing, intake, jobs, quotas, retrieval
-from tidemark.sources import config, embed, extract, files
+from tidemark.sources import config, embed, extract, files, segments, shared
 from tidemark.streaming import leases, relay
 
 NOW = datetime(2026, 8, 10)
@@ -292,3 +293,25 @@ def test_quotas_side_by_side_are_those_in_order(spark, monkeypatch, sizes):
         refusals |= {r[3] for r in in_order(limits)}
     assert len(refusals) > 2 and all(0 < n < 500 for n in replayed) and replayed
     assert intake.admitted(files.limit(0), by="tenant", order_col="seq", bytes_col="size", limits=limits, block=40).count() == 0
+
+
+def test_contents_in_segments(spark):
+    rng = random.Random(2)
+    contents = [b"", None, b"a", b"0123456789", *(rng.randbytes(n) for n in (9, 20, 95, 100, 333))]
+    rows = spark.createDataFrame([(i, len(c or b""), None if c is None else bytearray(c)) for i, c in enumerate(contents)], "id int, size_bytes long, content binary")
+    held = shared.kept(segments.divided(rows, size=10).repartition(3), "test")
+    assert held.count() == sum(max(1, -(-len(c or b"") // 10)) for c in contents)
+    assert {r["id"]: bytes(r["content"]) for r in segments.joined(held, ["id"]).collect()} == {i: c or b"" for i, c in enumerate(contents)}
+    for offset, n in ((0, 1), (0, 10), (9, 2), (15, 60), (95, 5), (400, 7)):
+        found = {r["id"]: (base64.b64decode(r["payload"]), r["next_offset"], r["eof"]) for r in segments.byte_range(held, ["id"], offset, n, size=10).collect()}
+        assert found == {i: ((c or b"")[offset : offset + n], offset + len((c or b"")[offset : offset + n]), len(c or b"") - offset <= n) for i, c in enumerate(contents)}
+    # the scan gives the segments of the range alone
+    one = segments.byte_range(held.where("id = 8"), ["id"], 95, 5, size=10)
+    one.collect()
+    scan = one._jdf.queryExecution().executedPlan().toString()
+    assert "segment" in scan.split("PushedFilters: [")[1].split("]")[0]
+    assert held.where("id = 8 and (segment between 9 and 9 or segment = 0)").count() == 2
+    expected = shared.kept(segments.manifest(held, ["id"]), "test")
+    assert segments.damaged(held, expected, ["id"]).count() == 0
+    broken = held.withColumn("content", F.when((F.col("id") == 8) & (F.col("segment") == 3), F.lit(b"x")).otherwise(F.col("content"))).where("not (id = 7 and segment = 5)")
+    assert sorted(map(tuple, segments.damaged(broken, expected, ["id"]).collect()), key=repr) == [(7, None, "incomplete"), (8, 3, "changed")]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys, records, text, times, vectors
 from tidemark.operators import audit, indexing, intake, jobs, retrieval
-from tidemark.plans.queries import _JOBS, _KEYWORD, _READY, _RRF, _VECTOR, QUERY_TEXT, WS, _jobs, _orders, _spooled, artifacts_of, chunks_with_vectors, first_vector, query, t
-from tidemark.sources import embed, extract, files
+from tidemark.plans.queries import _JOBS, _KEYWORD, _READY, _RRF, _VECTOR, QUERY_TEXT, SQL, WS, _jobs, _orders, _spooled, artifacts_of, chunks_with_vectors, first_vector, query, t
+from tidemark.sources import embed, extract, files, segments, shared
 
 
 def _one(spark: SparkSession, sf: str) -> tuple[str, int]:
@@ -291,3 +291,31 @@ def embedding_cache_kept(spark: SparkSession, sf: str) -> DataFrame:
     docs = t(spark, sf, "documents").select(keys.sha256(F.col("text")).alias("content_sha256"), F.floor(F.col("doc_id") / 4).alias("k")).join(used, "k", "left")
     cache = docs.groupBy("content_sha256").agg(F.max("at").alias("last_use")).select(F.lit("m").alias("embedding_model"), F.lit("1").alias("embedding_version"), "content_sha256", "last_use")
     return embed.last_used(cache, _CACHED).select("content_sha256", F.col("last_use").cast("timestamp_ntz").alias("last_use"))
+
+
+_SEGMENT = 32
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    docs = t(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size_bytes"), F.col("text").cast("binary").alias("content"))
+    return shared.kept(segments.divided(docs, size=_SEGMENT).sortWithinPartitions("segment"), "segments")
+
+
+@query("content_range_segments", SQL["content_range"])
+def content_range_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of `content_range`, from contents that are kept in segments."""
+    return segments.byte_range(_segments(spark, sf), ["doc_id"], 10, 50, size=_SEGMENT)
+
+
+@query(
+    "segment_roots",
+    f"""
+WITH RECURSIVE b AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+l AS (SELECT doc_id, n, list_transform(range(0, 1 + greatest(0, n - 1) // {_SEGMENT}), lambda i: sha256(unhex(substr(h, i * {2 * _SEGMENT} + 1, {2 * _SEGMENT})))) AS hashes FROM b),
+m AS (SELECT doc_id, n, len(hashes) AS segments, hashes FROM l
+  UNION ALL SELECT doc_id, n, segments, list_transform(range(1, len(hashes) + 1, 2), lambda i: CASE WHEN i < len(hashes) THEN sha256(hashes[i] || hashes[i + 1]) ELSE hashes[i] END) FROM m WHERE len(hashes) > 1)
+SELECT doc_id, segments AS n_segments, n AS size_bytes, hashes[1] AS root FROM m WHERE len(hashes) = 1""",
+)
+def segment_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """The Merkle root of every document's segments."""
+    return segments.manifest(_segments(spark, sf), ["doc_id"])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import keys, media, records, text, times
 from tidemark.operators import fulltext, indexing, intake, postings, retrieval
 from tidemark.operators.access import Grants, require_scope
-from tidemark.sources import embed, extract, files
+from tidemark.sources import embed, extract, files, segments
 from tidemark.sources.embed import Provider, embedded
 from tidemark.sources.tables import Change, Conflict, Store, Table, columns_of, of_tenant
 
@@ -33,8 +33,8 @@ CHUNK = (
 )
 OUTBOX = "id string, tenant_id string, artifact_id string, type string, status string, attempts int, created_at timestamp, next_attempt_at timestamp, last_error string"
 SPOOL = "tenant_id string, artifact_id string, spool_path string, size_bytes long, content binary"
-#: An object with what is kept of it beside its bytes: checksum, hash of the tenant, and the key that encrypts it.
-OBJECT = "tenant_id string, artifact_id string, storage_key string, size_bytes long, sha256 string, tenant_sha256 string, kms_key string, content binary"
+#: A segment of an object with what is kept of it beside its bytes: checksum, hash of the tenant, and the key that encrypts it.
+OBJECT = "tenant_id string, artifact_id string, storage_key string, size_bytes long, sha256 string, tenant_sha256 string, kms_key string, segment int, segment_sha256 string, content binary"
 QUARANTINE = CHUNK
 ARTIFACT_COLUMNS = [c.strip().split(" ")[0] for c in columns_of(ARTIFACT)]
 TABLES = {
@@ -43,7 +43,7 @@ TABLES = {
     "quarantine": Table(QUARANTINE, "artifact_id"),
     "outbox": Table(OUTBOX, "artifact_id"),
     "spool": Table(SPOOL, "artifact_id"),
-    "object": Table(OBJECT, "artifact_id"),
+    "object": Table(OBJECT, "artifact_id", sort=("artifact_id", "segment")),
     "posting": Table(postings.schema("string"), "bucket", "scope", ("term", "block")),
     "vector_cache": Table(embed.CACHE, "content_sha256", "embedding_model"),
 }
@@ -220,9 +220,10 @@ class Engine:
             "tenant_id", F.col("id").alias("artifact_id"), "storage_key", F.length("content").cast("long").alias("size_bytes"), "sha256", keys.sha256(F.col("tenant_id")).alias("tenant_sha256"),
             F.lit(self.kms_key).cast("string").alias("kms_key"), "content",
         )
-        put = self.store.added("object", objects)
+        put = self.store.added("object", segments.divided(objects))
         back = self.store.at("object", put.added.values())
-        heads = back.select(F.col("storage_key").alias("path"), "content", keys.sha256(F.col("content")).alias("sha256"), "tenant_sha256", "kms_key")
+        read = segments.joined(back.where(keys.sha256(F.col("content")) == F.col("segment_sha256")), ["artifact_id", "storage_key", "tenant_sha256", "kms_key"])
+        heads = read.select(F.col("storage_key").alias("path"), "content", keys.sha256(F.col("content")).alias("sha256"), "tenant_sha256", "kms_key")
         checked = files.stored_status(files.verified_objects(heads, planned, self.environment, kms_key=self.kms_key)).drop("verified").withColumn("updated_at", F.lit(now).cast("timestamp") if now else F.col("updated_at"))
         checked = checked.withColumn("storage_key", F.when(F.col("storage_status") == "STORED", F.col("storage_key")))
         checked = self._kept(checked.select(*ARTIFACT_COLUMNS), ARTIFACT)
@@ -231,7 +232,7 @@ class Engine:
             here = self._unchanged(at, checked, todo, "storage_status")
             good = here.where("storage_status = 'STORED'")
             stored = good.select("tenant_id", F.col("id").alias("artifact_id"))
-            objects = put if good.count() == back.count() else self.store.added("object", back.join(stored, ["tenant_id", "artifact_id"], "left_semi"))
+            objects = put if good.count() == back.where("segment = 0").count() else self.store.added("object", back.join(stored, ["tenant_id", "artifact_id"], "left_semi"))
             changes = {
                 "artifact": self._changed(at, here, ("storage_status", "storage_key", "spool_path", "failure_code", "failure_message", "updated_at")),
                 "object": objects,
@@ -252,7 +253,8 @@ class Engine:
         parts = None if of is None else self.store.parts_of("object", of.select("tenant_id", F.col("id").alias("artifact_id")))
         source = files.content_source(F.col("storage_status"), F.col("storage_key"), F.col("spool_path"))
         where = artifacts.select("tenant_id", F.col("id").alias("artifact_id"), source.alias("source"))
-        objects = self.store.read("object", version=version, tenant=tenant, parts=parts).select("tenant_id", "artifact_id", F.col("storage_key").alias("source"), "content")
+        objects = self.store.read("object", version=version, tenant=tenant, parts=parts).select("tenant_id", "artifact_id", F.col("storage_key").alias("source"), "segment", "content")
+        objects = segments.joined(objects, ["tenant_id", "artifact_id", "source"])
         spooled = self.store.read("spool", version=version, tenant=tenant, parts=parts).select("tenant_id", "artifact_id", F.col("spool_path").alias("source"), "content")
         return objects.unionByName(spooled).join(where, ["tenant_id", "artifact_id", "source"], "left_semi").select("tenant_id", F.col("artifact_id").alias("id"), "content")
 
@@ -379,8 +381,21 @@ class Engine:
         return retrieval.newest(self.store.read("artifact", tenant=tenant), max(1, min(limit, MOST_LISTED))).where(retrieval.readable())
 
     def content(self, principal: str, tenant: str, artifact: str, offset: int = 0, requested: int = files.CONTENT_BYTES) -> DataFrame:
+        """A range of the content: of a stored one only the segments that it touches are read."""
         self.grants.require(principal, tenant, "READ_CONTENT")
-        return self._content(tenant, artifact, files.byte_range(F.col("content"), offset, requested))
+        mine = self.live(tenant).where(F.col("id") == artifact).select("id", "media_type", F.col("size_bytes").alias("size"), "storage_status", "storage_key")
+        stored = mine.where((F.col("storage_status") == "STORED") & F.col("storage_key").isNotNull())
+        parts = self.store.parts_of("object", stored.select(F.lit(tenant).alias("tenant_id"), F.col("id").alias("artifact_id")))
+        if not parts:
+            return self._content(tenant, artifact, files.byte_range(F.col("content"), offset, requested))
+        held = self.store.read("object", tenant=tenant, parts=parts).where(F.col("artifact_id") == artifact)
+        read = segments.byte_range(held, ["artifact_id", "storage_key"], offset, requested)
+        return stored.join(read.withColumnRenamed("artifact_id", "id"), ["id", "storage_key"]).select("id", "media_type", F.col("size").alias("size_bytes"), "payload", "next_offset", "eof")
+
+    def damaged(self, tenant: str) -> DataFrame:
+        """artifact_id, segment of a tenant's stored contents whose bytes are no longer those that were stored."""
+        held = self.store.read("object", tenant=tenant)
+        return held.where(~(keys.sha256(F.col("content")) == F.col("segment_sha256"))).select("artifact_id", "segment")
 
     def whole_content(self, principal: str, tenant: str, artifact: str) -> DataFrame:
         """The content as base64 if it is small, else where to read it in parts."""
