@@ -48,8 +48,8 @@ SHALLOW = 80
 BEYOND = 255
 #: Rows of whole groups that are looked at together, and rows of one gram at which it is looked at in parts.
 CHUNK, MOST_ROWS = 1 << 18, 1 << 20
-#: Contexts that are sorted together; a gram or core that has more is split.
-SORTED = 1 << 12
+#: Contexts that are sorted together, 44 MB; a gram or core that has more is split.
+SORTED = 1 << 17
 #: Marks in the last two bits of an anchor's place.
 ONE_OF_MANY, SETTLED = 1, 2
 _HALF, _MASK = LEFT // 2, 0x7FFF
