@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small_batches, table, whole_groups
+from tidemark.llm.common import cut, fresh, small_batches, table, whole_groups
 from tidemark.llm.jaccard import mixed
 
 LENGTH = 200
@@ -512,7 +512,7 @@ def _repeated_spans(docs: DataFrame, name: str) -> DataFrame:
         check = F.md5(text.cast("binary"))
         texts = docs.select(number.alias("t"), text.alias("text"), check.alias("check")).groupBy("t").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("low"), F.max("check").alias("high"))
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        texts.write.bucketBy(n, "t").option("compression", "zstd").saveAsTable(name)
+        texts.write.bucketBy(n, "t").option("compression", "zstd").option("path", fresh(spark)).saveAsTable(name)
         if spark.table(name).where("low <> high").isEmpty():
             break
         spark.sql(f"DROP TABLE {name}")  # two texts of one number: number them anew
