@@ -211,12 +211,15 @@ def test_fragments(spark, default_base):
     assert video["sizes"].tolist() == [5, 7, 9, 6, 7, 9] and video["key"].tolist() == [True, False, True, True, False, False]
     assert (video["codec"], video["duration"], sound["codec"], sound["duration"]) == ("avc1", 0.6, "mp4a", 0.16) and sound["key"].all()
     cases = {1: data, 2: data[:-5], 3: data.replace(b"tfhd", b"tfhx"), 4: data.replace(b"trex", b"trey")}
+    at = data.rindex(b"tkhd") - 4
+    whole = struct.unpack_from(">I", data, at)[0]
+    cases[6] = data[:at] + media.box(b"tkhd") + struct.pack(">I4s", whole - 8, b"free") + data[at + 16 :]  # of a header without content
     nested = media.box(b"moov")
     for _ in range(40):
         nested = media.box(b"moov", nested)
     rows = spark.createDataFrame([(k, bytearray(v)) for k, v in (cases | {5: nested}).items()], "id int, content binary")
     found = {r["id"]: r for r in media.media_columns(rows, id_col="id", content_col="content").collect()}
-    assert [t["samples"] for t in found[1]["tracks"]] == [6, 4] and all(found[k]["error"] for k in (2, 3, 4, 5))
+    assert [t["samples"] for t in found[1]["tracks"]] == [6, 4] and all(found[k]["error"] for k in (2, 3, 4, 5, 6))
 
 
 def test_malformed_files_are_reported(spark):

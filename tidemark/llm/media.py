@@ -184,6 +184,11 @@ def word(data: memoryview, at: int, stop: int, kind: str = ">I") -> int:
     return struct.unpack_from(kind, data, at)[0]
 
 
+def after_times(data: memoryview, at: int, stop: int) -> int:
+    """The number after the two times of a header, which have eight bytes each if the version is not 0."""
+    return word(data, at + (20 if word(data, at, stop, ">B") else 12), stop)
+
+
 def fragment_runs(data: memoryview, start: int, a: int, b: int, defaults: dict[int, tuple[int, int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
     """Track, offsets, sizes, keyframe marks and whole duration of each run of a movie fragment that begins at `start`."""
     end = start  # where the data of the run before ended
@@ -247,8 +252,8 @@ def probe(data: bytes) -> list[dict]:
             runs += fragment_runs(view, start, a, b, defaults)
         start = b
     if runs:
-        ids = [word(view, found[b"tkhd"][0] + (20 if view[found[b"tkhd"][0]] else 12), found[b"tkhd"][1]) if b"tkhd" in found else None for found in tracks]
-        scales = [word(view, found[b"mdhd"][0] + (20 if view[found[b"mdhd"][0]] else 12), found[b"mdhd"][1]) for found in tracks]
+        ids = [after_times(view, *found[b"tkhd"]) if b"tkhd" in found else None for found in tracks]
+        scales = [after_times(view, *found[b"mdhd"]) for found in tracks]
         if {run[0] for run in runs} - set(ids):
             raise Malformed("a fragment of a track that is not there")
         for track, number, scale in zip(read, ids, scales, strict=True):
