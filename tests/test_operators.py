@@ -315,3 +315,22 @@ def test_contents_in_segments(spark):
     assert segments.damaged(held, expected, ["id"]).count() == 0
     broken = held.withColumn("content", F.when((F.col("id") == 8) & (F.col("segment") == 3), F.lit(b"x")).otherwise(F.col("content"))).where("not (id = 7 and segment = 5)")
     assert sorted(map(tuple, segments.damaged(broken, expected, ["id"]).collect()), key=repr) == [(7, None, "incomplete"), (8, 3, "changed")]
+
+
+def test_state_of_ids_ends(spark, tmp_path):
+    """Over thirty days the state holds the ids of a few; the first of each id is taken once, and a restart takes nothing again."""
+    for d in range(30):
+        jobs = [(f"{d}:{i % 50}", datetime(2026, 8, 1) + timedelta(days=d, minutes=i)) for i in range(120)]
+        spark.createDataFrame(jobs, "id string, at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen, held = [], []
+
+    def sink(batch, _):
+        seen.extend(r["id"] for r in batch.collect())
+
+    for _ in range(2):
+        stream = relay.outbox_stream(spark, f"{tmp_path}/in", "id string, at timestamp", files_per_batch=1)
+        run = relay.relayed(relay.first_within(stream, "at", "1 day"), sink, f"{tmp_path}/checkpoint")
+        run.awaitTermination()
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert sorted(seen) == sorted(f"{d}:{i}" for d in range(30) for i in range(50))
+    assert max(held) <= 4 * 50

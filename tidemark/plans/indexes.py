@@ -16,24 +16,24 @@ from tidemark.operators import nearest, postings
 from tidemark.plans.queries import FTS_AND, FTS_RANK, SQL, first_vector, query, t
 from tidemark.sources import shared
 
-_built: dict[tuple, object] = {}
+_built: dict[tuple, tuple] = {}
 
 
-def _once(spark: SparkSession, sf: str, name: str, kind: str, build: Callable[[DataFrame], object]) -> object:
-    """What `build` makes of a table, made anew if the session or the table's files are other ones."""
+def _once(spark: SparkSession, sf: str, name: str, kind: str, build: Callable[[DataFrame], tuple]) -> tuple:
+    """What `build` makes of a table, the kept rows first; made anew if the session or the table's files are other ones, or the kept rows are gone."""
     rows = t(spark, sf, name)
     files = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()  # a row for each file
     key = (spark.sparkContext.applicationId, kind, tuple(sorted((r[0], r[1], str(r[2])) for r in files)))
-    if key not in _built:
+    if key not in _built or not shared.there(_built[key][0]):
         _built[key] = build(rows)
     return _built[key]
 
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
-    def build(docs: DataFrame) -> DataFrame:
-        return shared.kept(postings.dealt(postings.postings(docs, id_col="doc_id")), "postings", "bucket")
+    def build(docs: DataFrame) -> tuple[DataFrame]:
+        return (shared.kept(postings.dealt(postings.postings(docs, id_col="doc_id")), "postings", "bucket"),)
 
-    return _once(spark, sf, "documents", "postings", build)
+    return _once(spark, sf, "documents", "postings", build)[0]
 
 
 def _lists(spark: SparkSession, sf: str, rounds: int = nearest.ROUNDS) -> tuple[DataFrame, np.ndarray, dict[int, tuple[int, float]]]:

@@ -537,6 +537,14 @@ def enqueue_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _drained(spark, relay.first_of_each(_event_stream(spark, sf).select(F.col("user_id").cast("string").alias("id"))))
 
 
+@query("enqueue_daily", "SELECT DISTINCT user_id || ':' || ts::DATE AS id FROM events")
+def enqueue_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """A job for each user and day enters the queue once; no id comes again after its day, so the state ends."""
+    day = F.concat(F.col("user_id"), F.lit(":"), F.to_date("ts"))
+    jobs = _event_stream(spark, sf).select(day.alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    return _drained(spark, relay.first_within(jobs, "at", "1 day").select("id"))
+
+
 _COMMANDS = {"view": "enqueue", "click": "claim", "purchase": "complete", "signup": "fail", "error": "recover"}
 _LEASE_MS = 3 * 3600 * 1000
 

@@ -19,3 +19,13 @@ def kept(df: DataFrame, kind: str, by: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def there(rows: DataFrame) -> bool:
+    """Whether rows that were kept still are."""
+    files = rows.inputFiles()
+    if not files:
+        return False
+    context = rows.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(files[0])
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)

@@ -18,6 +18,15 @@ def first_of_each(jobs: DataFrame, key: str = "id") -> DataFrame:
     return jobs.dropDuplicates([key])
 
 
+def first_within(jobs: DataFrame, at: str, again_within: str, key: str = "id") -> DataFrame:
+    """Each id once, for ids that come again only within some time of their first; the state lets go of those that can't.
+
+    `at` is the jobs' time. An id leaves the state when the watermark, `again_within` behind the latest
+    time seen, has passed its first time by as much; a job older than the watermark is not taken.
+    """
+    return jobs.withWatermark(at, again_within).dropDuplicatesWithinWatermark([key])
+
+
 def relayed(jobs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Hands each micro-batch to `sink`, at an interval or (without one) until all there is has been taken.
 
