@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -78,6 +79,28 @@ def test_classes_do_not_depend_on_ids(spark):
     assert sorted(kept) == sorted([t for _, t in rows if t not in near] + [t for t in near if t in kept]) and len(kept) == 5
 
 
+def test_all_links_of_given_documents(spark):
+    """Links of every document of a table, against all pairs of texts that have an n-gram in common."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = Counter(r["text"] for r in docs.collect())
+    grams, of = {}, {}
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        grams[text] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        for g in grams[text]:
+            of.setdefault(g, []).append(text)
+    common = Counter((a, b) for some in of.values() for i, a in enumerate(some) for b in some[i + 1 :])
+    links = Counter({t: n - 1 for t, n in texts.items()})
+    unequal = 0
+    for (a, b), n in common.items():
+        if 5 * n >= 4 * (len(grams[a]) + len(grams[b]) - n):
+            links[a] += texts[b]
+            links[b] += texts[a]
+            unequal += 1
+    found = docs.join(jaccard.near_duplicates(docs), "doc_id").select("text", "n_links").collect()
+    assert unequal > 0 and all(r["n_links"] == links[r["text"]] for r in found) and len(found) == docs.count()
+
+
 def test_bands_reach_their_recall():
     bands, rows = jaccard.bands_and_rows(0.8)
     assert bands * rows <= jaccard.MOST_HASHES and 1 - (1 - 0.8**rows) ** bands >= jaccard.RECALL

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import math
 import random
+from fractions import Fraction
 from math import comb
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +159,60 @@ def test_rules_of_a_stratum_share_its_limit(spark):
     assert quality.binomial_tail(4000, 8, quality.most_rejected(4000, 8, level)) == pytest.approx(level, rel=1e-6)
 
 
+def plain_choose(counts, good):
+    """The cutoffs by exact fractions and a scan of shares instead of bisection."""
+    level = Fraction(quality.DELTA).limit_denominator(1000) / (sum(map(len, quality.CUTOFFS.values())) * len(good))
+
+    def tail(n, k, p):
+        return sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+    out = {}
+    for where, n in good.items():
+        left = Fraction(quality.LIMIT).limit_denominator(1000)
+        tries = []
+        for order, name in enumerate(quality.RULES):
+            for i, at in enumerate(quality.CUTOFFS[name], 1):
+                bad, wrong = (sum(v[side] for cell, v in counts.get((where, name), {}).items() if cell >= i) for side in (1, 0))
+                tries.append((wrong * quality.WORTH - bad, order, -at, name, at, wrong))
+        for loss, _, _, name, at, wrong in sorted(tries):
+            if loss < 0 and (where, name) not in out and wrong < left * n and tail(n, wrong, left) <= level:
+                out[where, name] = at
+                share = Fraction(wrong, n)
+                step = Fraction(1, 4)
+                while step > Fraction(1, 1 << 22):
+                    share, step = (share + step, step) if share + step < 1 and tail(n, wrong, share + step) > level else (share, step / 2)
+                left -= share
+    return out
+
+
+def drawn(rng, good, share):
+    """Cells of a holdout: every rule's values are above its first i cutoffs with the part share / i of good and 0.9 / i of bad documents."""
+    counts = {}
+    for name in quality.RULES:
+        n = len(quality.CUTOFFS[name])
+        cells = [np.minimum(n, np.floor(x / rng.random(m)).astype(int)) for m, x in ((good, share), (400, 0.9))]
+        numbers = [np.bincount(c, minlength=n + 1) for c in cells]
+        counts["en", name] = {i: (int(numbers[0][i]), int(numbers[1][i])) for i in range(n + 1) if numbers[0][i] + numbers[1][i]}
+    return counts
+
+
+def test_cutoffs_are_those_of_exact_fractions():
+    rng = np.random.default_rng(2)
+    found = [(quality.choose(c, {"en": 900}), plain_choose(c, {"en": 900})) for c in (drawn(rng, 900, share) for share in (0.0, 0.002, 0.004, 0.01))]
+    assert all(a == b for a, b in found) and any(a for a, _ in found)
+
+
+def test_cutoffs_keep_their_limit_on_fresh_documents():
+    """Of many holdouts, few choose cutoffs whose true part of good documents exceeds the limit; many choose some."""
+    rng = np.random.default_rng(3)
+    exceeded = chosen = 0
+    for _ in range(300):
+        cutoffs = quality.choose(drawn(rng, 2500, 0.02), {"en": 2500})
+        true = sum(0.02 / (quality.CUTOFFS[name].index(at) + 1) for (_, name), at in cutoffs.items())
+        exceeded, chosen = exceeded + (true > quality.LIMIT), chosen + bool(cutoffs)
+    assert exceeded <= 300 * quality.DELTA and chosen > 150
+
+
 def test_any_language_is_a_stratum(spark):
     made = [(i, ("%%%" if i % 10 == 0 else "").join(f" w{i * 41 + k}" for k in range(40)), ["it", "nl"][i % 3 == 0]) for i in range(3000)]
     rows = spark.createDataFrame(made, "doc_id long, text string, lang string")
