@@ -89,4 +89,4 @@ def test_run_by_plain_versions_of_its_stages(spark, sf_dir):
 
 def test_every_operator_is_registered():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(registry.oracle_sql()) <= set(names)
