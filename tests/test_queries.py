@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import duckdb
 import pytest
 
 from tests.compare import same
@@ -63,3 +64,17 @@ def test_long_texts_are_cut_in_time_linear_in_them(spark):
 
     rows = spark.range(1).select(F.repeat(F.concat(F.lit("word"), F.col("id"), F.lit(" ")), F.lit(400_000)).alias("t"))
     assert rows.select(F.size(text.chunks(F.col("t"))).alias("n")).first()["n"] == 5000
+
+
+def test_objects_of_other_bytes_are_found_whatever_their_first_byte(spark, tmp_path):
+    from tests.compare import rows_of
+
+    texts = ["+1 (235) 555", "+", "-", "", None, "plain", "über"]
+    rows = [(6 * i + kind, None if text == "plain" else "s", text) for i, text in enumerate(texts) for kind in range(6)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["object_verify"](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        asked = con.execute(queries.SQL["object_verify"])
+        expected = rows_of([c[0] for c in asked.description], asked.fetchall())
+    assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == expected

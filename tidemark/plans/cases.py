@@ -63,11 +63,13 @@ def content_source(spark: SparkSession, sf: str) -> DataFrame:
 @query("object_verify", "SELECT doc_id, doc_id % 6 = 0 AS verified, CASE WHEN doc_id % 6 = 0 THEN 'STORED' ELSE 'RETRY_PENDING' END AS storage_status, CASE WHEN doc_id % 6 > 0 THEN 'STORAGE_FAILED' END AS failure_code FROM documents")
 def object_verify(spark: SparkSession, sf: str) -> DataFrame:
     """Objects of which five of six are wrong: missing, cut, other bytes, another tenant's mark, another key of encryption."""
-    docs = t(spark, sf, "documents").select("doc_id", F.col("source").alias("tenant_id"), F.col("text").cast("binary").alias("content"))
+    tenant, text = F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))
+    docs = t(spark, sf, "documents").select("doc_id", tenant.alias("tenant_id"), text.cast("binary").alias("content"))
     key = F.concat(F.lit("dev/"), keys.sha256(F.col("tenant_id")), F.lit("/document/"), "doc_id")
     expected = docs.select("doc_id", "tenant_id", key.alias("storage_key"), keys.sha256(F.col("content")).alias("sha256"), F.length("content").cast("long").alias("size_bytes"))
     kind = F.col("doc_id") % 6
-    content = F.when(kind == 2, F.concat("content", F.lit(b"+"))).when(kind == 3, F.concat(F.lit(b"+"), F.substring("content", F.lit(2), F.length("content")))).otherwise(F.col("content"))
+    other = F.when(F.substring("content", 1, 1) == F.lit(b"+"), F.lit(b"-")).otherwise(F.lit(b"+"))
+    content = F.when(kind == 2, F.concat("content", F.lit(b"+"))).when(kind == 3, F.concat(other, F.substring("content", F.lit(2), F.length("content")))).otherwise(F.col("content"))
     put = docs.where(kind != 1).select(key.alias("path"), content.alias("content"), keys.sha256(F.when(kind == 4, F.lit("other")).otherwise(F.col("tenant_id"))).alias("tenant_sha256"), F.when(kind == 5, "k2").otherwise("k1").alias("kms_key"))
     checked = files.verified_objects(put.withColumn("sha256", keys.sha256(F.col("content"))), expected, "dev", kms_key="k1")
     return files.stored_status(checked).select("doc_id", "verified", "storage_status", "failure_code")
