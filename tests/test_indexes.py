@@ -140,3 +140,23 @@ def test_empty_indexes(spark):
     assert nearest.search(index, centres, [1.0], 3).count() == nearest.exact_search(index, centres, nearest.widths(index), [1.0], 3).count() == 0 if centres.shape[1] else index.count() == 0
     lists = shared.kept(postings.dealt(postings.postings(none, id_col="id")), "test", "bucket")
     assert postings.search(lists, "a", 3).count() == postings.matching(lists, "a").count() == 0
+
+
+@pytest.mark.parametrize("ids", ["id", "id div 1000 * 7"])
+def test_the_driver_gets_a_sample_and_not_one_of_each_task(spark, monkeypatch, ids):
+    monkeypatch.setattr(nearest, "SAMPLE", 1000)
+    rows = spark.range(0, 20_000, 1, 20).select(F.expr(ids).alias("id"), F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.cos(F.col("id") * i)).alias("v"))
+    group = f"sample of {ids}"
+    spark.sparkContext.setJobGroup(group, group)
+    found = nearest.centroids(rows, 50, id_col="id", vector_col="v", rounds=0)
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}
+    spark.sparkContext._jsc.clearJobGroup()
+    sent = sum(context.statusStore().lastStageAttempt(i).resultSize() for i in stages)
+    first = rows.orderBy(F.md5(F.col("id").cast("string")), "v").limit(1000).collect()
+    expected = nearest.unit(np.array([r["v"] for r in first]))
+    _, at = np.unique(expected, axis=0, return_index=True)
+    assert np.array_equal(found, expected[np.sort(at)[:50]])
+    assert sent < 2 << 20

@@ -49,6 +49,23 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), width.pop()).astype(np.float64)
 
 
+def _least(whole: DataFrame, most: int) -> np.ndarray:
+    """The vectors (v) of the `most` least hashes (h, in hex), in order.
+
+    Hashes are evenly spread, so those beyond a little more than the part asked for are left out before
+    anything is sorted. One task sorts what is left and sends the sample on; a limit that the driver
+    collects itself would get so many rows of every task.
+    """
+    n = whole.count()
+    part = (most + 8 * math.sqrt(most) + 64) / max(1, n)
+
+    def taken(some: DataFrame) -> np.ndarray:
+        return matrix(some.orderBy("h", "v").limit(most).select("v").toArrow()["v"].combine_chunks())
+
+    found = taken(whole.where(F.col("h") < f"{int(part * 2**64):016x}")) if part < 1 else taken(whole)
+    return found if len(found) == min(most, n) else taken(whole)  # ids that repeat are not evenly spread
+
+
 def centroids(rows: DataFrame, lists: int, *, id_col: str, vector_col: str, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids of length 1 from a sample of at most `SAMPLE` vectors, those of the least hashes of ids.
 
@@ -57,11 +74,10 @@ def centroids(rows: DataFrame, lists: int, *, id_col: str, vector_col: str, roun
     """
     whole = rows.where(vectors.valid(F.col(vector_col))).select(F.md5(F.col(id_col).cast("string")).alias("h"), F.col(vector_col).cast("array<double>").alias("v"))
     first = whole.select(F.size("v")).first()
-    most = min(SAMPLE, SAMPLE_CELLS // max(1, first[0])) if first else 0
-    sample = whole.orderBy("h", "v").limit(most).collect()  # the sample is bounded
-    if not sample:
+    sample = _least(whole, min(SAMPLE, SAMPLE_CELLS // max(1, first[0]))) if first else np.zeros((0, 0))  # the sample is bounded
+    if not len(sample):
         return np.zeros((1, 0))
-    found = unit(np.array([r["v"] for r in sample], np.float64).reshape(len(sample), -1))
+    found = unit(sample)
     _, at = np.unique(found, axis=0, return_index=True)
     now = found[np.sort(at)[: max(1, min(lists, MOST_LISTS))]]
     for _ in range(rounds):
