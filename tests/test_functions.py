@@ -134,3 +134,26 @@ def test_safe_details(spark):
     many = one(spark, redaction.safe_details(F.col("m")), m=("map<string,string>", {str(i): "x" for i in range(51)}))
     assert len(many) == 50
     assert one(spark, redaction.safe_details(F.col("m")), m=("map<string,string>", None)) == {}
+
+
+def test_a_string_udf_holds_one_piece_as_objects(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidemark.functions import pieces
+    from tidemark.sources import extract
+
+    values = ["<p>a</p>" * n for n in (1, 0, 3)] * 50 + [None, "<b>x" * (1 << 19), "<i>y"]
+    for rows, most in ((1, 1), (7, 100), (64, 1 << 20), (1000, 1 << 30)):
+        found = list(pieces.pieces(pa.array(values), rows, most))
+        assert [x for part in found for x in part.to_pylist()] == values and all(len(part) <= rows and (len(part) == 1 or part.nbytes <= most) for part in found)
+    assert list(pieces.pieces(pa.array([], pa.string()))) == []
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, html string").coalesce(1)
+    assert [r["t"] for r in rows.orderBy("i").select(extract.html_text("html").alias("t")).collect()] == [extract.visible_text(v) for v in values]
+    pages = pa.array([f"<p>{i} " + "text " * 4000 for i in range(400)])  # 8 MB
+    tracemalloc.start()
+    shown = extract.html_text.func(pages)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(shown) == 400 and shown[7].as_py() == extract.visible_text(pages[7].as_py()) and most < 4 << 20
