@@ -160,3 +160,15 @@ def test_the_driver_gets_a_sample_and_not_one_of_each_task(spark, monkeypatch, i
     _, at = np.unique(expected, axis=0, return_index=True)
     assert np.array_equal(found, expected[np.sort(at)[:50]])
     assert sent < 2 << 20
+
+
+def test_words_come_to_python_as_one_string_and_are_cut_once(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_TOKENS", 5)
+    texts = [None, "", "a B a", "...", "über, 42; b", "b", "a a a a a a a", ""]
+    lists = postings.postings(spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1), id_col="id")
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == plan.count("array_join(regexp_extract_all") == 1
+    rows = lists.collect()
+    assert [(r["ids"], r["most"]) for r in rows if not r["term"]] == [([2], 1), ([4, 5], 2), ([6], 1)]
+    found = {(r["term"], r["block"]): ([(p >> postings.POSITION, p % (1 << postings.POSITION)) for p in r["places"]], r["most"]) for r in rows if r["term"]}
+    assert found == {("a", 0): ([(0, 0), (0, 2)], 2), ("b", 0): ([(0, 1)], 1), ("über", 1): ([(0, 0)], 1), ("42", 1): ([(0, 1)], 1), ("b", 1): ([(0, 2), (1, 0)], 1), ("a", 2): ([(0, i) for i in range(7)], 7)}

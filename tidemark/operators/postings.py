@@ -21,6 +21,7 @@ from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,9 +52,9 @@ def _lists(scope: str, ids: pa.Array, words: pa.Array, block: int, bits: int) ->
     """The rows of a block: its documents, then its posting lists."""
     sizes = np.diff(words.offsets.to_numpy())
     coded = words.flatten().dictionary_encode()
-    term = coded.indices.to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    place = (doc << bits) + np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    term = coded.indices.to_numpy()
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    place = (doc << bits) + (np.arange(len(term), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes))
     order = np.argsort(term, kind="stable")  # places stay in order within a term
     term, doc, place = term[order], doc[order], place[order]
     new_term = np.append(True, term[1:] != term[:-1])
@@ -63,7 +64,7 @@ def _lists(scope: str, ids: pa.Array, words: pa.Array, block: int, bits: int) ->
     n = len(at)
     terms = pa.concat_arrays([pa.array([""]), coded.dictionary.take(pa.array(term[at])).cast(pa.string())])
     of_docs = pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * (n + 1)], pa.int32(), mask=np.array([False, *[True] * n, False])), ids)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], at, [len(term)])).astype(np.int32), mask=np.array([True, *[False] * (n + 1)])), pa.array(place.astype(np.int32)))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], at, [len(term)])).astype(np.int32), mask=np.array([True, *[False] * (n + 1)])), pa.array(place))
     counts = pa.array(np.append(len(ids), most).astype(np.int32))
     return pa.RecordBatch.from_arrays([pa.array([scope] * (n + 1), pa.string()), terms, pa.array([block] * (n + 1), pa.int64()), of_docs, lists, counts], ["scope", "term", "block", "ids", "places", "most"])
 
@@ -72,11 +73,13 @@ def postings(rows: DataFrame, *, id_col: str, text_col: str = "text", scope_col:
     """The posting lists of documents; those without a word have none. Rows whose ids repeat are taken for one document's.
 
     `segment` tells the blocks of one call from those of another; should two blocks meet all the same,
-    their documents are merely ranked together. No shuffle: a task's documents make its blocks.
+    their documents are merely ranked together. No shuffle: a task's documents make its blocks. Words
+    come to Python joined by spaces and are cut again block by block, so that a worker never has those
+    of a whole batch one by one.
     """
     scope = F.col(scope_col).cast("string") if scope_col else F.lit(None).cast("string")
     kind = rows.schema[id_col].dataType.simpleString()
-    words = rows.select(scope.alias("scope"), F.col(id_col).alias("id"), fulltext.tokens(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    words = rows.select(scope.alias("scope"), F.col(id_col).alias("id"), F.array_join(fulltext.tokens(F.col(text_col)), " ").alias("words"))
     if scope_col:
         words = words.sortWithinPartitions("scope")
 
@@ -84,9 +87,11 @@ def postings(rows: DataFrame, *, id_col: str, text_col: str = "text", scope_col:
         first = (segment << 44) | (TaskContext.get().partitionId() << 24)
         n = 0
         for batch in batches:
+            if not pc.all(pc.not_equal(batch.column(2), "")).as_py():
+                batch = batch.filter(pc.not_equal(batch.column(2), ""))
             scopes = batch.column(0).dictionary_encode(null_encoding="encode")
             each, at = scopes.indices.to_numpy(), 0
-            tokens = np.diff(batch.column(2).offsets.to_numpy())
+            tokens = pc.count_substring(batch.column(2), " ").to_numpy() + 1
             while at < batch.num_rows:
                 same = np.flatnonzero(each[at:] != each[at])
                 end = min(at + BLOCK, at + int(same[0]) if len(same) else batch.num_rows)
@@ -94,8 +99,9 @@ def postings(rows: DataFrame, *, id_col: str, text_col: str = "text", scope_col:
                 end = at + max(1, min(int(np.searchsorted(np.cumsum(tokens[at:end]), BLOCK_TOKENS, side="right")), int(wide[0]) if len(wide) else end))
                 part = batch.slice(at, end - at)
                 number = first + n
-                yield _lists(part.column(0)[0].as_py(), part.column(1), part.column(2), -1 - number if len(wide) and not wide[0] else number, POSITION)
+                yield _lists(part.column(0)[0].as_py(), part.column(1), pc.split_pattern(part.column(2), " "), -1 - number if len(wide) and not wide[0] else number, POSITION)
                 at, n = end, n + 1
+                pa.default_memory_pool().release_unused()
 
     found = words.mapInArrow(run, f"scope string, term string, block long, ids array<{kind}>, places array<int>, most int")
     return found.select("scope", F.when(F.col("term") == "", BUCKETS).otherwise(bucket(F.col("term"))).alias("bucket"), "term", "block", "ids", "places", "most")
