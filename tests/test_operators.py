@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import access, audit, fulltext, indexing, intake, jobs, quotas, retrieval
+from tidemark.plans import queries
 from tidemark.sources import config, embed, extract, files, segments, shared
 from tidemark.streaming import leases, relay
 
@@ -334,3 +335,14 @@ def test_state_of_ids_ends(spark, tmp_path):
         held += [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
     assert sorted(seen) == sorted(f"{d}:{i}" for d in range(30) for i in range(50))
     assert max(held) <= 4 * 50
+
+
+def test_roots_of_contents_are_those_of_their_segments_without_a_shuffle(spark, sf_dir):
+    contents = [None, b"", b"a", *[bytes(i % 251 for i in range(n)) for n in (9, 10, 11, 20, 21, 99, 1234)]]
+    rows = spark.createDataFrame(list(enumerate(contents)), "id int, content binary").repartition(3)
+    made = segments.manifest_of(rows, ["id"], size=10)
+    stored = segments.manifest(shared.kept(segments.divided(rows, size=10).repartition(3), "test"), ["id"])
+    assert made.dtypes == stored.dtypes
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, stored.collect()))
+    plan = queries.QUERIES["segment_roots"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "documents.parquet" in plan

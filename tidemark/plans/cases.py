@@ -319,5 +319,6 @@ m AS (SELECT doc_id, n, len(hashes) AS segments, hashes FROM l
 SELECT doc_id, segments AS n_segments, n AS size_bytes, hashes[1] AS root FROM m WHERE len(hashes) = 1""",
 )
 def segment_roots(spark: SparkSession, sf: str) -> DataFrame:
-    """The Merkle root of every document's segments."""
-    return segments.manifest(_segments(spark, sf), ["doc_id"])
+    """The Merkle root of every document's segments, from the documents as they are."""
+    docs = t(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return segments.manifest_of(docs, ["doc_id"], size=_SEGMENT)

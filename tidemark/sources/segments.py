@@ -34,11 +34,15 @@ def pairwise(items: Column, join: Callable[[Column, Column], Column]) -> Column:
     return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), items, level), F.lit(0))
 
 
+def _cut(content: Column, size: int, make: Callable[[Column], Column]) -> Column:
+    """What `make` makes of each segment of a content, in order."""
+    last = F.floor(F.greatest(F.lit(0), F.length(content) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: make(F.substring(content, i * size + 1, F.lit(size))))
+
+
 def divided(rows: DataFrame, *, content_col: str = "content", size: int = SEGMENT) -> DataFrame:
     """The rows with `segment` and `segment_sha256`, once for each segment of their content; an empty or null content is one empty segment."""
-    content = F.coalesce(F.col(content_col), F.lit(b""))
-    last = F.floor(F.greatest(F.lit(0), F.length(content) - 1) / size).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(content, i * size + 1, F.lit(size)))
+    pieces = _cut(F.coalesce(F.col(content_col), F.lit(b"")), size, lambda piece: piece)
     others = [c for c in rows.columns if c != content_col]
     each = rows.select(*others, F.posexplode(pieces).alias("segment", content_col))
     return each.withColumn("segment_sha256", keys.sha256(F.col(content_col)))
@@ -50,11 +54,21 @@ def joined(segments: DataFrame, by: list[str], *, content_col: str = "content")
     return segments.groupBy(*by).agg(pairwise(parts, lambda a, b: F.concat(a, b)).alias(content_col))
 
 
+def _root(hashes: Column) -> Column:
+    return pairwise(hashes, lambda a, b: F.sha2(F.concat(a, b), 256))
+
+
+def manifest_of(rows: DataFrame, by: list[str], *, content_col: str = "content", size: int = SEGMENT) -> DataFrame:
+    """What `manifest` says of the segments of contents, before they are divided: row by row, without a shuffle."""
+    content = F.coalesce(F.col(content_col), F.lit(b""))
+    each = rows.select(*by, F.length(content).cast("long").alias("size_bytes"), _cut(content, size, keys.sha256).alias("_hashes"))
+    return each.select(*by, F.size("_hashes").cast("long").alias("n_segments"), "size_bytes", _root(F.col("_hashes")).alias("root"))
+
+
 def manifest(segments: DataFrame, by: list[str], *, content_col: str = "content") -> DataFrame:
     """by, n_segments, size_bytes, root: what segments of a content there should be."""
     hashes = F.transform(F.array_sort(F.collect_list(F.struct("segment", "segment_sha256"))), lambda x: x["segment_sha256"])
-    root = pairwise(hashes, lambda a, b: F.sha2(F.concat(a, b), 256))
-    return segments.groupBy(*by).agg(F.count(F.lit(1)).alias("n_segments"), F.sum(F.length(content_col)).alias("size_bytes"), root.alias("root"))
+    return segments.groupBy(*by).agg(F.count(F.lit(1)).alias("n_segments"), F.sum(F.length(content_col)).alias("size_bytes"), _root(hashes).alias("root"))
 
 
 def damaged(segments: DataFrame, expected: DataFrame, by: list[str], *, content_col: str = "content") -> DataFrame:
